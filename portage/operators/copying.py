@@ -24,6 +24,9 @@ _COPIED = "target string, length bigint"
 _BYTES_PER_TASK = 256 * 1024 * 1024
 _OBJECTS_PER_TASK = 1000
 _ROWS_PER_BATCH = 10000
+_STREAM_BUFFER = 16 * 1024 * 1024
+# Fixed value: the largest object that S3 copies in one request.
+_S3_COPY_LIMIT = 5 * 1024**3
 
 
 @dataclass(frozen=True)
@@ -70,10 +73,13 @@ def list_tree(spark: SparkSession, root: str, options: dict | None = None, paral
                     )
 
     levels: list[str] = []
-    frontier = spark.createDataFrame([(storage.qualify(spark, root), "")], "path string, relative string")
+    start = (storage.qualify(spark, root), "")
+    frontier = spark.createDataFrame([start], "path string, relative string").coalesce(1)
     while True:
         levels.append(f"{base}/level-{len(levels)}")
-        frontier.repartition(tasks, "path").mapInArrow(children, _LISTING).write.parquet(levels[-1])
+        # The root alone is one task; below it, directories are spread by hash.
+        spread = frontier if len(levels) == 1 else frontier.repartition(tasks, "path")
+        spread.mapInArrow(children, _LISTING).write.parquet(levels[-1])
         level = spark.read.schema(_LISTING).parquet(levels[-1])
         frontier = level.where("is_directory").select("path", F.concat("relative", F.lit("/")).alias("relative"))
         if frontier.isEmpty():
@@ -113,19 +119,31 @@ def _copy_one(source: str, target: str, length: int, source_options: dict, targe
     source_fs, source_path = _open(source, source_options)
     target_fs, target_path = _open(target, target_options)
     if isinstance(target_fs, arrow_fs.S3FileSystem):
-        # An object appears whole or not at all.
-        arrow_fs.copy_files(source_path, target_path, source_fs, target_fs)
+        # An object appears whole or not at all, so it needs no partial name.
+        _transfer_bytes(source_fs, source_path, target_fs, target_path, length > _S3_COPY_LIMIT)
     else:
         directory, name = target_path.rsplit("/", 1)
         partial = f"{directory}/_copying_{uuid.uuid4().hex}_{name}"
         target_fs.create_dir(directory, recursive=True)
-        arrow_fs.copy_files(source_path, partial, source_fs, target_fs)
+        _transfer_bytes(source_fs, source_path, target_fs, partial)
         target_fs.move(partial, target_path)
     written = target_fs.get_file_info(target_path).size
     if written != length:
         raise OSError(f"{target} has {written} bytes instead of {length}")
 
 
+def _transfer_bytes(
+    source_fs: arrow_fs.FileSystem, source: str, target_fs: arrow_fs.FileSystem, target: str, streamed: bool = False
+) -> None:
+    """Copy inside the file system where it is one and the same, else as a stream of bounded size."""
+    if not streamed:
+        arrow_fs.copy_files(source, target, source_fs, target_fs)
+        return
+    with source_fs.open_input_stream(source) as reading, target_fs.open_output_stream(target) as writing:
+        while chunk := reading.read(_STREAM_BUFFER):
+            writing.write(chunk)
+
+
 def copy_tree(
     spark: SparkSession,
     source: str,

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 
 from portage.operators.counting import RowCount
 from portage.sources.tables import CATALOG, TableAccess, connection_options, split_table_name
 
+logger = logging.getLogger(__name__)
+
 APPEND, OVERWRITE = "append", "overwrite"
+# Connections that one load opens at most, unless the caller says otherwise.
+WRITE_CONNECTIONS = 32
 
 
 def load_mode(load_type: str) -> str:
@@ -21,16 +27,19 @@ def writer_options(
     access: TableAccess,
     table: str,
     truncate: bool = False,
-    num_partitions: int | None = None,
+    num_partitions: int = WRITE_CONNECTIONS,
     batch_size: int = 10000,
     column_types: str | None = None,
 ) -> dict[str, str]:
     """JDBC options for a load. ``num_partitions`` bounds the connections; each partition is one transaction."""
     _, relation = split_table_name(access.dialect, table)
     options = connection_options(access, table)
-    options.update(dbtable=relation, batchsize=str(batch_size), truncate=str(truncate).lower())
-    if num_partitions is not None:
-        options["numPartitions"] = str(num_partitions)
+    options.update(
+        dbtable=relation,
+        batchsize=str(batch_size),
+        truncate=str(truncate).lower(),
+        numPartitions=str(num_partitions),
+    )
     if column_types is not None:
         options["createTableColumnTypes"] = column_types
     return options
@@ -47,6 +56,8 @@ def load_table(
     counted = RowCount(df)
     if access.dialect != CATALOG:
         options = writer_options(access, table, truncate, **jdbc)
+        if df.sparkSession.sparkContext.getConf().get("spark.speculation", "false") == "true":
+            logger.warning("spark.speculation may load rows twice through JDBC, where each task commits by itself")
         counted.df.write.format("jdbc").options(**options).mode(mode).save()
     elif mode == OVERWRITE and truncate and df.sparkSession.catalog.tableExists(table):
         columns = df.sparkSession.table(table).columns
