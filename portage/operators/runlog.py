@@ -60,7 +60,8 @@ class RunLog:
         self.append_rows(plain.withColumn("timestamp", clock).coalesce(1))
 
     def append_rows(self, rows: DataFrame) -> None:
-        rows.select(*COLUMNS).write.mode("append").partitionBy("run_id").parquet(self.path)
+        typed = [F.col(name).cast(kind) for name, kind in (column.split() for column in SCHEMA.split(", "))]
+        rows.select(*typed).write.mode("append").partitionBy("run_id").parquet(self.path)
 
     def read(self) -> DataFrame:
         if not storage.exists(self.spark, self.path):

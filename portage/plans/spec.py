@@ -69,7 +69,7 @@ class PipelineSpec:
         return spark.createDataFrame(
             [(self.name, ",".join(self.recipients), self.cron_schedule, tasks)],
             "pipeline_name string, notification_recipients string, cron_schedule string, services " + registry.TASKS,
-        )
+        ).coalesce(1)
 
 
 def load_pipeline(pipelines: DataFrame, name: str) -> PipelineSpec:

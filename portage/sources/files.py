@@ -63,13 +63,16 @@ def scan_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 def scan_directory(spark: SparkSession, directory: str, **csv_options) -> DataFrame:
     """All known files directly in a directory as one table; nested directories are left out.
 
-    Text files share one reader; Parquet files are added by column name.
+    Text files share one reader, and must then have the same header line unless a schema is given; Parquet files are
+    added by column name.
     """
     base = storage.glob_escape(storage.qualify(spark, directory))
     text, columnar = storage.join(base, "*.{csv,txt}"), storage.join(base, "*.parquet")
     scans = []
     if storage.glob_count(spark, text):
-        scans.append(scan_delimited(spark, text, **csv_options))
+        # Without this, columns in another order would be read under wrong names.
+        strict = {} if csv_options.get("schema") else {"enforceSchema": False}
+        scans.append(scan_delimited(spark, text, **{**strict, **csv_options}))
     if storage.glob_count(spark, columnar):
         scans.append(scan_parquet(spark, columnar))
     if not scans:

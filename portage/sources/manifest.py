@@ -12,14 +12,14 @@ from portage.functions import naming
 _EMPTY = "path string, modificationTime timestamp, length bigint"
 
 
-def list_files(spark: SparkSession, directory: str, name_glob: str | None = None) -> DataFrame:
+def list_files(spark: SparkSession, directory: str) -> DataFrame:
     """Direct children of a directory with a known extension: name, path, parts, length, modified.
 
     A child is a file or a folder of part files under one file name. Spark lists the files itself; their content is not
     read.
     """
     base = storage.qualify(spark, directory)
-    pattern = name_glob or "*.{%s}" % ",".join(naming.EXTENSIONS)
+    pattern = "*.{%s}" % ",".join(naming.EXTENSIONS)
     try:
         found = (
             spark.read.format("binaryFile")
@@ -61,9 +61,14 @@ def latest_name(manifest: DataFrame, template: str) -> DataFrame:
 
 
 def find_latest(spark: SparkSession, path: str) -> str | None:
-    """Newest file for a path whose last part holds a stamp token."""
+    """Newest file for a path whose last part holds a stamp token.
+
+    Only names that look like it are listed, and folders of parts are not entered.
+    """
     template = storage.last_part(path)
-    manifest = list_files(spark, storage.parent(path), stamped_glob(template))
+    directory = storage.glob_escape(storage.qualify(spark, storage.parent(path)))
+    names = storage.glob_names(spark, storage.join(directory, stamped_glob(template)))
+    manifest = spark.createDataFrame([(name,) for name in names], "name string")
     return latest_name(manifest, template).first()["name"]
 
 

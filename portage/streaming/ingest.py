@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from portage import storage
+from portage.operators import table_sinks
+from portage.sources.tables import CATALOG, TableAccess, scan_table
 
 
 def read_new_files(
@@ -42,3 +45,42 @@ def ingest_available_to_path(stream: DataFrame, path: str, checkpoint: str) -> S
     query = writer.option("checkpointLocation", storage.qualify(stream.sparkSession, checkpoint)).start(path)
     query.awaitTermination()
     return query
+
+
+def ingest_available_to_database(
+    stream: DataFrame, access: TableAccess, table: str, checkpoint: str, batch_column: str = "batch_id"
+) -> StreamingQuery:
+    """The same into any table, through a column that holds the number of the batch.
+
+    A batch that runs again is left out when the table has it whole. A database that has only a part of it, because its
+    tasks commit one by one, is not touched: the batch fails until those rows are deleted.
+    """
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        found = _loaded_rows(batch.sparkSession, access, table, batch_column, batch_id)
+        if not found:
+            table_sinks.load_table(batch.withColumn(batch_column, F.lit(batch_id).cast("bigint")), access, table)
+        elif found != batch.count():
+            raise RuntimeError(f"{table} has {found} rows of batch {batch_id}, which is not all of it; delete them")
+
+    writer = stream.writeStream.trigger(availableNow=True).foreachBatch(load)
+    query = writer.option("checkpointLocation", storage.qualify(stream.sparkSession, checkpoint)).start()
+    query.awaitTermination()
+    return query
+
+
+def _loaded_rows(spark: SparkSession, access: TableAccess, table: str, batch_column: str, batch_id: int) -> int:
+    if batch_id == 0 and not _table_exists(spark, access, table):
+        return 0
+    dml = f"SELECT COUNT(*) AS found FROM {table} WHERE {batch_column} = {batch_id}"
+    return scan_table(spark, access, table, dml).first()["found"]
+
+
+def _table_exists(spark: SparkSession, access: TableAccess, table: str) -> bool:
+    if access.dialect == CATALOG:
+        return spark.catalog.tableExists(table)
+    _, relation = table_sinks.split_table_name(access.dialect, table)
+    schema, _, name = relation.rpartition(".")
+    scope = f" AND table_schema = '{schema or table.split('.')[0]}'"
+    dml = f"SELECT COUNT(*) AS found FROM information_schema.tables WHERE table_name = '{name}'{scope}"
+    return scan_table(spark, access, table, dml).first()["found"] > 0

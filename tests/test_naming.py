@@ -1,0 +1,119 @@
+from datetime import datetime
+
+import pytest
+from helpers import put
+from pyspark.sql import functions as F
+
+from portage.functions import naming, params
+from portage.sources import files, manifest
+
+CLOCK = datetime(2024, 2, 1, 12, 30, 30)
+
+
+def value(spark, expression):
+    return naming.evaluate(spark, expression)
+
+
+@pytest.mark.parametrize("name, stamped", [
+    ("sales_yyyymmdd.csv", "sales_20240201.csv"),
+    ("sales_yyyymmddHHMMSS.txt", "sales_20240201123030.txt"),
+    ("sales.csv", "sales.csv"),
+    ("yyyymmdd.csv", "yyyymmdd.csv"),
+])
+def test_stamp_name(spark, name, stamped):
+    assert value(spark, naming.stamp_name(F.lit(name), naming.as_run_ts(CLOCK))) == stamped
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_stamps_follow_the_given_clock_in_every_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert value(spark, naming.datetime_stamp(naming.as_run_ts(CLOCK))) == "20240201123030"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("table", ["db.sales", "db.public.sales", "sales"])
+def test_default_name_uses_the_last_part_of_the_table(spark, table):
+    name = naming.table_file_name(F.lit(table), naming.as_run_ts(CLOCK))
+    assert value(spark, name) == "sales_20240201123030.csv"
+
+
+@pytest.mark.parametrize("path, parts", [
+    ("s3a://bucket/a/b/f_20240101.csv", ("s3a", "bucket", "a/b", "f_20240101.csv")),
+    ("s3a://bucket/f.csv", ("s3a", "bucket", "", "f.csv")),
+    ("s3a://bucket/a/", ("s3a", "bucket", "a", "")),
+    ("s3a:///a/f.csv", ("s3a", "", "a", "f.csv")),
+    ("/a/b/f.csv", ("", "", "/a/b", "f.csv")),
+    ("f.csv", ("", "", "", "f.csv")),
+])
+def test_split_path(spark, path, parts):
+    assert tuple(value(spark, naming.split_path(F.lit(path)))) == parts
+
+
+@pytest.mark.parametrize("name, extension, base", [
+    ("a_20240101.csv", "csv", "a"), ("a.b_1.tar.gz", "gz", "a.b"), ("a_b_c.txt", "txt", "a_b"), ("plain", "", ""),
+])
+def test_extension_and_base(spark, name, extension, base):
+    assert value(spark, naming.file_extension(F.lit(name))) == extension
+    assert value(spark, naming.base_name(F.lit(name))) == base
+
+
+def test_defaults_and_lists(spark):
+    assert value(spark, naming.default_if_blank(F.lit(""), ",")) == ","
+    assert value(spark, naming.default_if_blank(F.lit("|"), ",")) == "|"
+    assert value(spark, naming.split_list(F.lit("a@x.org, b@x.org,, "))) == ["a@x.org", "b@x.org"]
+    assert value(spark, naming.split_list(F.lit(""))) == []
+    assert value(spark, naming.delimiter_for(F.lit("a.txt"))) == "\t"
+    assert value(spark, naming.delimiter_for(F.lit("a.csv"))) == ","
+
+
+def test_task_one_does_not_take_the_parameters_of_task_ten(spark):
+    form = F.create_map(*(F.lit(x) for x in ("path_1", "one", "path_10", "ten", "path_11", "eleven")))
+    assert value(spark, params.without_suffix(form, F.lit(1))) == {"path": "one"}
+    assert value(spark, params.without_suffix(form, F.lit(10))) == {"path": "ten"}
+
+
+NAMES = [
+    "sftp_20241010.txt", "sftp_20241011.txt", "sftp_20241012.txt",
+    "sftp_20241011053445.txt", "sftp_20241012123030.txt", "sftp_20241014123030.txt",
+    "sftp_20241010123456 .txt", "sftp_20241015.txt.bak", "sftp_99999999.txt", "sftp_20241332.txt",
+    "other_20250101.txt", "sftp_20250101.csv", "my.sftp_20250101.txt", "sub/sftp_20250101.txt",
+]
+
+
+@pytest.fixture(scope="module")
+def landing(tmp_path_factory):
+    root = tmp_path_factory.mktemp("names")
+    for name in NAMES:
+        put(root / "in" / name, "a\n1\n")
+    put(root / "in2" / "sftp_20250101.txt", "a\n1\n")
+    return root / "in"
+
+
+def test_latest(spark, landing):
+    assert manifest.find_latest(spark, f"{landing}/sftp_yyyymmdd.txt") == "sftp_20241012.txt"
+    assert manifest.find_latest(spark, f"{landing}/sftp_yyyymmddHHMMSS.txt") == "sftp_20241014123030.txt"
+    assert manifest.find_latest(spark, f"{landing}/none_yyyymmdd.txt") is None
+
+
+def test_pattern_is_literal_and_whole(spark, landing):
+    """A dot in the base is a dot, and nothing may follow the extension."""
+    assert manifest.find_latest(spark, f"{landing}/my.sftp_yyyymmdd.txt") == "my.sftp_20250101.txt"
+    names = spark.createDataFrame([("my.sftp_20250101.txt",), ("my-sftp_20260101.txt",), ("my.sftp_20270101.txtx",)], ["name"])
+    assert manifest.latest_name(names, "my.sftp_yyyymmdd.txt").first().name == "my.sftp_20250101.txt"
+
+
+def test_manifest_lists_direct_children_with_known_extensions(spark, landing):
+    listed = manifest.list_files(spark, str(landing)).collect()
+    assert {r.name for r in listed} == {n for n in NAMES if "/" not in n and not n.endswith(".bak")}
+    assert all(r.parts == 1 and r.length == 4 and r.path == f"file:{landing}/{r.name}" for r in listed)
+
+
+def test_names_with_glob_characters(spark, tmp_path):
+    put(tmp_path / "odd[1]{2}" / "a*b_20240101.csv", "a\n1\n")
+    put(tmp_path / "odd[1]{2}" / "aXb_20250101.csv", "a\n2\n")
+    scan = files.scan_file(spark, f"{tmp_path}/odd[1]{{2}}/a*b_yyyymmdd.csv")
+    assert scan.name == "a*b_20240101.csv"
+    assert [tuple(r) for r in scan.df.collect()] == [(1,)]
