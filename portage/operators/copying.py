@@ -6,27 +6,22 @@ Listings and copies use Arrow file systems inside the tasks, so no object passes
 from __future__ import annotations
 
 import math
-import re
-import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyarrow import fs as arrow_fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portage import storage
+from portage.operators import arrow_tasks
 from portage.session import shared_dir
 
+cloudpickle.register_pickle_by_value(arrow_tasks)
+
 _LISTING = "path string, relative string, length bigint, is_directory boolean"
 _COPIED = "target string, length bigint"
 _BYTES_PER_TASK = 256 * 1024 * 1024
 _OBJECTS_PER_TASK = 1000
-_ROWS_PER_BATCH = 10000
-_STREAM_BUFFER = 16 * 1024 * 1024
-# Fixed value: the largest object that S3 copies in one request.
-_S3_COPY_LIMIT = 5 * 1024**3
 
 
 @dataclass(frozen=True)
@@ -35,17 +30,6 @@ class Copied:
     bytes: int
 
 
-def _open(uri: str, options: dict) -> tuple[arrow_fs.FileSystem, str]:
-    """Arrow file system and inner path for a URI as Hadoop writes it."""
-    kind, rest = uri.split(":", 1)
-    if kind == "file":
-        return arrow_fs.LocalFileSystem(), "/" + rest.lstrip("/")
-    if kind in ("s3", "s3a", "s3n"):
-        return arrow_fs.S3FileSystem(**options), rest.lstrip("/")
-    authority = re.match(r"//[^/]*", rest).group(0)
-    return arrow_fs.FileSystem.from_uri(f"{kind}:{authority}/")[0], rest[len(authority):]
-
-
 def list_tree(spark: SparkSession, root: str, options: dict | None = None, parallelism: int | None = None) -> DataFrame:
     """Every file below a directory: path, path relative to the root, length. Hidden files count, directories do not.
 
@@ -55,23 +39,7 @@ def list_tree(spark: SparkSession, root: str, options: dict | None = None, paral
     tasks = parallelism or spark.sparkContext.defaultParallelism
     base = shared_dir(spark, "listing")
 
-    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for directory, relative in zip(batch["path"].to_pylist(), batch["relative"].to_pylist()):
-                filesystem, inner = _open(directory, options)
-                infos = filesystem.get_file_info(arrow_fs.FileSelector(inner))
-                for start in range(0, len(infos), _ROWS_PER_BATCH):
-                    some = infos[start:start + _ROWS_PER_BATCH]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([f"{directory.rstrip('/')}/{info.base_name}" for info in some], pa.string()),
-                            pa.array([f"{relative}{info.base_name}" for info in some], pa.string()),
-                            pa.array([info.size or 0 for info in some], pa.int64()),
-                            pa.array([info.type == arrow_fs.FileType.Directory for info in some], pa.bool_()),
-                        ],
-                        names=["path", "relative", "length", "is_directory"],
-                    )
-
+    list_children = arrow_tasks.list_children
     levels: list[str] = []
     start = (storage.qualify(spark, root), "")
     frontier = spark.createDataFrame([start], "path string, relative string").coalesce(1)
@@ -79,7 +47,7 @@ def list_tree(spark: SparkSession, root: str, options: dict | None = None, paral
         levels.append(f"{base}/level-{len(levels)}")
         # The root alone is one task; below it, directories are spread by hash.
         spread = frontier if len(levels) == 1 else frontier.repartition(tasks, "path")
-        spread.mapInArrow(children, _LISTING).write.parquet(levels[-1])
+        spread.mapInArrow(lambda batches: list_children(batches, options), _LISTING).write.parquet(levels[-1])
         level = spark.read.schema(_LISTING).parquet(levels[-1])
         frontier = level.where("is_directory").select("path", F.concat("relative", F.lit("/")).alias("relative"))
         if frontier.isEmpty():
@@ -101,47 +69,13 @@ def copy_objects(plan: DataFrame, source_options: dict | None = None, target_opt
     """
     source_options, target_options = source_options or {}, target_options or {}
 
-    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for source, target, length in zip(*(batch[name].to_pylist() for name in ("source", "target", "length"))):
-                _copy_one(source, target, length, source_options, target_options)
-            yield batch.select(["target", "length"])
-
+    copy_files = arrow_tasks.copy_files
     totals = plan.agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
     tasks = max(math.ceil(totals["bytes"] / _BYTES_PER_TASK), math.ceil(totals["objects"] / _OBJECTS_PER_TASK), 1)
     cores = plan.sparkSession.sparkContext.defaultParallelism
     spread = plan.repartition(max(tasks, min(cores, totals["objects"]), 1), "source")
-    done = spread.mapInArrow(copy, _COPIED).agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    return Copied(*done)
-
-
-def _copy_one(source: str, target: str, length: int, source_options: dict, target_options: dict) -> None:
-    source_fs, source_path = _open(source, source_options)
-    target_fs, target_path = _open(target, target_options)
-    if isinstance(target_fs, arrow_fs.S3FileSystem):
-        # An object appears whole or not at all, so it needs no partial name.
-        _transfer_bytes(source_fs, source_path, target_fs, target_path, length > _S3_COPY_LIMIT)
-    else:
-        directory, name = target_path.rsplit("/", 1)
-        partial = f"{directory}/_copying_{uuid.uuid4().hex}_{name}"
-        target_fs.create_dir(directory, recursive=True)
-        _transfer_bytes(source_fs, source_path, target_fs, partial)
-        target_fs.move(partial, target_path)
-    written = target_fs.get_file_info(target_path).size
-    if written != length:
-        raise OSError(f"{target} has {written} bytes instead of {length}")
-
-
-def _transfer_bytes(
-    source_fs: arrow_fs.FileSystem, source: str, target_fs: arrow_fs.FileSystem, target: str, streamed: bool = False
-) -> None:
-    """Copy inside the file system where it is one and the same, else as a stream of bounded size."""
-    if not streamed:
-        arrow_fs.copy_files(source, target, source_fs, target_fs)
-        return
-    with source_fs.open_input_stream(source) as reading, target_fs.open_output_stream(target) as writing:
-        while chunk := reading.read(_STREAM_BUFFER):
-            writing.write(chunk)
+    copied = spread.mapInArrow(lambda batches: copy_files(batches, source_options, target_options), _COPIED)
+    return Copied(*copied.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first())
 
 
 def copy_tree(

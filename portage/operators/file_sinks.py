@@ -18,7 +18,9 @@ from portage import storage
 from portage.functions import naming
 from portage.operators.counting import RowCount
 
+# Results up to these sizes become one file. Text is joined as bytes; Parquet is encoded again, which costs more.
 SINGLE_FILE_LIMIT = 64 * 1024 * 1024
+SINGLE_PARQUET_LIMIT = 8 * 1024 * 1024
 
 # Microseconds and outer blanks would be lost with Spark's defaults for writing.
 LOSSLESS = {
@@ -72,7 +74,7 @@ def write_raw(
     return write_delimited(df, target, header, chosen, single_file_limit, **options)
 
 
-def write_parquet(df: DataFrame, target: str, single_file_limit: int = SINGLE_FILE_LIMIT) -> Published:
+def write_parquet(df: DataFrame, target: str, single_file_limit: int = SINGLE_PARQUET_LIMIT) -> Published:
     """Parquet under an exact path, replacing what is there."""
 
     def write(parts: DataFrame, path: str) -> None:
@@ -132,22 +134,25 @@ def _replace(spark: SparkSession, new: str, target: str, token: str) -> None:
 
 
 def _join_text(spark: SparkSession, parts: str, joined: str, header: bool) -> None:
-    """Join small part files, in part order, into one; only the first keeps its header line."""
-    text = F.col("content").cast("string")
-    files = (
-        spark.read.format("binaryFile")
-        .load(storage.join(storage.glob_escape(parts), "part-*"))
-        .select("path", text.alias("text"))
-    )
+    """Join small part files, in part order, into one; only the first keeps its header line.
+
+    Works on bytes: each file is a row, cut by the length of the header line and by the last line end, which the text
+    sink puts back.
+    """
+    files = spark.read.format("binaryFile").load(storage.join(storage.glob_escape(parts), "part-*"))
+    skipped = F.lit(0)
     if header:
-        first = files.agg(F.min("path")).first()[0]
-        body = F.substring("text", F.instr("text", "\n") + 1, F.length("text"))
-        files = files.withColumn("text", F.when(F.col("path") == first, F.col("text")).otherwise(body))
+        first = storage.join(parts, min(storage.glob_names(spark, storage.join(storage.glob_escape(parts), "part-*"))))
+        first_line = F.substring_index(F.col("content").cast("string"), "\n", 1)
+        header_row = files.where(F.col("path") == first).select((F.octet_length(first_line) + 1).alias("bytes")).first()
+        skipped = F.when(F.col("path") == first, F.lit(0)).otherwise(F.lit(header_row["bytes"]))
+    rows = F.substring("content", skipped + 1, F.col("length").cast("int") - skipped - 1)
     (
-        files.where(F.length("text") > 0)
+        files.where(F.col("length") > skipped)
+        .select("path", rows.cast("string").alias("rows"))
         .coalesce(1)
         .sortWithinPartitions("path")
-        .select(F.substring("text", F.lit(1), F.length("text") - 1))
+        .select("rows")
         .write.option("lineSep", "\n")
         .text(joined)
     )

@@ -1,9 +1,11 @@
 import hashlib
 import os
+import subprocess
+import sys
 
 import pytest
 
-from portage.operators import copying
+from portage.operators import arrow_tasks, copying
 
 
 def digests(root):
@@ -63,12 +65,30 @@ def test_file_that_changed_size_fails(spark, tree, tmp_path):
 
 
 def test_streamed_copy(tree, tmp_path, monkeypatch):
-    monkeypatch.setattr(copying, "_STREAM_BUFFER", 64)
-    local = copying._open(f"file:{tree}", {})[0]
-    copying._transfer_bytes(local, f"{tree}/b/d/e.txt", local, f"{tmp_path}/e.txt", streamed=True)
+    monkeypatch.setattr(arrow_tasks, "STREAM_BUFFER", 64)
+    local = arrow_tasks.open_filesystem(f"file:{tree}", {})[0]
+    arrow_tasks.transfer_bytes(local, f"{tree}/b/d/e.txt", local, f"{tmp_path}/e.txt", streamed=True)
     assert (tmp_path / "e.txt").read_bytes() == (tree / "b/d/e.txt").read_bytes()
 
 
 def test_paths_of_other_schemes():
-    filesystem, path = copying._open("s3a://bucket/a/b.csv", {"region": "us-east-1", "access_key": "k", "secret_key": "s"})
+    filesystem, path = arrow_tasks.open_filesystem("s3a://bucket/a/b.csv", {"region": "us-east-1", "access_key": "k", "secret_key": "s"})
     assert filesystem.type_name == "s3" and path == "bucket/a/b.csv"
+
+
+def test_executors_need_not_have_the_package(tree, tmp_path):
+    """Copies run where the driver alone can import it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config(
+    "spark.checkpoint.dir", {str(tmp_path / 'shared')!r}).getOrCreate()
+sys.path.insert(0, {root!r})
+from portage.operators import copying
+assert copying.copy_tree(spark, {str(tree)!r}, {str(tmp_path / 'to')!r}).objects == 6
+"""
+    env = {name: value for name, value in os.environ.items() if name != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert digests(tree) == digests(tmp_path / "to")
