@@ -68,8 +68,13 @@ def copy_file(source: str, target: str, length: int, source_options: dict, targe
         directory, name = target_path.rsplit("/", 1)
         partial = f"{directory}/_copying_{uuid.uuid4().hex}_{name}"
         target_fs.create_dir(directory, recursive=True)
-        transfer_bytes(source_fs, source_path, target_fs, partial)
-        target_fs.move(partial, target_path)
+        try:
+            transfer_bytes(source_fs, source_path, target_fs, partial)
+            target_fs.move(partial, target_path)
+        except Exception:
+            if target_fs.get_file_info(partial).type == arrow_fs.FileType.File:
+                target_fs.delete_file(partial)
+            raise
     written = target_fs.get_file_info(target_path).size
     if written != length:
         raise OSError(f"{target} has {written} bytes instead of {length}")

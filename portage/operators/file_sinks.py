@@ -104,10 +104,11 @@ def _publish(
     try:
         write(counted.df, parts)
         part_glob = storage.join(storage.glob_escape(parts), "part-*")
-        part_count = storage.glob_count(spark, part_glob)
-        if part_count == 1:
+        one_part = storage.glob_count(spark, part_glob) == 1
+        small = storage.total_bytes(spark, parts) <= single_file_limit
+        if one_part and (small or not direct):
             _replace(spark, storage.glob_one(spark, part_glob), target, token)
-        elif storage.total_bytes(spark, parts) <= single_file_limit:
+        elif small:
             join(spark, parts, joined)
             joined_part = storage.glob_one(spark, storage.join(storage.glob_escape(joined), "part-*"))
             _replace(spark, joined_part, target, token)

@@ -175,6 +175,24 @@ def publish_single(spark, sf_dir):
     return files.scan_delimited(spark, published.path, schema=events.schema)
 
 
+@check("""
+SELECT CASE o_orderstatus WHEN 'F' THEN 'finished.csv' WHEN 'O' THEN 'open.txt' ELSE 'other.csv' END AS source_file,
+  count(*) AS orders, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key
+FROM orders GROUP BY 1
+""")
+def source_file_lineage(spark, sf_dir):
+    """Rows of a directory by the file they come from; a folder of parts counts as its file."""
+    orders, work = table(spark, sf_dir, "orders"), shared_dir(spark, "directory")
+    file_sinks.write_delimited(orders.where("o_orderstatus = 'F'"), f"{work}/finished.csv")
+    file_sinks.write_delimited(orders.where("o_orderstatus = 'O'"), f"{work}/open.txt")
+    rest = orders.where("o_orderstatus NOT IN ('F', 'O')").repartition(4)
+    file_sinks.write_delimited(rest, f"{work}/other.csv", single_file_limit=0)
+    rows = files.with_source_file(files.scan_directory(spark, work, schema=orders.schema))
+    return rows.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("orders"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key")
+    )
+
+
 # Listings and names --------------------------------------------------------------------------------------------------
 
 LATEST_DAY = "SELECT * FROM events WHERE ts::DATE = (SELECT max(ts::DATE) FROM events)"
@@ -525,6 +543,29 @@ def transfer_landing_file(spark, sf_dir):
     return files.scan_delimited(spark, target, schema=part.schema)
 
 
+@check("SELECT * FROM documents")
+def transfer_landing_multiline(spark, sf_dir):
+    """Texts with line ends, quotes and tabs go from tab to comma and stay whole."""
+    documents, work = table(spark, sf_dir, "documents"), shared_dir(spark, "transfer")
+    file_sinks.write_delimited(documents, f"{work}/landing/docs.txt", delimiter="\t", escape='"')
+    target = transfer(
+        new_context(spark, work), spec.LANDING_TO_FILE, source_sftp_file_path=f"{work}/landing/docs.txt",
+        target_s3_file_path=f"{work}/in/docs_yyyymmdd.csv", csv_escape='"', csv_multiLine="true",
+    )
+    return files.scan_delimited(spark, target, schema=documents.schema, **RFC_QUOTES)
+
+
+@check("SELECT * FROM conversations")
+def transfer_tree(spark, sf_dir):
+    """A directory tree, copied and read back with its folders as a column."""
+    conversations, work = table(spark, sf_dir, "conversations"), shared_dir(spark, "transfer")
+    conversations.write.partitionBy("role").parquet(f"{work}/from/chats")
+    target = transfer(
+        new_context(spark, work), spec.FILE_TO_FILE, source_s3_file_path=f"{work}/from/", target_s3_file_path=f"{work}/to/"
+    )
+    return spark.read.schema(conversations.schema).parquet(f"{target}chats").select(*conversations.columns)
+
+
 @check("SELECT * FROM events WHERE event_type = 'click'")
 def ordered_run(spark, sf_dir):
     """Newest landed text file, to a stamped CSV, into a table, and a query on it to a stamped Parquet file."""
@@ -636,3 +677,15 @@ def incremental_ingest(spark, sf_dir):
     file_sinks.write_delimited(events.where("event_id % 2 <> 0"), f"{work}/landing/events_20240131.csv", single_file_limit=0)
     run()
     return spark.table(f"{database}.events")
+
+
+@check("SELECT *, event_id % 2 AS batch_id FROM events")
+def incremental_database(spark, sf_dir):
+    """The same through batches that are numbered in the target table."""
+    events, work, database = table(spark, sf_dir, "events"), shared_dir(spark, "ingest"), new_database(spark)
+    for odd in (0, 1):
+        published = file_sinks.write_delimited(events.where(f"event_id % 2 = {odd}"), f"{work}/landing/events_{odd}.csv")
+        for _ in range(2):
+            stream = ingest.read_new_files(spark, f"{storage.parent(published.path)}/*.csv", events.schema)
+            ingest.ingest_available_to_database(stream, WAREHOUSE, f"{database}.events", f"{work}/checkpoint")
+    return spark.table(f"{database}.events")

@@ -99,20 +99,31 @@ def _audit(context: RunContext, task: TaskSpec, task_order: int, source: tuple[s
     )
 
 
-def _csv_options(task: TaskSpec) -> dict:
-    """Reader options of a task. Beyond the form: ``schema``, ``sampling_ratio`` and ``csv_<Spark option>``."""
-    options = {key[len("csv_"):]: value for key, value in task.params.items() if key.startswith("csv_")}
+def _text_options(task: TaskSpec) -> dict[str, str]:
+    """Spark options for text files, given as ``csv_<option>``; they hold for reading and writing."""
+    return {key[len("csv_"):]: value for key, value in task.params.items() if key.startswith("csv_")}
+
+
+def _has_header(task: TaskSpec) -> bool:
+    return task.get("header_row", "True").lower() == "true"
+
+
+def _scan_options(task: TaskSpec) -> dict:
+    """Reader options of a task: header, delimiter, schema, sampling."""
+    options: dict = {"header": _has_header(task), "delimiter": task.get("file_delimiter", ","), **_text_options(task)}
     if task.get("schema"):
         options["schema"] = task.get("schema")
     if task.get("sampling_ratio"):
         options["sampling_ratio"] = float(task.get("sampling_ratio"))
-    header = task.get("header_row", "True").lower() == "true"
-    return {"header": header, "delimiter": task.get("file_delimiter", ","), **options}
+    return options
 
 
 def _partitioning(task: TaskSpec) -> Partitioning | None:
     column = task.get("partition_column")
-    return Partitioning(column, int(task.get("num_partitions", "1"))) if column else None
+    if not column:
+        return None
+    lower, upper = task.get("lower_bound") or None, task.get("upper_bound") or None
+    return Partitioning(column, int(task.get("num_partitions", "1")), lower, upper)
 
 
 def _scan_source_table(context: RunContext, task: TaskSpec):
@@ -136,7 +147,7 @@ def file_to_table(context: RunContext, task: TaskSpec, task_order: int) -> Trans
         context, task, task_order, ("source_s3_access", "source_s3_file_path"), ("target_access_db", "target_table")
     )
     try:
-        scan = files.scan_file(context.spark, audit.source, **_csv_options(task))
+        scan = files.scan_file(context.spark, audit.source, **_scan_options(task))
     except Exception as error:
         return audit.failed("read", error)
     try:
@@ -163,7 +174,8 @@ def table_to_file(context: RunContext, task: TaskSpec, task_order: int) -> Trans
         if naming.extension_of(path) == "parquet":
             published = file_sinks.write_parquet(df, path)
         else:
-            published = file_sinks.write_delimited(df, path, delimiter=task.get("target_file_delimiter", ","))
+            delimiter = task.get("target_file_delimiter", ",")
+            published = file_sinks.write_delimited(df, path, delimiter=delimiter, **_text_options(task))
     except Exception as error:
         return audit.failed("write", error, query)
     return audit.moved(published.rows, query, query, published.path, published.name)
@@ -179,14 +191,14 @@ def landing_to_file(context: RunContext, task: TaskSpec, task_order: int) -> Tra
         context, task, task_order,
         ("source_sftp_access", "source_sftp_file_path"), ("target_s3_access", "target_s3_file_path"),
     )
-    header = _csv_options(task)["header"]
+    header, options = _has_header(task), _text_options(task)
     try:
         exact = files.resolve(context.spark, audit.source)
         name = storage.last_part(exact)
         if naming.extension_of(name) == "parquet":
             df = files.scan_parquet(context.spark, storage.glob_escape(exact))
         else:
-            df = files.scan_raw(context.spark, storage.glob_escape(exact), header)
+            df = files.scan_raw(context.spark, storage.glob_escape(exact), header, **options)
     except Exception as error:
         return audit.failed("read", error)
     try:
@@ -194,7 +206,7 @@ def landing_to_file(context: RunContext, task: TaskSpec, task_order: int) -> Tra
         if naming.extension_of(path) == "parquet":
             published = file_sinks.write_parquet(df, path)
         else:
-            published = file_sinks.write_raw(df, path, header)
+            published = file_sinks.write_raw(df, path, header, **options)
     except Exception as error:
         return audit.failed("write", error, name)
     return audit.moved(published.rows, name, name, published.path, published.name)

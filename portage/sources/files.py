@@ -81,8 +81,11 @@ def scan_directory(spark: SparkSession, directory: str, **csv_options) -> DataFr
 
 
 def with_source_file(df: DataFrame) -> DataFrame:
-    """File scan with the name of the file that each row comes from."""
-    return df.select("*", F.col("_metadata.file_name").alias("source_file"))
+    """File scan with the name of the file, or folder of parts, that each row comes from."""
+    name = r"([^/]+\.(?:%s))(?:/part-[^/]*)?$" % "|".join(naming.EXTENSIONS)
+    # The path is percent-encoded, but with its plus signs as they are.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return df.select("*", F.regexp_extract(path, name, 1).alias("source_file"))
 
 
 def resolve(spark: SparkSession, path: str) -> str:

@@ -132,3 +132,22 @@ def test_directory_with_columns_in_another_order_is_refused(spark, tmp_path):
     put(tmp_path / "y.csv", "b,a\n2,1\n")
     with pytest.raises(Exception, match="header"):
         files.scan_directory(spark, str(tmp_path)).collect()
+
+
+def test_lineage_of_odd_names_and_parts(spark, tmp_path):
+    put(tmp_path / "a b+%20.csv", "id\n1\n")
+    file_sinks.write_delimited(spark.range(4).repartition(2), f"{tmp_path}/n.csv", single_file_limit=0)
+    rows = files.with_source_file(files.scan_directory(spark, str(tmp_path))).select("source_file").distinct().collect()
+    assert {r[0] for r in rows} == {"a b+%20.csv", "n.csv"}
+
+
+def test_null_and_empty_string_with_options(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "k int, v string")
+    marks = {"nullValue": "\\N"}
+    published = file_sinks.write_delimited(df, f"{tmp_path}/n.csv", **marks)
+    same_rows(files.scan_delimited(spark, published.path, schema=df.schema, **marks), df)
+
+
+def test_options_that_cannot_be_joined_stay_parts(spark, tmp_path):
+    published = file_sinks.write_delimited(spark.range(9).repartition(3), f"{tmp_path}/n.csv", compression="gzip")
+    assert os.path.isdir(tmp_path / "n.csv") and spark.read.csv(published.path, header=True).count() == 9

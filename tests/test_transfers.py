@@ -187,6 +187,15 @@ def test_database_that_cannot_be_reached_is_logged_as_failed(spark, tmp_path):
     assert audit(ctx) == [("read", "( SELECT * FROM shop.public.orders ) AS query", 0, "", "failed")]
 
 
+def test_arrays_go_to_parquet_but_not_to_text(spark, ctx, tmp_path, sf_dir):
+    database = checks._store(spark, sf_dir, "embeddings")
+    source = {"source_access_db": "warehouse", "source_table": f"{database}.embeddings"}
+    assert not run(ctx, spec.TABLE_TO_FILE, 0, **source, target_s3_file_path=f"{tmp_path}/e.csv").ok
+    written = run(ctx, spec.TABLE_TO_FILE, 1, **source, target_s3_file_path=f"{tmp_path}/e.parquet")
+    same_rows(spark.read.parquet(written.target), spark.table(f"{database}.embeddings"))
+    assert [a[0::4] for a in audit(ctx)] == [("write", "failed"), ("read", "success"), ("write", "success")]
+
+
 def chain(tmp_path, target):
     return [
         TaskSpec(spec.LANDING_TO_FILE, {
