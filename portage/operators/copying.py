@@ -42,16 +42,15 @@ def list_tree(spark: SparkSession, root: str, options: dict | None = None, paral
     list_children = arrow_tasks.list_children
     levels: list[str] = []
     start = (storage.qualify(spark, root), "")
-    frontier = spark.createDataFrame([start], "path string, relative string").coalesce(1)
-    while True:
+    frontier = spark.createDataFrame([start], "path string, relative string")
+    directories = 1
+    while directories:
         levels.append(f"{base}/level-{len(levels)}")
-        # The root alone is one task; below it, directories are spread by hash.
-        spread = frontier if len(levels) == 1 else frontier.repartition(tasks, "path")
+        spread = frontier.repartition(min(tasks, directories), "path")
         spread.mapInArrow(lambda batches: list_children(batches, options), _LISTING).write.parquet(levels[-1])
         level = spark.read.schema(_LISTING).parquet(levels[-1])
         frontier = level.where("is_directory").select("path", F.concat("relative", F.lit("/")).alias("relative"))
-        if frontier.isEmpty():
-            break
+        directories = frontier.count()
     return spark.read.schema(_LISTING).parquet(*levels).where("not is_directory").drop("is_directory")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portage import storage
 from portage.functions import naming, params
+from portage.operators.stores import FolderStore, TableStore
+from portage.sources.tables import TableAccess
 
 # Columns of the registry and the JSON shapes of its tasks.
 SCHEMA = (
@@ -17,10 +18,11 @@ FORM_TASKS = "map<string, map<string, string>>"
 
 
 class Registry:
-    """Append-only registry in a folder of Parquet files."""
+    """Append-only registry in a folder or a table."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str = "", access: TableAccess | None = None, table: str = ""):
+        self.spark = spark
+        self.store = FolderStore(path, SCHEMA) if access is None else TableStore(access, table, SCHEMA)
 
     def append(self, pipelines: DataFrame) -> None:
         """Add pipelines (name, recipients, schedule, tasks as array or JSON); ids are unique and grow."""
@@ -35,12 +37,10 @@ class Registry:
             "cron_schedule",
             services.alias("services"),
         )
-        rows.write.mode("append").parquet(self.path)
+        self.store.append(rows)
 
     def read(self) -> DataFrame:
-        if not storage.exists(self.spark, self.path):
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.store.read(self.spark)
 
 
 def task_rows(registry: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from portage import storage
 from portage.functions import naming
+from portage.operators.stores import FolderStore, TableStore
+from portage.sources.tables import TableAccess
 
 # Columns of the run log and of the report, in order.
 SCHEMA = (
@@ -44,13 +45,15 @@ class AuditRow:
 
 
 class RunLog:
-    """Append-only log in a folder of Parquet files, one sub-folder per run, so that a report opens only its run's files.
+    """Append-only log; old rows are never changed.
 
-    Appends are atomic, and old rows are never changed.
+    In a folder, each run has its own sub-folder, so that a report opens only its run's files.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str = "", access: TableAccess | None = None, table: str = ""):
+        self.spark = spark
+        folder = FolderStore(path, SCHEMA, ("run_id",))
+        self.store = folder if access is None else TableStore(access, table, SCHEMA)
 
     def append(self, *rows: AuditRow, at: datetime | None = None) -> None:
         """Append rows, all with one clock value: the given one, or now."""
@@ -61,12 +64,10 @@ class RunLog:
 
     def append_rows(self, rows: DataFrame) -> None:
         typed = [F.col(name).cast(kind) for name, kind in (column.split() for column in SCHEMA.split(", "))]
-        rows.select(*typed).write.mode("append").partitionBy("run_id").parquet(self.path)
+        self.store.append(rows.select(*typed))
 
     def read(self) -> DataFrame:
-        if not storage.exists(self.spark, self.path):
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.path).select(*COLUMNS)
+        return self.store.read(self.spark).select(*COLUMNS)
 
     def correct_status(self, run_id: str, task_order: int, operation: str, status: str) -> None:
         """Set the status of one operation of one task, by appending a correcting row."""

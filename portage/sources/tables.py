@@ -115,3 +115,15 @@ def scan_table(
         lower, upper = (lo if lower is None else lower), (hi if upper is None else upper)
     ranges = range_options(partitioning, lower, upper)
     return spark.read.format("jdbc").options(dbtable=relation, **options, **ranges).load()
+
+
+def table_exists(spark: SparkSession, access: TableAccess, table: str) -> bool:
+    if access.dialect == CATALOG:
+        return spark.catalog.tableExists(table)
+    database, relation = split_table_name(access.dialect, table)
+    schema, _, name = relation.rpartition(".")
+    dml = (
+        "SELECT COUNT(*) AS found FROM information_schema.tables "
+        f"WHERE table_schema = '{schema or database}' AND table_name = '{name}'"
+    )
+    return scan_table(spark, access, table, dml).first()["found"] > 0

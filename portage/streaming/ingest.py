@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from portage import storage
 from portage.operators import table_sinks
-from portage.sources.tables import CATALOG, TableAccess, scan_table
+from portage.sources.tables import TableAccess, scan_table, table_exists
 
 
 def read_new_files(
@@ -70,17 +70,7 @@ def ingest_available_to_database(
 
 
 def _loaded_rows(spark: SparkSession, access: TableAccess, table: str, batch_column: str, batch_id: int) -> int:
-    if batch_id == 0 and not _table_exists(spark, access, table):
+    if batch_id == 0 and not table_exists(spark, access, table):
         return 0
     dml = f"SELECT COUNT(*) AS found FROM {table} WHERE {batch_column} = {batch_id}"
     return scan_table(spark, access, table, dml).first()["found"]
-
-
-def _table_exists(spark: SparkSession, access: TableAccess, table: str) -> bool:
-    if access.dialect == CATALOG:
-        return spark.catalog.tableExists(table)
-    _, relation = table_sinks.split_table_name(access.dialect, table)
-    schema, _, name = relation.rpartition(".")
-    scope = f" AND table_schema = '{schema or table.split('.')[0]}'"
-    dml = f"SELECT COUNT(*) AS found FROM information_schema.tables WHERE table_name = '{name}'{scope}"
-    return scan_table(spark, access, table, dml).first()["found"] > 0

@@ -1,19 +1,24 @@
 from datetime import datetime
 
+import pytest
 from helpers import same_rows
 from pyspark.sql import functions as F
 
 from portage.operators import runlog
 from portage.operators.runlog import AuditRow, RunLog
 from portage.plans import checks
+from portage.sources.tables import TableAccess
 
 
 def row(task_order, operation, service="S3-DB", run_id="r", status="success", count=1):
     return AuditRow("p", run_id, service, task_order, "src", "in/x", "it's.csv", operation, count, "tgt", "t", "", status)
 
 
-def test_rows_are_typed(spark, tmp_path):
+@pytest.mark.parametrize("place", ["folder", "table"])
+def test_rows_are_typed(spark, tmp_path, place):
     log = RunLog(spark, f"{tmp_path}/log")
+    if place == "table":
+        log = RunLog(spark, access=TableAccess(), table=f"{checks.new_database(spark)}.run_log")
     assert log.read().isEmpty()
     log.append(row(10, "read"), at=datetime(2024, 2, 1, 12, 30, 30))
     stored = log.read()

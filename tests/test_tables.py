@@ -2,6 +2,7 @@
 
 import pytest
 from helpers import same_rows
+from pyspark.sql.classic.dataframe import DataFrame
 
 from portage.operators import table_sinks
 from portage.plans import checks
@@ -87,3 +88,96 @@ def test_load_types():
         "append", "overwrite", "append")
     with pytest.raises(ValueError):
         table_sinks.load_mode("Merge")
+
+
+class Recorder:
+    """Stands in for a reader or writer: keeps what it is told, and answers with a given frame."""
+
+    def __init__(self, answers=()):
+        self.calls, self.answers = [], list(answers)
+
+    @property
+    def read(self):
+        self.told = {}
+        return self
+
+    def format(self, name):
+        self.told["format"] = name
+        return self
+
+    def mode(self, name):
+        self.told["mode"] = name
+        return self
+
+    def options(self, **options):
+        self.told.update(options)
+        return self
+
+    def load(self):
+        self.calls.append(self.told)
+        return self.answers.pop(0) if self.answers else None
+
+    def jdbc(self, url, relation, predicates, properties):
+        self.calls.append({"url": url, "dbtable": relation, "predicates": predicates, **properties})
+
+
+def test_jdbc_scan_of_a_table_and_of_a_query():
+    spark = Recorder()
+    tables.scan_table(spark, PSQL, "shop.public.orders")
+    tables.scan_table(spark, MYSQL, "shop.orders", "SELECT a FROM shop.orders;")
+    assert [(c["format"], c["dbtable"]) for c in spark.calls] == [
+        ("jdbc", "( SELECT * FROM shop.public.orders ) AS query"), ("jdbc", "( SELECT a FROM shop.orders ) AS query")]
+    assert "partitionColumn" not in spark.calls[0]
+
+
+def test_jdbc_scan_by_ranges_asks_for_missing_bounds(spark):
+    bounds = spark.createDataFrame([(5, 90)], "lo int, hi int")
+    recorder = Recorder([bounds])
+    tables.scan_table(recorder, PSQL, "shop.public.orders", partitioning=Partitioning("id", 8, upper="100"))
+    asked, read = recorder.calls
+    assert asked["dbtable"] == (
+        "( SELECT MIN(id) AS lo, MAX(id) AS hi FROM ( SELECT * FROM shop.public.orders ) AS query ) AS bounds")
+    assert (read["partitionColumn"], read["lowerBound"], read["upperBound"], read["numPartitions"]) == ("id", "5", "100", "8")
+
+
+def test_jdbc_scan_by_ranges_of_an_empty_table(spark):
+    recorder = Recorder([spark.createDataFrame([(None, None)], "lo int, hi int")])
+    tables.scan_table(recorder, PSQL, "shop.public.orders", partitioning=Partitioning("id", 8))
+    assert "partitionColumn" not in recorder.calls[1]
+
+
+def test_jdbc_scan_by_predicates():
+    recorder = Recorder()
+    parts = ("id < 10", "id >= 10 OR id IS NULL")
+    tables.scan_table(recorder, MYSQL, "shop.orders", partitioning=Partitioning(predicates=parts))
+    assert recorder.calls[0]["predicates"] == list(parts) and recorder.calls[0]["user"] == "me"
+
+
+@pytest.mark.parametrize("load_type, mode", [("Append", "append"), ("Overwrite", "overwrite")])
+def test_jdbc_load(spark, monkeypatch, load_type, mode):
+    """What the JDBC sink is told; the rows go to a sink that drops them, and are counted on the way."""
+
+    class Writer(Recorder):
+        def save(self):
+            self.calls.append(self.told)
+            plain_write(self.frame).format("noop").mode("overwrite").save()
+
+    writer, plain_write = Writer(), DataFrame.write.fget
+
+    def write(frame):
+        writer.told, writer.frame = {}, frame
+        return writer
+
+    monkeypatch.setattr(DataFrame, "write", property(write))
+    rows = table_sinks.load_table(spark.range(11), PSQL, "shop.public.orders", load_type, truncate=True, batch_size=7)
+    (told,) = writer.calls
+    assert rows == 11 and told["format"] == "jdbc" and told["mode"] == mode and told["dbtable"] == "public.orders"
+    assert told["batchsize"] == "7" and told["truncate"] == "true"
+
+
+def test_tables_are_looked_up_in_their_schema(spark):
+    recorder = Recorder([spark.createDataFrame([(1,)], "found int"), spark.createDataFrame([(0,)], "found int")])
+    assert tables.table_exists(recorder, PSQL, "shop.public.orders")
+    assert not tables.table_exists(recorder, MYSQL, "shop.orders")
+    assert "table_schema = 'public' AND table_name = 'orders'" in recorder.calls[0]["dbtable"]
+    assert "table_schema = 'shop' AND table_name = 'orders'" in recorder.calls[1]["dbtable"]
