@@ -81,7 +81,7 @@ def write_parquet(df: DataFrame, target: str, single_file_limit: int = SINGLE_PA
         parts.write.mode("overwrite").parquet(path)
 
     def join(spark: SparkSession, parts: str, joined: str) -> None:
-        spark.read.parquet(parts).coalesce(1).write.parquet(joined)
+        spark.read.parquet(storage.glob_escape(parts)).coalesce(1).write.parquet(joined)
 
     return _publish(df, target, write, join, single_file_limit)
 

@@ -26,7 +26,7 @@ class FolderStore:
     def read(self, spark: SparkSession) -> DataFrame:
         if not storage.exists(spark, self.path):
             return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(self.path)
+        return spark.read.schema(self.schema).parquet(storage.glob_escape(self.path))
 
 
 @dataclass(frozen=True)

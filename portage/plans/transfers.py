@@ -193,6 +193,8 @@ def landing_to_file(context: RunContext, task: TaskSpec, task_order: int) -> Tra
     )
     header, options = _has_header(task), _text_options(task)
     try:
+        if not naming.has_known_extension(audit.source):
+            raise ValueError(f"a landing path names one file, or the newest of a series: {audit.source}")
         exact = files.resolve(context.spark, audit.source)
         name = storage.last_part(exact)
         if naming.extension_of(name) == "parquet":

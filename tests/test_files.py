@@ -41,6 +41,11 @@ def test_parquet_publishes_every_part(spark, tmp_path, limit):
     assert os.path.isfile(tmp_path / "n.parquet") == (limit > 0)
 
 
+def test_parquet_parts_in_a_folder_with_glob_characters(spark, tmp_path):
+    file_sinks.write_parquet(spark.range(10).repartition(3), f"{tmp_path}/a[1]*/n.parquet")
+    assert os.path.isfile(tmp_path / "a[1]*" / "n.parquet")
+
+
 def test_publishing_replaces_and_leaves_nothing_behind(spark, tmp_path):
     for rows, limit in ((50, 0), (20, 10**6), (30, 0), (10, 10**6)):
         file_sinks.write_delimited(spark.range(rows).repartition(3), f"{tmp_path}/n.csv", single_file_limit=limit)

@@ -38,6 +38,16 @@ def test_exact_source_and_target_names_are_copied(ctx, tmp_path):
     assert audit(ctx) == [("copy", "", 1, "b.csv", "success")]
 
 
+def test_folders_with_glob_characters(spark, ctx, tmp_path, target):
+    odd = tmp_path / "a[1]{x,y}*"
+    put(odd / "in/s_20240101.txt", sample_text(4))
+    landed = run(ctx, spec.LANDING_TO_FILE, source_sftp_file_path=f"{odd}/in/s_yyyymmdd.txt", target_s3_file_path=f"{odd}/out/s.parquet")
+    loaded = run(ctx, spec.FILE_TO_TABLE, source_s3_file_path=f"{odd}/out/", target_access_db="warehouse", target_table=target)
+    copied = run(ctx, spec.FILE_TO_FILE, source_s3_file_path=f"{odd}/in", target_s3_file_path=f"{odd}/copy")
+    assert (landed.records, loaded.records, copied.records) == (4, 4, 1)
+    assert os.listdir(odd / "copy") == ["s_20240101.txt"]
+
+
 def test_copy_into_a_directory_keeps_the_source_name(ctx, tmp_path):
     put(tmp_path / "a_20240101.csv", "x\n")
     run(ctx, spec.FILE_TO_FILE, source_s3_file_path=f"{tmp_path}/a_yyyymmdd.csv", target_s3_file_path=f"{tmp_path}/out/")
@@ -82,6 +92,12 @@ def test_landing_without_header_line(ctx, tmp_path):
     assert result.records == 2 and (tmp_path / "out/x.csv").read_text() == "1,a\n2,b\n"
 
 
+def test_landing_path_names_a_file(ctx, tmp_path):
+    put(tmp_path / "in/x.csv", "a\n1\n")
+    assert not run(ctx, spec.LANDING_TO_FILE, source_sftp_file_path=f"{tmp_path}/in/", target_s3_file_path=f"{tmp_path}/out/").ok
+    assert audit(ctx) == [("read", "", 0, "", "failed")]
+
+
 def test_landing_takes_parquet(spark, ctx, tmp_path):
     file_sinks.write_parquet(spark.range(7), f"{tmp_path}/in/x_20240101.parquet")
     result = run(
