@@ -123,7 +123,8 @@ def _partitioning(task: TaskSpec) -> Partitioning | None:
     if not column:
         return None
     lower, upper = task.get("lower_bound") or None, task.get("upper_bound") or None
-    return Partitioning(column, int(task.get("num_partitions", "1")), lower, upper)
+    even = task.get("partition_even").lower() == "true"
+    return Partitioning(column, int(task.get("num_partitions", "1")), lower, upper, even)
 
 
 def _scan_source_table(context: RunContext, task: TaskSpec):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,15 +45,17 @@ class TableAccess:
 class Partitioning:
     """Split of a JDBC read over connections by ranges of a column.
 
-    Choose an indexed column with distinct values, such as the primary key: one value is never split. More partitions
-    than connections even out uneven ranges. Bounds that are left out are asked from the database. ``predicates``, one
-    per partition and together covering every row once, replace the ranges.
+    Choose an indexed column with distinct values, such as the primary key: one value is never split. Ranges are equally
+    wide, between bounds that are given or asked from the database. ``even`` asks it for ranges with equally many rows
+    instead, for columns with gaps or dense spots. ``predicates``, one per partition and together true once for every
+    row, replace the ranges.
     """
 
     column: str = ""
     num_partitions: int = 1
     lower: str | None = None
     upper: str | None = None
+    even: bool = False
     predicates: tuple[str, ...] = ()
 
 
@@ -92,29 +97,56 @@ def range_options(partitioning: Partitioning, lower, upper) -> dict[str, str]:
     }
 
 
+def even_bounds_query(relation: str, column: str, num_partitions: int) -> str:
+    """Query for the lowest value of each of ``num_partitions`` ranges with equally many rows."""
+    ranked = f"SELECT {column}, NTILE({num_partitions}) OVER (ORDER BY {column}) AS part FROM {relation}"
+    return f"( SELECT MIN({column}) AS lo FROM ( {ranked} WHERE {column} IS NOT NULL ) AS ranked GROUP BY part ) AS bounds"
+
+
+def even_predicates(column: str, lows: Sequence[int | float | Decimal | date]) -> list[str]:
+    """One predicate per range from their lowest values. Rows without a value belong to the first.
+
+    Only for numbers, dates and times: the database may sort text in an order of its own.
+    """
+    ordered = sorted(set(lows))
+    if not ordered:
+        return ["1 = 1"]
+    texts = [f"'{low}'" if isinstance(low, date) else str(low) for low in ordered]
+    inner = [f"{column} >= {low} AND {column} < {high}" for low, high in zip(texts[1:], texts[2:])]
+    if len(texts) == 1:
+        return ["1 = 1"]
+    return [f"({column} < {texts[1]} OR {column} IS NULL)", *inner, f"{column} >= {texts[-1]}"]
+
+
 def scan_table(
     spark: SparkSession, access: TableAccess, table: str, dml: str = "", partitioning: Partitioning | None = None
 ) -> DataFrame:
     """A table, or the result of a query that the database runs."""
     if access.dialect == CATALOG:
         return spark.sql(f"SELECT * FROM {query_text(table, dml)}") if dml.strip() else spark.table(table)
-    relation = query_text(table, dml)
-    options = connection_options(access, table)
+    relation, options = query_text(table, dml), connection_options(access, table)
+
+    def load(dbtable: str, **ranges: str) -> DataFrame:
+        return spark.read.format("jdbc").options(dbtable=dbtable, **options, **ranges).load()
+
     if partitioning is None:
-        return spark.read.format("jdbc").options(dbtable=relation, **options).load()
-    if partitioning.predicates:
+        return load(relation)
+    column, predicates = partitioning.column, list(partitioning.predicates)
+    if not predicates and partitioning.even:
+        bounds = load(even_bounds_query(relation, column, partitioning.num_partitions))
+        if bounds.schema["lo"].dataType.typeName() == "string":
+            raise ValueError(f"even ranges need a number, date or time column, which {column} is not")
+        predicates = even_predicates(column, [row["lo"] for row in bounds.collect()])
+    if predicates:
         login = {name: value for name, value in options.items() if name != "url"}
-        return spark.read.jdbc(options["url"], relation, predicates=list(partitioning.predicates), properties=login)
+        return spark.read.jdbc(options["url"], relation, predicates=predicates, properties=login)
     lower, upper = partitioning.lower, partitioning.upper
     if lower is None or upper is None:
-        column = partitioning.column
-        bounds = f"( SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {relation} ) AS bounds"
-        lo, hi = spark.read.format("jdbc").options(dbtable=bounds, **options).load().first()
+        lo, hi = load(f"( SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {relation} ) AS bounds").first()
         if lo is None:
-            return spark.read.format("jdbc").options(dbtable=relation, **options).load()
+            return load(relation)
         lower, upper = (lo if lower is None else lower), (hi if upper is None else upper)
-    ranges = range_options(partitioning, lower, upper)
-    return spark.read.format("jdbc").options(dbtable=relation, **options, **ranges).load()
+    return load(relation, **range_options(partitioning, lower, upper))
 
 
 def table_exists(spark: SparkSession, access: TableAccess, table: str) -> bool:

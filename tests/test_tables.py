@@ -1,5 +1,8 @@
 """JDBC settings are checked as options, since no database is at hand; loads are checked on catalog tables."""
 
+from datetime import datetime
+
+import duckdb
 import pytest
 from helpers import same_rows
 from pyspark.sql.classic.dataframe import DataFrame
@@ -181,3 +184,32 @@ def test_tables_are_looked_up_in_their_schema(spark):
     assert not tables.table_exists(recorder, MYSQL, "shop.orders")
     assert "table_schema = 'public' AND table_name = 'orders'" in recorder.calls[0]["dbtable"]
     assert "table_schema = 'shop' AND table_name = 'orders'" in recorder.calls[1]["dbtable"]
+
+
+@pytest.mark.parametrize("table, column", [("orders", "o_orderkey"), ("orders", "o_orderdate"), ("lineitem", "l_linenumber")])
+def test_even_ranges_hold_every_row_once(sf_dir, table, column):
+    """The text that a database gets, run by DuckDB: with few distinct values, and with rows that have none."""
+    relation = f"( SELECT NULLIF({column}, MAX({column}) OVER ()) AS {column} FROM '{sf_dir}/{table}.parquet' ) AS query"
+    bounds = duckdb.sql(f"SELECT lo FROM {tables.even_bounds_query(relation, column, 8)}").fetchall()
+    predicates = tables.even_predicates(column, [low for (low,) in bounds])
+    tests = ", ".join(f"CASE WHEN {predicate} THEN 1 ELSE 0 END" for predicate in predicates)
+    hits = duckdb.sql(f"SELECT DISTINCT list_sum([{tests}]) FROM {relation}").fetchall()
+    assert hits == [(1,)] and 1 < len(predicates) <= 8
+    if column == "o_orderkey":
+        counts = duckdb.sql("SELECT " + ", ".join(f"COUNT(*) FILTER ({p})" for p in predicates) + f" FROM {relation}").fetchall()[0]
+        assert max(counts) - min(counts) <= 2
+
+
+def test_even_predicates_of_few_values():
+    assert tables.even_predicates("k", []) == tables.even_predicates("k", [3, 3]) == ["1 = 1"]
+    assert tables.even_predicates("t", [datetime(2024, 1, 2), datetime(2024, 1, 1)]) == [
+        "(t < '2024-01-02 00:00:00' OR t IS NULL)", "t >= '2024-01-02 00:00:00'"]
+
+
+def test_jdbc_scan_by_even_ranges(spark):
+    recorder = Recorder([spark.createDataFrame([(5,), (1,)], "lo int")])
+    tables.scan_table(recorder, PSQL, "shop.public.orders", partitioning=Partitioning("id", 2, even=True))
+    assert recorder.calls[1]["predicates"] == ["(id < 5 OR id IS NULL)", "id >= 5"]
+    with pytest.raises(ValueError):
+        texts = Recorder([spark.createDataFrame([("a",)], "lo string")])
+        tables.scan_table(texts, PSQL, "shop.public.orders", partitioning=Partitioning("name", 2, even=True))
