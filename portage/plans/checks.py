@@ -511,6 +511,19 @@ def transfer_table_file(spark, sf_dir):
     return spark.read.parquet(target)
 
 
+@check("SELECT * FROM lineitem")
+def transfer_typed_by_target(spark, sf_dir):
+    """An append that takes its types from the table, with no pass to infer them."""
+    lineitem, work, database = table(spark, sf_dir, "lineitem"), shared_dir(spark, "transfer"), new_database(spark)
+    table_sinks.load_table(lineitem.where("l_linenumber = 1"), WAREHOUSE, f"{database}.lineitem")
+    file_sinks.write_delimited(lineitem.where("l_linenumber <> 1"), f"{work}/lineitem.txt", delimiter="\t")
+    transfer(
+        new_context(spark, work), spec.FILE_TO_TABLE, source_s3_file_path=f"{work}/lineitem.txt", file_delimiter="\t",
+        target_access_db="warehouse", target_table=f"{database}.lineitem", types_from_target="True",
+    )
+    return spark.table(f"{database}.lineitem")
+
+
 @check("SELECT * FROM customer")
 def transfer_table_table(spark, sf_dir):
     database, work = _store(spark, sf_dir, "customer"), shared_dir(spark, "transfer")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portage import storage
@@ -138,21 +138,39 @@ def _load_target_table(context: RunContext, task: TaskSpec, df) -> int:
     return table_sinks.load_table(df, access, task.get("target_table"), task.get("load_type", "Append"), truncate)
 
 
+def _typed_like_target(context: RunContext, task: TaskSpec, df: DataFrame) -> DataFrame:
+    """Columns with the types that the target table has for their names; a value that does not fit is an error."""
+    access, table = context.tables[task.get("target_access_db")], task.get("target_table")
+    types = {column.name.lower(): column.dataType for column in tables.scan_table(context.spark, access, table).schema}
+    columns = {name: F.col("`{}`".format(name.replace("`", "``"))) for name in df.columns}
+    return df.select(
+        *(column.cast(types[name.lower()]).alias(name) if name.lower() in types else column
+          for name, column in columns.items())
+    )
+
+
 def _source_query(task: TaskSpec) -> str:
     return tables.query_text(task.get("source_table"), task.get("dml"))
 
 
 def file_to_table(context: RunContext, task: TaskSpec, task_order: int) -> TransferResult:
-    """Load one file, the newest of a series, or a directory into a table."""
+    """Load one file, the newest of a series, or a directory into a table.
+
+    ``types_from_target`` spares the pass that infers types where the table is there already.
+    """
     audit = _audit(
         context, task, task_order, ("source_s3_access", "source_s3_file_path"), ("target_access_db", "target_table")
     )
     try:
-        scan = files.scan_file(context.spark, audit.source, **_scan_options(task))
+        access = context.tables[task.get("target_access_db")]
+        typed = task.get("types_from_target").lower() == "true" and tables.table_exists(context.spark, access, audit.target)
+        options = _scan_options(task)
+        scan = files.scan_file(context.spark, audit.source, **{**options, "infer": not typed})
+        df = _typed_like_target(context, task, scan.df) if typed else scan.df
     except Exception as error:
         return audit.failed("read", error)
     try:
-        rows = _load_target_table(context, task, scan.df)
+        rows = _load_target_table(context, task, df)
     except Exception as error:
         return audit.failed("write", error, scan.joined_names)
     return audit.moved(rows, scan.name, scan.joined_names, audit.target)

@@ -33,13 +33,14 @@ def scan_delimited(
     delimiter: str = ",",
     schema: StructType | str | None = None,
     sampling_ratio: float | None = None,
+    infer: bool = True,
     **options: str,
 ) -> DataFrame:
-    """Delimited text; types are inferred by a pass over the data unless a schema is given."""
+    """Delimited text. Without a schema, types are inferred by a pass over the data, or all are strings."""
     reader = spark.read.options(header=header, delimiter=delimiter, **options)
     if schema is not None:
         return reader.schema(schema).csv(list(paths))
-    reader = reader.option("inferSchema", True)
+    reader = reader.option("inferSchema", infer)
     if sampling_ratio is not None:
         reader = reader.option("samplingRatio", sampling_ratio)
     return reader.csv(list(paths))

@@ -144,6 +144,16 @@ def test_load_infers_types_and_appends(spark, ctx, tmp_path, target):
     same_rows(spark.table(target), spark.createDataFrame([(1, "x"), (1, "x")], "a int, b string"))
 
 
+def test_value_that_does_not_fit_the_target_fails(spark, ctx, tmp_path, target):
+    checks.table_sinks.load_table(spark.sql("SELECT 1 AS a, 'x' AS `b.c`"), TableAccess(), target)
+    params = {"target_access_db": "warehouse", "target_table": target, "types_from_target": "True"}
+    put(tmp_path / "good.csv", "b.c,a\n7,2\n")
+    put(tmp_path / "bad.csv", "a,b.c\nnot a number,y\n")
+    assert run(ctx, spec.FILE_TO_TABLE, 0, source_s3_file_path=f"{tmp_path}/good.csv", **params).ok
+    assert not run(ctx, spec.FILE_TO_TABLE, 1, source_s3_file_path=f"{tmp_path}/bad.csv", **params).ok
+    same_rows(spark.table(target), spark.createDataFrame([(1, "x"), (2, "7")], "a int, `b.c` string"))
+
+
 def test_load_of_a_directory_names_its_files(spark, ctx, tmp_path, target):
     put(tmp_path / "d/x.csv", "a\n1\n")
     put(tmp_path / "d/y.csv", "a\n2\n")
