@@ -242,15 +242,17 @@ FROM events
 """)
 def stamped_names(spark, sf_dir):
     kind, ts = F.col("event_type"), F.col("ts")
+    folder = F.concat(F.lit("out/"), kind, F.lit("/"))
+    timed = F.concat(folder, kind, F.lit("_yyyymmddHHMMSS.txt"))
     source_name = F.concat(F.lit("u"), "user_id", F.lit(".csv"))
     return table(spark, sf_dir, "events").select(
         "event_id",
         naming.date_stamp(ts).alias("day"),
         naming.datetime_stamp(ts).alias("second"),
         naming.stamp_name(F.concat(kind, F.lit("_yyyymmdd.csv")), ts).alias("dated"),
-        naming.target_file_name(F.concat(F.lit("out/"), kind, F.lit("_yyyymmddHHMMSS.txt")), source_name, ts).alias("timed"),
+        naming.target_file_name(timed, source_name, ts).alias("timed"),
         naming.table_file_name(F.concat(F.lit("db.public."), kind), ts).alias("from_table"),
-        naming.target_file_name(F.concat(F.lit("out/"), kind, F.lit("/")), source_name, ts).alias("from_source"),
+        naming.target_file_name(folder, source_name, ts).alias("from_source"),
     )
 
 
@@ -528,7 +530,8 @@ def transfer_typed_by_target(spark, sf_dir):
 def transfer_table_table(spark, sf_dir):
     database, work = _store(spark, sf_dir, "customer"), shared_dir(spark, "transfer")
     transfer(
-        new_context(spark, work), spec.TABLE_TO_TABLE, source_access_db="warehouse", source_table=f"{database}.customer",
+        new_context(spark, work), spec.TABLE_TO_TABLE,
+        source_access_db="warehouse", source_table=f"{database}.customer",
         target_access_db="warehouse", target_table=f"{database}.customer_copy", load_type="Overwrite",
     )
     return spark.table(f"{database}.customer_copy")
@@ -551,7 +554,8 @@ def transfer_landing_file(spark, sf_dir):
     file_sinks.write_delimited(part, f"{work}/landing/part_20240131053445.txt", delimiter="\t")
     target = transfer(
         new_context(spark, work), spec.LANDING_TO_FILE,
-        source_sftp_file_path=f"{work}/landing/part_yyyymmddHHMMSS.txt", target_s3_file_path=f"{work}/in/part_yyyymmdd.csv",
+        source_sftp_file_path=f"{work}/landing/part_yyyymmddHHMMSS.txt",
+        target_s3_file_path=f"{work}/in/part_yyyymmdd.csv",
     )
     return files.scan_delimited(spark, target, schema=part.schema)
 
@@ -574,7 +578,8 @@ def transfer_tree(spark, sf_dir):
     conversations, work = table(spark, sf_dir, "conversations"), shared_dir(spark, "transfer")
     conversations.write.partitionBy("role").parquet(f"{work}/from/chats")
     target = transfer(
-        new_context(spark, work), spec.FILE_TO_FILE, source_s3_file_path=f"{work}/from/", target_s3_file_path=f"{work}/to/"
+        new_context(spark, work), spec.FILE_TO_FILE,
+        source_s3_file_path=f"{work}/from/", target_s3_file_path=f"{work}/to/",
     )
     return spark.read.schema(conversations.schema).parquet(f"{target}chats").select(*conversations.columns)
 
@@ -616,13 +621,14 @@ def _pipelines(spark, sf_dir):
     def task(service, source):
         return F.struct(F.lit(service).alias("service"), F.create_map(F.lit("source"), source).alias("params"))
 
-    nation = F.concat(F.lit("n"), "c_nationkey")
+    recipients = F.concat(F.lit("ops@example.org, "), F.lower("c_mktsegment"), F.lit("@example.org,"))
     two = [task("SFTP to S3", F.col("c_name")), task("S3 to DB", F.col("c_mktsegment"))]
+    third = task("S3 to DB", F.concat(F.lit("n"), "c_nationkey"))
     return table(spark, sf_dir, "customer").select(
         F.concat(F.lit("load_"), "c_custkey").alias("pipeline_name"),
-        F.concat(F.lit("ops@example.org, "), F.lower("c_mktsegment"), F.lit("@example.org,")).alias("notification_recipients"),
+        recipients.alias("notification_recipients"),
         F.lit("0 0 * * *").alias("cron_schedule"),
-        F.when(F.col("c_acctbal") < 0, F.array(*two, task("S3 to DB", nation))).otherwise(F.array(*two)).alias("services"),
+        F.when(F.col("c_acctbal") < 0, F.array(*two, third)).otherwise(F.array(*two)).alias("services"),
     )
 
 
@@ -685,9 +691,10 @@ def incremental_ingest(spark, sf_dir):
         stream = ingest.read_new_files(spark, f"{work}/landing/events_*.csv", events.schema)
         ingest.ingest_available(stream, f"{database}.events", f"{work}/checkpoint")
 
-    file_sinks.write_delimited(events.where("event_id % 2 = 0"), f"{work}/landing/events_20240130.csv")
+    even, odd = events.where("event_id % 2 = 0"), events.where("event_id % 2 <> 0").repartition(2)
+    file_sinks.write_delimited(even, f"{work}/landing/events_20240130.csv")
     run()
-    file_sinks.write_delimited(events.where("event_id % 2 <> 0"), f"{work}/landing/events_20240131.csv", single_file_limit=0)
+    file_sinks.write_delimited(odd, f"{work}/landing/events_20240131.csv", single_file_limit=0)
     run()
     return spark.table(f"{database}.events")
 
@@ -697,8 +704,9 @@ def incremental_database(spark, sf_dir):
     """The same through batches that are numbered in the target table."""
     events, work, database = table(spark, sf_dir, "events"), shared_dir(spark, "ingest"), new_database(spark)
     for odd in (0, 1):
-        published = file_sinks.write_delimited(events.where(f"event_id % 2 = {odd}"), f"{work}/landing/events_{odd}.csv")
+        half = events.where(f"event_id % 2 = {odd}")
+        file_sinks.write_delimited(half, f"{work}/landing/events_{odd}.csv")
         for _ in range(2):
-            stream = ingest.read_new_files(spark, f"{storage.parent(published.path)}/*.csv", events.schema)
+            stream = ingest.read_new_files(spark, f"{work}/landing/*.csv", events.schema)
             ingest.ingest_available_to_database(stream, WAREHOUSE, f"{database}.events", f"{work}/checkpoint")
     return spark.table(f"{database}.events")

@@ -43,6 +43,11 @@ class RunContext:
     def clock(self) -> datetime:
         return self.run_ts or naming.evaluate(self.spark, F.current_timestamp().cast("timestamp_ntz"))
 
+    def table_access(self, name: str) -> TableAccess:
+        if name not in self.tables:
+            raise LookupError(f"no database access named {name!r}")
+        return self.tables[name]
+
 
 @dataclass(frozen=True)
 class TransferResult:
@@ -67,13 +72,12 @@ class _Audit:
     target: str
 
     def row(
-        self, operation: str, status: str, records: int = 0, source_item: str = "", target_file: str = "",
-        target: str | None = None,
+        self, operation: str, status: str, records: int = 0, source_item: str = "", target_file: str = ""
     ) -> AuditRow:
         return AuditRow(
             self.context.pipeline, self.context.run_id, spec.service_code(self.task.service), self.task_order,
             self.source_access, self.source, source_item, operation, records,
-            self.target_access, self.target if target is None else target, target_file, status,
+            self.target_access, self.target, target_file, status,
         )
 
     def append(self, *rows: AuditRow) -> None:
@@ -84,7 +88,9 @@ class _Audit:
         self.append(self.row(operation, FAILED, source_item=source_item))
         return TransferResult(False, error=str(error))
 
-    def moved(self, records: int, source_item: str, written_item: str, target: str, target_file: str = "") -> TransferResult:
+    def moved(
+        self, records: int, source_item: str, written_item: str, target: str, target_file: str = ""
+    ) -> TransferResult:
         """One pass has read and written the rows, so both operations have the same count."""
         self.append(
             self.row("read", SUCCESS, records, source_item),
@@ -118,6 +124,11 @@ def _scan_options(task: TaskSpec) -> dict:
     return options
 
 
+def _sink_limit(task: TaskSpec) -> dict[str, int]:
+    """Size in bytes up to which a result becomes one file, where the task sets it."""
+    return {"single_file_limit": int(task.get("single_file_limit"))} if task.get("single_file_limit") else {}
+
+
 def _partitioning(task: TaskSpec) -> Partitioning | None:
     column = task.get("partition_column")
     if not column:
@@ -128,20 +139,19 @@ def _partitioning(task: TaskSpec) -> Partitioning | None:
 
 
 def _scan_source_table(context: RunContext, task: TaskSpec):
-    access = context.tables[task.get("source_access_db")]
+    access = context.table_access(task.get("source_access_db"))
     return tables.scan_table(context.spark, access, task.get("source_table"), task.get("dml"), _partitioning(task))
 
 
 def _load_target_table(context: RunContext, task: TaskSpec, df) -> int:
-    access = context.tables[task.get("target_access_db")]
+    access = context.table_access(task.get("target_access_db"))
     truncate = task.get("truncate").lower() == "true"
     return table_sinks.load_table(df, access, task.get("target_table"), task.get("load_type", "Append"), truncate)
 
 
-def _typed_like_target(context: RunContext, task: TaskSpec, df: DataFrame) -> DataFrame:
+def _typed_like_target(df: DataFrame, target: DataFrame) -> DataFrame:
     """Columns with the types that the target table has for their names; a value that does not fit is an error."""
-    access, table = context.tables[task.get("target_access_db")], task.get("target_table")
-    types = {column.name.lower(): column.dataType for column in tables.scan_table(context.spark, access, table).schema}
+    types = {column.name.lower(): column.dataType for column in target.schema}
     columns = {name: F.col("`{}`".format(name.replace("`", "``"))) for name in df.columns}
     return df.select(
         *(column.cast(types[name.lower()]).alias(name) if name.lower() in types else column
@@ -162,11 +172,10 @@ def file_to_table(context: RunContext, task: TaskSpec, task_order: int) -> Trans
         context, task, task_order, ("source_s3_access", "source_s3_file_path"), ("target_access_db", "target_table")
     )
     try:
-        access = context.tables[task.get("target_access_db")]
-        typed = task.get("types_from_target").lower() == "true" and tables.table_exists(context.spark, access, audit.target)
-        options = _scan_options(task)
-        scan = files.scan_file(context.spark, audit.source, **{**options, "infer": not typed})
-        df = _typed_like_target(context, task, scan.df) if typed else scan.df
+        spark, access = context.spark, context.table_access(audit.target_access)
+        typed = task.get("types_from_target").lower() == "true" and tables.table_exists(spark, access, audit.target)
+        scan = files.scan_file(spark, audit.source, infer=not typed, **_scan_options(task))
+        df = _typed_like_target(scan.df, tables.scan_table(spark, access, audit.target)) if typed else scan.df
     except Exception as error:
         return audit.failed("read", error)
     try:
@@ -191,10 +200,10 @@ def table_to_file(context: RunContext, task: TaskSpec, task_order: int) -> Trans
         default = naming.table_file_name(F.lit(audit.source), clock)
         path = _target_path(context, audit.target, default, clock)
         if naming.extension_of(path) == "parquet":
-            published = file_sinks.write_parquet(df, path)
+            published = file_sinks.write_parquet(df, path, **_sink_limit(task))
         else:
-            delimiter = task.get("target_file_delimiter", ",")
-            published = file_sinks.write_delimited(df, path, delimiter=delimiter, **_text_options(task))
+            options = {"delimiter": task.get("target_file_delimiter", ","), **_sink_limit(task), **_text_options(task)}
+            published = file_sinks.write_delimited(df, path, **options)
     except Exception as error:
         return audit.failed("write", error, query)
     return audit.moved(published.rows, query, query, published.path, published.name)
@@ -225,9 +234,9 @@ def landing_to_file(context: RunContext, task: TaskSpec, task_order: int) -> Tra
     try:
         path = _target_path(context, audit.target, F.lit(name), naming.as_run_ts(context.clock()))
         if naming.extension_of(path) == "parquet":
-            published = file_sinks.write_parquet(df, path)
+            published = file_sinks.write_parquet(df, path, **_sink_limit(task))
         else:
-            published = file_sinks.write_raw(df, path, header, **options)
+            published = file_sinks.write_raw(df, path, header, **_sink_limit(task), **options)
     except Exception as error:
         return audit.failed("write", error, name)
     return audit.moved(published.rows, name, name, published.path, published.name)
@@ -235,7 +244,9 @@ def landing_to_file(context: RunContext, task: TaskSpec, task_order: int) -> Tra
 
 def table_to_table(context: RunContext, task: TaskSpec, task_order: int) -> TransferResult:
     """Load a table, or the result of a query on it, into another table."""
-    audit = _audit(context, task, task_order, ("source_access_db", "source_table"), ("target_access_db", "target_table"))
+    audit = _audit(
+        context, task, task_order, ("source_access_db", "source_table"), ("target_access_db", "target_table")
+    )
     query = _source_query(task)
     try:
         df = _scan_source_table(context, task)

@@ -100,7 +100,8 @@ def range_options(partitioning: Partitioning, lower, upper) -> dict[str, str]:
 def even_bounds_query(relation: str, column: str, num_partitions: int) -> str:
     """Query for the lowest value of each of ``num_partitions`` ranges with equally many rows."""
     ranked = f"SELECT {column}, NTILE({num_partitions}) OVER (ORDER BY {column}) AS part FROM {relation}"
-    return f"( SELECT MIN({column}) AS lo FROM ( {ranked} WHERE {column} IS NOT NULL ) AS ranked GROUP BY part ) AS bounds"
+    filled = f"( {ranked} WHERE {column} IS NOT NULL ) AS filled"
+    return f"( SELECT MIN({column}) AS lo FROM {filled} GROUP BY part ) AS bounds"
 
 
 def even_predicates(column: str, lows: Sequence[int | float | Decimal | date]) -> list[str]:

@@ -172,6 +172,11 @@ def test_load_with_another_schema_is_logged_as_failed(spark, ctx, tmp_path, targ
     assert spark.table(target).count() == 1
 
 
+def test_unknown_access_is_logged_as_failed(ctx, tmp_path):
+    result = run(ctx, spec.TABLE_TO_FILE, source_access_db="nowhere", source_table="a.b", target_s3_file_path=f"{tmp_path}/")
+    assert "nowhere" in result.error and audit(ctx)[0][-1] == "failed"
+
+
 def test_query_with_quotes_is_logged_as_it_is(spark, ctx, tmp_path, target):
     checks.table_sinks.load_table(spark.sql("SELECT 'it''s' AS a"), TableAccess(), target)
     dml = f"SELECT * FROM {target} WHERE a = 'it\\'s'"
