@@ -49,32 +49,30 @@ def list_children(batches: Iterator[pa.RecordBatch], options: dict) -> Iterator[
 
 
 def copy_files(
-    batches: Iterator[pa.RecordBatch], source_options: dict, target_options: dict
+    batches: Iterator[pa.RecordBatch], scratch: str, source_options: dict, target_options: dict
 ) -> Iterator[pa.RecordBatch]:
     """Copy each file of a plan and give back where it is now."""
     for batch in batches:
         for source, target, length in zip(*(batch[name].to_pylist() for name in ("source", "target", "length"))):
-            copy_file(source, target, length, source_options, target_options)
+            copy_file(source, target, length, scratch, source_options, target_options)
         yield batch.select(["target", "length"])
 
 
-def copy_file(source: str, target: str, length: int, source_options: dict, target_options: dict) -> None:
+def copy_file(
+    source: str, target: str, length: int, scratch: str, source_options: dict, target_options: dict
+) -> None:
+    """Copy one file. It grows in the scratch folder, next to its target, and gets its name when it is whole."""
     source_fs, source_path = open_filesystem(source, source_options)
     target_fs, target_path = open_filesystem(target, target_options)
     if isinstance(target_fs, arrow_fs.S3FileSystem):
         # An object appears whole or not at all, so it needs no partial name.
         transfer_bytes(source_fs, source_path, target_fs, target_path, length > S3_COPY_LIMIT)
     else:
-        directory, name = target_path.rsplit("/", 1)
-        partial = f"{directory}/_copying_{uuid.uuid4().hex}_{name}"
-        target_fs.create_dir(directory, recursive=True)
-        try:
-            transfer_bytes(source_fs, source_path, target_fs, partial)
-            target_fs.move(partial, target_path)
-        except Exception:
-            if target_fs.get_file_info(partial).type == arrow_fs.FileType.File:
-                target_fs.delete_file(partial)
-            raise
+        partial = f"{open_filesystem(scratch, target_options)[1]}/{uuid.uuid4().hex}"
+        target_fs.create_dir(partial.rsplit("/", 1)[0], recursive=True)
+        target_fs.create_dir(target_path.rsplit("/", 1)[0], recursive=True)
+        transfer_bytes(source_fs, source_path, target_fs, partial)
+        target_fs.move(partial, target_path)
     written = target_fs.get_file_info(target_path).size
     if written != length:
         raise OSError(f"{target} has {written} bytes instead of {length}")

@@ -6,6 +6,7 @@ Listings and copies use Arrow file systems inside the tasks, so no object passes
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark import cloudpickle
@@ -20,8 +21,10 @@ cloudpickle.register_pickle_by_value(arrow_tasks)
 
 _LISTING = "path string, relative string, length bigint, is_directory boolean"
 _COPIED = "target string, length bigint"
-_BYTES_PER_TASK = 256 * 1024 * 1024
-_OBJECTS_PER_TASK = 1000
+# A task's work at most, however many cores there are, and at least, so that a few small files do not start many tasks.
+_MOST_BYTES, _LEAST_BYTES = 256 * 1024 * 1024, 16 * 1024 * 1024
+_MOST_OBJECTS, _LEAST_OBJECTS = 1000, 50
+_LEAST_DIRECTORIES = 16
 
 
 @dataclass(frozen=True)
@@ -46,7 +49,7 @@ def list_tree(spark: SparkSession, root: str, options: dict | None = None, paral
     directories = 1
     while directories:
         levels.append(f"{base}/level-{len(levels)}")
-        spread = frontier.repartition(min(tasks, directories), "path")
+        spread = frontier.repartition(min(tasks, math.ceil(directories / _LEAST_DIRECTORIES)), "path")
         spread.mapInArrow(lambda batches: list_children(batches, options), _LISTING).write.parquet(levels[-1])
         level = spark.read.schema(_LISTING).parquet(levels[-1])
         frontier = level.where("is_directory").select("path", F.concat("relative", F.lit("/")).alias("relative"))
@@ -60,21 +63,34 @@ def copy_plan(listing: DataFrame, target: str) -> DataFrame:
     return listing.select(F.col("path").alias("source"), place.alias("target"), "length")
 
 
-def copy_objects(plan: DataFrame, source_options: dict | None = None, target_options: dict | None = None) -> Copied:
+def copy_tasks(objects: int, size: int, cores: int) -> int:
+    """Number of copy tasks: as many as keep the cores busy, unless the work per task gets too small or too large."""
+    useful = max(math.ceil(size / _LEAST_BYTES), math.ceil(objects / _LEAST_OBJECTS), 1)
+    needed = max(math.ceil(size / _MOST_BYTES), math.ceil(objects / _MOST_OBJECTS))
+    return max(min(objects, max(needed, min(cores, useful))), 1)
+
+
+def copy_objects(
+    plan: DataFrame, target_root: str, source_options: dict | None = None, target_options: dict | None = None
+) -> Copied:
     """Run a copy plan and count its objects and bytes.
 
-    Tasks get files by hash, few enough of them to be short. A task that runs again writes the same bytes again, and a
-    file shows under its name only when it is whole.
+    Tasks get equally many files, few enough to be short. A task that runs again writes the same bytes again, and a
+    file shows under its name only when it is whole. What a lost executor leaves unfinished lies in a scratch folder
+    below the target, which goes at the end.
     """
+    spark = plan.sparkSession
     source_options, target_options = source_options or {}, target_options or {}
-
+    scratch = storage.join(storage.qualify(spark, target_root), f"_copying_{uuid.uuid4().hex}")
     copy_files = arrow_tasks.copy_files
     totals = plan.agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
-    tasks = max(math.ceil(totals["bytes"] / _BYTES_PER_TASK), math.ceil(totals["objects"] / _OBJECTS_PER_TASK), 1)
-    cores = plan.sparkSession.sparkContext.defaultParallelism
-    spread = plan.repartition(max(tasks, min(cores, totals["objects"]), 1), "source")
-    copied = spread.mapInArrow(lambda batches: copy_files(batches, source_options, target_options), _COPIED)
-    return Copied(*copied.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first())
+    tasks = copy_tasks(totals["objects"], totals["bytes"], spark.sparkContext.defaultParallelism)
+    spread = plan.repartition(tasks)
+    copied = spread.mapInArrow(lambda batches: copy_files(batches, scratch, source_options, target_options), _COPIED)
+    try:
+        return Copied(*copied.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first())
+    finally:
+        storage.delete(spark, scratch)
 
 
 def copy_tree(
@@ -85,8 +101,10 @@ def copy_tree(
     target_options: dict | None = None,
 ) -> Copied:
     """Copy every file below a directory, keeping relative paths."""
-    listing = list_tree(spark, source, source_options)
-    return copy_objects(copy_plan(listing, storage.qualify(spark, target)), source_options, target_options)
+    if not storage.is_directory(spark, source):
+        raise FileNotFoundError(f"no directory {source}")
+    plan = copy_plan(list_tree(spark, source, source_options), storage.qualify(spark, target))
+    return copy_objects(plan, target, source_options, target_options)
 
 
 def copy_file(
@@ -108,4 +126,4 @@ def copy_file(
             "length",
         )
     )
-    return copy_objects(plan, source_options, target_options)
+    return copy_objects(plan, storage.parent(target), source_options, target_options)

@@ -57,11 +57,20 @@ def test_single_file(spark, tree, tmp_path):
     assert os.listdir(tmp_path / "x") == ["y.csv"]
 
 
-def test_file_that_changed_size_fails(spark, tree, tmp_path):
+def test_file_that_changed_size_fails_and_leaves_no_scratch(spark, tree, tmp_path):
     plan = copying.copy_plan(copying.list_tree(spark, str(tree)), f"file:{tmp_path}/to")
     (tree / "a.bin").write_bytes(b"longer than it was")
     with pytest.raises(Exception, match="instead of"):
-        copying.copy_objects(plan)
+        copying.copy_objects(plan, str(tmp_path / "to"))
+    assert not [name for name in os.listdir(tmp_path / "to") if name.startswith("_copying")]
+
+
+@pytest.mark.parametrize("objects, size, cores, tasks", [
+    (0, 0, 8, 1), (1, 10**12, 8, 1), (20, 10**6, 8, 1), (400, 10**6, 8, 8), (400, 10**6, 1000, 8),
+    (10**6, 10**6, 8, 1000), (10**6, 10**14, 4000, 372530), (4000, 10**14, 400, 4000),
+])
+def test_copy_tasks(objects, size, cores, tasks):
+    assert copying.copy_tasks(objects, size, cores) == tasks
 
 
 def test_streamed_copy(tree, tmp_path, monkeypatch):
