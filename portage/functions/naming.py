@@ -59,11 +59,12 @@ def base_name(name: Column) -> Column:
 
 
 def date_stamp(run_ts: Column) -> Column:
-    return F.date_format(run_ts, STAMP_FORMATS[DATE_TOKEN])
+    return F.substring(datetime_stamp(run_ts), 1, len(DATE_TOKEN))
 
 
 def datetime_stamp(run_ts: Column) -> Column:
-    return F.date_format(run_ts, STAMP_FORMATS[DATETIME_TOKEN])
+    """Digits of the wall-clock time. As text, since a formatter would move times that a zone's clock leaves out."""
+    return F.regexp_replace(F.substring(run_ts.cast("timestamp_ntz").cast("string"), 1, 19), "[^0-9]", "")
 
 
 def stamp_name(name: Column, run_ts: Column) -> Column:

@@ -25,7 +25,8 @@ class Registry:
         self.store = FolderStore(path, SCHEMA) if access is None else TableStore(access, table, SCHEMA)
 
     def append(self, pipelines: DataFrame) -> None:
-        """Add pipelines (name, recipients, schedule, tasks as array or JSON); ids are unique and grow."""
+        """Add pipelines (name, recipients, schedule, tasks as array or JSON); ids are unique and grow, with one writer at a
+        time."""
         known = self.read().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         services = F.col("services")
         if pipelines.schema["services"].dataType.typeName() != "string":

@@ -60,11 +60,11 @@ class RunLog:
         clock = F.current_timestamp() if at is None else naming.as_run_ts(at).cast("timestamp")
         values = [tuple(getattr(row, name) for name in COLUMNS[:-1]) for row in rows]
         plain = self.spark.createDataFrame(values, SCHEMA.rsplit(", ", 1)[0])
-        self.append_rows(plain.withColumn("timestamp", clock).coalesce(1))
+        self.store.append_few(_typed(plain.withColumn("timestamp", clock)))
 
     def append_rows(self, rows: DataFrame) -> None:
-        typed = [F.col(name).cast(kind) for name, kind in (column.split() for column in SCHEMA.split(", "))]
-        self.store.append(rows.select(*typed))
+        """Append a whole log, such as one brought over from elsewhere."""
+        self.store.append(_typed(rows))
 
     def read(self) -> DataFrame:
         return self.store.read(self.spark).select(*COLUMNS)
@@ -72,7 +72,12 @@ class RunLog:
     def correct_status(self, run_id: str, task_order: int, operation: str, status: str) -> None:
         """Set the status of one operation of one task, by appending a correcting row."""
         scope = (F.col("run_id") == run_id) & (F.col("task_order") == task_order) & (F.col("operation") == operation)
-        self.append_rows(corrections(self.read().where(scope), F.lit(status), F.current_timestamp()))
+        corrected = corrections(self.read().where(scope), F.lit(status), F.current_timestamp())
+        self.store.append_few(_typed(corrected))
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(name).cast(kind) for name, kind in (column.split() for column in SCHEMA.split(", "))))
 
 
 def latest_rows(log: DataFrame, run_id: str, match_service: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +15,32 @@ from portage.sources.tables import TableAccess
 
 @dataclass(frozen=True)
 class FolderStore:
-    """Rows in a folder; appends are atomic. ``partition_by`` gives each value of a column its own sub-folder."""
+    """Rows in a folder. ``partition_by`` gives each value of a column its own sub-folder."""
 
     path: str
     schema: str
     partition_by: tuple[str, ...] = ()
 
     def append(self, rows: DataFrame) -> None:
+        """Add any number of rows, one such append at a time."""
         rows.write.mode("append").partitionBy(*self.partition_by).parquet(self.path)
 
+    def append_few(self, rows: DataFrame) -> None:
+        """Add a few rows while others may append too.
+
+        Jobs that write to one folder share its temporary sub-folder, and the first to end takes it from the rest. So
+        the rows are written elsewhere, and their files, with names of their own, are moved in.
+        """
+        spark, staged = rows.sparkSession, storage.join(self.path, f"_append_{uuid.uuid4().hex}")
+        rows.coalesce(1).write.partitionBy(*self.partition_by).parquet(staged)
+        places = storage.join(storage.glob_escape(staged), "*=*") if self.partition_by else ""
+        folders = [f"/{name}" for name in storage.glob_names(spark, places)] if places else [""]
+        for folder in folders:
+            storage.make_directory(spark, self.path + folder)
+            for part in storage.glob_names(spark, storage.glob_escape(staged + folder) + "/part-*"):
+                storage.rename(spark, f"{staged}{folder}/{part}", f"{self.path}{folder}/{part}")
+        storage.delete(spark, staged)
+
     def read(self, spark: SparkSession) -> DataFrame:
         if not storage.exists(spark, self.path):
             return spark.createDataFrame([], self.schema)
@@ -40,6 +58,9 @@ class TableStore:
     def append(self, rows: DataFrame) -> None:
         table_sinks.load_table(rows, self.access, self.table)
 
+    def append_few(self, rows: DataFrame) -> None:
+        self.append(rows)
+
     def read(self, spark: SparkSession) -> DataFrame:
         if not tables.table_exists(spark, self.access, self.table):
             return spark.createDataFrame([], self.schema)

@@ -30,6 +30,10 @@ def test_stamps_follow_the_given_clock_in_every_session_zone(spark, zone):
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
         assert value(spark, naming.datetime_stamp(naming.as_run_ts(CLOCK))) == "20240201123030"
+        left_out_in_new_york = naming.as_run_ts(datetime(2024, 3, 10, 2, 30))
+        assert value(spark, naming.datetime_stamp(left_out_in_new_york)) == "20240310023000"
+        assert value(spark, naming.datetime_stamp(F.lit("2024-03-10").cast("date"))) == "20240310000000"
+        assert value(spark, naming.date_stamp(naming.as_run_ts(datetime(2024, 3, 10, 23, 59, 59, 999999)))) == "20240310"
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
 

@@ -1,3 +1,5 @@
+import os
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -79,3 +81,13 @@ def test_status_correction_reaches_one_operation_of_one_task(spark, tmp_path):
     assert state == {(0, "read"): "success", (0, "write"): "success", (1, "read"): "success", (1, "write"): "failed"}
     assert [r.status for r in runlog.run_report(log.read(), "r").collect()] == ["success", "failed"]
     assert log.read().count() == 5
+
+
+def test_runs_at_the_same_time_do_not_lose_rows(spark, tmp_path):
+    """Appends of several runs that overlap; also a slow job that writes to the same folder."""
+    log = RunLog(spark, f"{tmp_path}/log")
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: log.append(row(i, "copy", run_id=f"r{i % 3}")), range(24)))
+    assert sorted(r.task_order for r in log.read().collect()) == list(range(24))
+    assert sorted(name for name in os.listdir(tmp_path / "log") if name[0] not in "._") == ["run_id=r0", "run_id=r1", "run_id=r2"]
+    assert not [name for name in os.listdir(tmp_path / "log") if name.startswith("_append")]
