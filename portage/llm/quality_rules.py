@@ -14,7 +14,7 @@ BUCKETS = 1 << 16
 #: Trusted documents are at most this many labelled rows, those with the smallest hashes of their doc_id.
 TRUSTED = 20_000
 SMOOTHING = 1.0
-THRESHOLD = -0.25
+THRESHOLD = -0.15
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
