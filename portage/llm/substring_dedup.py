@@ -28,6 +28,8 @@ WIDTH = 20
 MINIMISER = 4
 #: Estimated bytes of input for each bucket. It sets the size of a bucket, not the result.
 BUCKET_INPUT_BYTES = 4 << 20
+#: Also used where the planner knows no size.
+MOST_BUCKETS = 1 << 20
 _RUNS, _COVERS = 0, 1
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("packed", pa.binary())])
 _COVER = pa.schema([("doc_key", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -235,7 +237,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, width: int = WIDTH, minimiser: int = MINIMISER) -> DataFrame:
     """doc_key, text_key, start, end: word ranges under windows that start earlier elsewhere; ranges may overlap."""
-    buckets = max(16, -(-input_bytes(docs) // BUCKET_INPUT_BYTES))
+    buckets = min(max(16, -(-input_bytes(docs) // BUCKET_INPUT_BYTES)), MOST_BUCKETS)
     packed = _keyed(docs).select("doc_key", "text_key", "text").mapInArrow(
         lambda batches: pack_super_kmers(batches, width, minimiser, buckets), "bucket int, kind byte, packed binary"
     )
