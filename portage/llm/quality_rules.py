@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portage.llm.scratch import stored
+
 BUCKETS = 1 << 16
 #: Trusted documents are at most this many labelled rows, those with the smallest hashes of their doc_id.
 TRUSTED = 20_000
@@ -81,9 +83,9 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     trusted = F.broadcast(trusted_ids(labels).select("doc_id", F.lit(1).alias("trusted")))
     marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
-    counts = _grams(marked, F.coalesce("trusted", F.lit(0)).alias("trusted")).groupBy("bucket").agg(
+    counts = stored(_grams(marked, F.coalesce("trusted", F.lit(0)).alias("trusted")).groupBy("bucket").agg(
         F.count("*").alias("raw"), F.sum("trusted").alias("good")
-    )
+    ), "buckets")
     totals = counts.agg(F.sum("raw").alias("raw_total"), F.sum("good").alias("good_total")).first()
     raw_total, good_total = totals[0] or 0, totals[1] or 0
     if not good_total:
