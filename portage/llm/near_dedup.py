@@ -6,7 +6,8 @@ Documents with equal shingle sets are one class; only classes are compared. Each
 lists, so the longest lists of a class (common lines and passages) are skipped without losing a pair, and a class whose
 values are mostly its own posts nothing. Candidates are confirmed on their whole shingle sets.
 
-Groups of many near copies are first joined through list leaders, which is linear in the lists. Pairs are then emitted
+Candidates carry a sketch of one bit from each of ``SKETCH_BITS`` further coordinates, so pairs that are clearly less
+similar are not emitted at all. Groups of many near copies are first joined through list leaders, which is linear in the lists. Pairs are then emitted
 between different components only, which the remaining links need.
 """
 
@@ -32,7 +33,9 @@ COORDINATES = 64
 #: A pair at similarity 0.75 agrees in 48 of 64 coordinates on average and in fewer than 32 about four times in a million.
 MATCHES = 32
 PERCENT = 75
-LEADER_ROUNDS = 4
+#: At similarity 0.75 an eighth of the sketches' bits differ; the bound lies five standard deviations above.
+SKETCH_BITS = 1024
+LEADER_ROUNDS = 2
 _NO_ID = 2**63 - 1  # stands for a null doc_id
 
 
@@ -83,14 +86,28 @@ def sign(batches: Iterator[pa.RecordBatch], size: int, coordinates: int) -> Iter
         )
 
 
+def sketch_of(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """One bit of each coordinate's smallest hash over the set, 64 to a number."""
+    factor, shift = functions
+    least = np.full(len(factor), 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 512):
+        values = shingles[None, at:at + 512] * factor
+        values += shift
+        np.minimum(least, values.min(axis=1), out=least)
+    bits = (W.mix(least) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
 def full_sets(batches: Iterator[pa.RecordBatch], size: int, coordinates: int) -> Iterator[pa.RecordBatch]:
     functions = _coordinate_functions(coordinates)
+    more = tuple(f[coordinates:] for f in _coordinate_functions(coordinates + SKETCH_BITS))
     for part, texts in W.chunks(batches):
         sets = shingle_sets(texts, size)
         yield pa.RecordBatch.from_arrays(
             [part.column("node"), pa.array([signature_of(s, functions) for s in sets], pa.list_(pa.int32())),
+             pa.array([sketch_of(s, more) for s in sets], pa.list_(pa.int64())),
              pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-            names=["node", "signature", "shingles"],
+            names=["node", "signature", "sketch", "shingles"],
         )
 
 
@@ -124,6 +141,14 @@ def rarest_postings(signed: DataFrame, coordinates: int, matches: int) -> DataFr
     return shared.select("node", F.explode(prefix).alias("list")).select("list.key", "node")
 
 
+def _may_link(percent: int) -> Column:
+    """Whether sketches differ in no more bits than those of linked sets, but for five standard deviations."""
+    share = (1 - percent / 100) / 2
+    most = SKETCH_BITS * share + 5 * (SKETCH_BITS * share * (1 - share)) ** 0.5
+    differing = [F.bit_count(F.get("sketch_a", i).bitwiseXOR(F.get("sketch_b", i))) for i in range(SKETCH_BITS // 64)]
+    return sum(differing[1:], differing[0]) <= int(most)
+
+
 def _between_components(postings: DataFrame, comps: DataFrame) -> DataFrame:
     """Postings with their component, in lists that hold more than one component."""
     placed = postings.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -141,10 +166,14 @@ def _leader_pairs(placed: DataFrame, round_number: int) -> DataFrame:
     return best.select("a", (-F.col("best.b")).alias("b"))
 
 
-def _all_pairs_between(placed: DataFrame) -> DataFrame:
-    left = placed.select("key", F.col("node").alias("a"), F.col("component").alias("component_a"))
-    right = placed.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
-    return left.join(right, "key").where("a < b AND component_a <> component_b").select("a", "b").distinct()
+def _all_pairs_between(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components that share a list; those whose sketches differ too much never leave the join."""
+    placed = placed.join(sets.select("node", "sketch"), "node")
+    left, right = (placed.select("key", *(F.col(name).alias(f"{name}_{side}") for name in ("node", "component", "sketch")))
+                   for side in "ab")
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+    pairs = left.join(right, "key").where(apart & _may_link(percent))
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -176,16 +205,18 @@ def near_duplicates(
     wanted = postings.select("node").distinct()
     texts = keyed.select(F.col("doc_key").alias("node"), "text").join(wanted, "node", "left_semi")
     sets = scratch.stored(texts.mapInArrow(
-        lambda batches: full_sets(batches, size, coordinates), "node long, signature array<int>, shingles array<long>"
+        lambda batches: full_sets(batches, size, coordinates), "node long, signature array<int>, sketch array<long>, shingles array<long>"
     ), "sets")
 
+
     edges = _no_edges(docs)
     comps = scratch.stored(edges.selectExpr("u AS node", "v AS component"), "components")
     for round_number in range(LEADER_ROUNDS + 1):
         placed = scratch.stored(_between_components(postings, comps), "placed")
         if placed.isEmpty():
             break
-        pairs = _leader_pairs(placed, round_number) if round_number < LEADER_ROUNDS else _all_pairs_between(placed)
+        last = round_number == LEADER_ROUNDS
+        pairs = _all_pairs_between(placed, sets, percent) if last else _leader_pairs(placed, round_number)
         found = confirmed(pairs, sets, matches, percent).selectExpr("a AS u", "b AS v")
         found = scratch.stored(found, "found")
         if not found.isEmpty():
