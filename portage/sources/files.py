@@ -15,6 +15,8 @@ from portage.sources import manifest
 MULTIPLE_FILES = "MultipleFiles"
 # Joined file names go into one audit cell only for listings up to this length.
 NAMED_FILES = 1000
+# Spark's defaults would read values under wrong names, as nulls, or not at all, and say nothing.
+STRICT = {"mode": "FAILFAST", "enforceSchema": "false"}
 
 
 @dataclass(frozen=True)
@@ -36,8 +38,12 @@ def scan_delimited(
     infer: bool = True,
     **options: str,
 ) -> DataFrame:
-    """Delimited text. Without a schema, types are inferred by a pass over the data, or all are strings."""
-    reader = spark.read.options(header=header, delimiter=delimiter, **options)
+    """Delimited text. Without a schema, types are inferred by a pass over the data, or all are strings.
+
+    A line with more or fewer values than columns, or with a value of another type, is an error, and so is a header
+    line that names other columns than the schema. ``mode`` or ``enforceSchema`` among the options change that.
+    """
+    reader = spark.read.options(header=header, delimiter=delimiter, **{**STRICT, **options})
     if schema is not None:
         return reader.schema(schema).csv(list(paths))
     reader = reader.option("inferSchema", infer)
@@ -51,10 +57,10 @@ def scan_raw(
 ) -> DataFrame:
     """Delimited text with all values as strings; without ``header`` the first line is a row like any other.
 
-    The delimiter follows from the extension unless given.
+    The delimiter follows from the extension unless given. A line with another number of values than the first is an error.
     """
     chosen = delimiter or ("\t" if naming.extension_of(path) == "txt" else ",")
-    return spark.read.options(header=header, delimiter=chosen, **options).csv(path)
+    return spark.read.options(header=header, delimiter=chosen, **{**STRICT, **options}).csv(path)
 
 
 def scan_parquet(spark: SparkSession, *paths: str) -> DataFrame:
@@ -64,16 +70,13 @@ def scan_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 def scan_directory(spark: SparkSession, directory: str, **csv_options) -> DataFrame:
     """All known files directly in a directory as one table; nested directories are left out.
 
-    Text files share one reader, and must then have the same header line unless a schema is given; Parquet files are
-    added by column name.
+    Text files share one reader and must have the same header line; Parquet files are added by column name.
     """
     base = storage.glob_escape(storage.qualify(spark, directory))
     text, columnar = storage.join(base, "*.{csv,txt}"), storage.join(base, "*.parquet")
     scans = []
     if storage.glob_count(spark, text):
-        # Without this, columns in another order would be read under wrong names.
-        strict = {} if csv_options.get("schema") else {"enforceSchema": False}
-        scans.append(scan_delimited(spark, text, **{**strict, **csv_options}))
+        scans.append(scan_delimited(spark, text, **csv_options))
     if storage.glob_count(spark, columnar):
         scans.append(scan_parquet(spark, columnar))
     if not scans:

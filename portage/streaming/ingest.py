@@ -9,8 +9,12 @@ from pyspark.sql.types import StructType
 
 from portage import storage
 from portage.operators import table_sinks
+from portage.sources.files import STRICT
 from portage.sources.tables import TableAccess, scan_table, table_exists
 
+# Spark would pass over files older than a week than the newest one, which a sync that keeps times produces.
+ANY_AGE = "36500d"
+
 
 def read_new_files(
     spark: SparkSession,
@@ -21,8 +25,13 @@ def read_new_files(
     max_files_per_trigger: int | None = None,
     **options: str,
 ) -> DataFrame:
-    """Stream of the rows of files that fit a glob, which may also match folders of part files."""
-    reader = spark.readStream.schema(schema).options(header=header, delimiter=delimiter, **options)
+    """Stream of the rows of files that fit a glob, which may also match folders of part files.
+
+    A file is new until the checkpoint has it, however old it is. Lines and headers that do not fit are errors, as in
+    ``scan_delimited``.
+    """
+    chosen = {**STRICT, "maxFileAge": ANY_AGE, **options}
+    reader = spark.readStream.schema(schema).options(header=header, delimiter=delimiter, **chosen)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.csv(pattern)
