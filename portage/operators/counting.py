@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-# Metrics arrive a moment after their action; a sink that never reports them must not block the transfer.
+# Metrics arrive a moment after their action. Without them the count is unknown: reading the source again might count
+# other rows than were written.
 _WAIT_SECONDS = 60
 
 
@@ -20,7 +21,6 @@ class RowCount:
     """
 
     def __init__(self, df: DataFrame):
-        self._plain = df
         self._observation = Observation()
         self.df = df.observe(self._observation, F.count(F.lit(1)).alias("rows"))
 
@@ -30,4 +30,6 @@ class RowCount:
         waiting = threading.Thread(target=lambda: metrics.append(self._observation.get), daemon=True)
         waiting.start()
         waiting.join(_WAIT_SECONDS)
-        return metrics[0]["rows"] if metrics else self._plain.count()
+        if not metrics:
+            raise RuntimeError("the sink did not report its row count")
+        return metrics[0]["rows"]

@@ -70,9 +70,13 @@ class RunLog:
         return self.store.read(self.spark).select(*COLUMNS)
 
     def correct_status(self, run_id: str, task_order: int, operation: str, status: str) -> None:
-        """Set the status of one operation of one task, by appending a correcting row."""
+        """Set the status of one operation of one task, by appending a correcting row.
+
+        Its time is later than what it corrects, also where another host's clock is ahead.
+        """
         scope = (F.col("run_id") == run_id) & (F.col("task_order") == task_order) & (F.col("operation") == operation)
-        corrected = corrections(self.read().where(scope), F.lit(status), F.current_timestamp())
+        later = F.greatest(F.current_timestamp(), F.col("timestamp") + F.expr("INTERVAL 1 MICROSECOND"))
+        corrected = corrections(self.read().where(scope), F.lit(status), later)
         self.store.append_few(_typed(corrected))
 
 

@@ -12,8 +12,6 @@ from portage.sources.tables import CATALOG, TableAccess, connection_options, spl
 logger = logging.getLogger(__name__)
 
 APPEND, OVERWRITE = "append", "overwrite"
-# Connections that one load opens at most, unless the caller says otherwise.
-WRITE_CONNECTIONS = 32
 
 
 def load_mode(load_type: str) -> str:
@@ -27,19 +25,23 @@ def writer_options(
     access: TableAccess,
     table: str,
     truncate: bool = False,
-    num_partitions: int = WRITE_CONNECTIONS,
+    num_partitions: int | None = None,
     batch_size: int = 10000,
     column_types: str | None = None,
 ) -> dict[str, str]:
-    """JDBC options for a load. ``num_partitions`` bounds the connections; each partition is one transaction."""
+    """JDBC options for a load. Each partition is one connection and transaction.
+
+    ``num_partitions`` bounds them, which also narrows the stage above the load; unset, the plan's own number holds.
+    """
     _, relation = split_table_name(access.dialect, table)
     options = connection_options(access, table)
     options.update(
         dbtable=relation,
         batchsize=str(batch_size),
         truncate=str(truncate).lower(),
-        numPartitions=str(num_partitions),
     )
+    if num_partitions is not None:
+        options["numPartitions"] = str(num_partitions)
     if column_types is not None:
         options["createTableColumnTypes"] = column_types
     return options

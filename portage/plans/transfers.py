@@ -146,7 +146,13 @@ def _scan_source_table(context: RunContext, task: TaskSpec):
 def _load_target_table(context: RunContext, task: TaskSpec, df) -> int:
     access = context.table_access(task.get("target_access_db"))
     truncate = task.get("truncate").lower() == "true"
-    return table_sinks.load_table(df, access, task.get("target_table"), task.get("load_type", "Append"), truncate)
+    tuning = {
+        "num_partitions": int(task.get("write_partitions")) if task.get("write_partitions") else None,
+        "batch_size": int(task.get("batch_size")) if task.get("batch_size") else None,
+        "column_types": task.get("column_types") or None,
+    }
+    tuning = {name: value for name, value in tuning.items() if value is not None}
+    return table_sinks.load_table(df, access, task.get("target_table"), task.get("load_type", "Append"), truncate, **tuning)
 
 
 def _typed_like_target(df: DataFrame, target: DataFrame) -> DataFrame:
