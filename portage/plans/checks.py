@@ -198,10 +198,14 @@ def source_file_lineage(spark, sf_dir):
 LATEST_DAY = "SELECT * FROM events WHERE ts::DATE = (SELECT max(ts::DATE) FROM events)"
 
 
-def _land_events(spark, sf_dir, stamp_format):
+LATEST_QUARTER = """SELECT * FROM events WHERE (ts::DATE, hour(ts) // 6) =
+    (SELECT max((ts::DATE, hour(ts) // 6)) FROM events)"""
+
+
+def _land_events(spark, sf_dir, stamp):
     events = table(spark, sf_dir, "events")
     work = shared_dir(spark, "landing")
-    land_by_stamp(events, work, "events", F.date_format(F.to_date("ts"), stamp_format), "csv")
+    land_by_stamp(events, work, "events", stamp, "csv")
     # Names that must lose: not a date, another base, another extension, not a direct child.
     decoy = events.where("event_type = 'error'")
     for name in ("events_99999999.csv", "other_20990101.csv", "events_20990101.txt", "sub/events_20990101.csv"):
@@ -211,13 +215,15 @@ def _land_events(spark, sf_dir, stamp_format):
 
 @check(LATEST_DAY)
 def latest_by_date(spark, sf_dir):
-    work, schema = _land_events(spark, sf_dir, "yyyyMMdd")
+    work, schema = _land_events(spark, sf_dir, F.date_format("ts", "yyyyMMdd"))
     return files.scan_file(spark, f"{work}/events_yyyymmdd.csv", schema=schema).df
 
 
-@check(LATEST_DAY)
+@check(LATEST_QUARTER)
 def latest_by_datetime(spark, sf_dir):
-    work, schema = _land_events(spark, sf_dir, "yyyyMMddHHmmss")
+    """Four files a day, stamped with the hour that each quarter of the day begins with."""
+    quarter = F.lpad((F.floor(F.hour("ts") / 6) * 6).cast("string"), 2, "0")
+    work, schema = _land_events(spark, sf_dir, F.concat(F.date_format("ts", "yyyyMMdd"), quarter, F.lit("0000")))
     return files.scan_file(spark, f"{work}/events_yyyymmddHHMMSS.csv", schema=schema).df
 
 
@@ -388,7 +394,7 @@ def copy_tree(spark, sf_dir):
 
 @check(LATEST_DAY)
 def copy_latest(spark, sf_dir):
-    work, schema = _land_events(spark, sf_dir, "yyyyMMdd")
+    work, schema = _land_events(spark, sf_dir, F.date_format("ts", "yyyyMMdd"))
     newest = files.resolve(spark, f"{work}/events_yyyymmdd.csv")
     copying.copy_file(spark, newest, f"{work}/out/newest.csv")
     return files.scan_delimited(spark, f"{work}/out/newest.csv", schema=schema)
@@ -421,14 +427,15 @@ SELECT event_type AS pipeline, CONCAT('run-', CAST(user_id % 10 AS STRING)) AS r
   CASE WHEN value < 5 THEN 'failed' ELSE 'success' END AS status, ts AS timestamp
 FROM {events}
 """
+# A row belongs to the report once for each service of its task whose newest time it has.
 _REPORT_SQL = """
-SELECT A.pipeline, A.run_id, A.service, A.task_order, A.source_path_table, A.source_file_dml,
-       A.record_count AS Records, A.target_path_table, A.target_file, A.status
-FROM log A INNER JOIN (
-  SELECT pipeline, run_id, service, task_order, MAX(timestamp) AS maxt FROM log
-  WHERE run_id = 'run-3' GROUP BY pipeline, run_id, service, task_order) B
-ON A.pipeline = B.pipeline AND A.run_id = B.run_id AND A.task_order = B.task_order AND A.timestamp = B.maxt
-ORDER BY A.task_order
+, newest AS (SELECT DISTINCT pipeline, run_id, task_order, service,
+    max(timestamp) OVER (PARTITION BY pipeline, run_id, task_order, service) AS top FROM log WHERE run_id = 'run-3'),
+tops AS (SELECT pipeline, run_id, task_order, list(top) AS every FROM newest GROUP BY ALL),
+shown AS (SELECT log.*, unnest(list_filter(every, lambda top: top = timestamp)) AS top
+    FROM log JOIN tops USING (pipeline, run_id, task_order))
+SELECT pipeline, run_id, service, task_order, source_path_table, source_file_dml, record_count AS Records,
+    target_path_table, target_file, status FROM shown
 """
 _LOG_CTE = f"WITH log AS ({_LOG_SQL.format(events='events')})"
 
