@@ -82,7 +82,7 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     plan_records(pages).write.parquet(plan_path)
     plan = spark.read.parquet(plan_path)
     records = plan.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    records.select("sha256", record_header(date).alias("header")).write.parquet(f"{path}/records")
+    records.select("sha256", record_header(date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
 
     key = F.sha2(_payload(F.col("html")), 256)
     contents = pages.select(F.col("page_id").alias("_id"), key.alias("_key"), F.col("html").alias("_html"))
@@ -92,7 +92,7 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     # Equal rows of one page are the only ones left with one key; each key lies whole in the partitions of the join.
     once = Window.partitionBy("_id", "_key").orderBy("_id")
     held = held.withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    held.select(F.col("_key").alias("sha256"), _payload(F.col("_html")).alias("payload")).write.parquet(f"{path}/payloads")
+    held.select(F.col("_key").alias("sha256"), _payload(F.col("_html")).alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
