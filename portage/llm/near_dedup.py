@@ -6,9 +6,10 @@ Documents with equal shingle sets are one class; only classes are compared. Each
 lists, so the longest lists of a class (common lines and passages) are skipped without losing a pair, and a class whose
 values are mostly its own posts nothing. Candidates are confirmed on their whole shingle sets.
 
-Candidates carry a sketch of one bit from each of ``SKETCH_BITS`` further coordinates, so pairs that are clearly less
-similar are not emitted at all. Groups of many near copies are first joined through list leaders, which is linear in the lists. Pairs are then emitted
-between different components only, which the remaining links need.
+Groups of many near copies are first joined through list leaders, which is linear in the lists. Pairs are then emitted
+between different components only, which the remaining links need. They carry a sketch of one bit from each of
+``SKETCH_BITS`` further coordinates, so pairs that are clearly less similar are not emitted at all, and their lists, so
+a pair that meets in several is emitted in the first of them only.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ COORDINATES = 64
 MATCHES = 32
 PERCENT = 75
 #: At similarity 0.75 an eighth of the sketches' bits differ; the bound lies five standard deviations above.
-SKETCH_BITS = 1024
+#: With many more bits the join's condition no longer fits a method that the JVM compiles (8000 bytes).
+SKETCH_BITS = 1536
 LEADER_ROUNDS = 2
 _NO_ID = 2**63 - 1  # stands for a null doc_id
 
@@ -167,13 +169,19 @@ def _leader_pairs(placed: DataFrame, round_number: int) -> DataFrame:
 
 
 def _all_pairs_between(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that share a list; those whose sketches differ too much never leave the join."""
-    placed = placed.join(sets.select("node", "sketch"), "node")
-    left, right = (placed.select("key", *(F.col(name).alias(f"{name}_{side}") for name in ("node", "component", "sketch")))
-                   for side in "ab")
+    """Pairs of nodes of different components that share a list, each from the first list that they share.
+
+    Pairs whose sets differ too much in size, or whose sketches differ too much, never leave the join.
+    """
+    lists = placed.groupBy("node").agg(F.collect_set("key").alias("lists"))
+    placed = placed.join(lists, "node").join(sets.select("node", "sketch", F.size("shingles").alias("n")), "node")
+    columns = ("node", "component", "n", "sketch", "lists")
+    left, right = (placed.select("key", *(F.col(name).alias(f"{name}_{side}") for name in columns)) for side in "ab")
     apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-    pairs = left.join(right, "key").where(apart & _may_link(percent))
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    first = F.col("key") == F.array_min(F.array_intersect("lists_a", "lists_b"))
+    pairs = left.join(right, "key").where(apart & sizes & _may_link(percent) & first)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def near_duplicates(
