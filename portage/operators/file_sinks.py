@@ -1,8 +1,8 @@
 """File sinks that publish under an exact name.
 
-Parts are always written in parallel. A result that is measured to be small ends as one file with the target's name; a
-larger one stays a folder of parts with that name, which every scan of this package, and of Spark, reads as one table.
-No part is left out.
+``layout`` says what stands under the name, whatever the size of the result. ``parts``, the default, is a folder of parts
+written in parallel, which every scan of this package, and of Spark, reads as one table. ``file`` is one file, which one
+task reads and writes from end to end; it is for results that are known to stay small.
 """
 
 from __future__ import annotations
@@ -12,15 +12,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from portage import storage
 from portage.functions import naming
 from portage.operators.counting import RowCount
 
-# Results up to these sizes become one file. Text is joined as bytes; Parquet is encoded again, which costs more.
-SINGLE_FILE_LIMIT = 64 * 1024 * 1024
-SINGLE_PARQUET_LIMIT = 8 * 1024 * 1024
+PARTS, FILE = "parts", "file"
 
 # Microseconds and outer blanks would be lost with Spark's defaults for writing.
 LOSSLESS = {
@@ -29,8 +26,6 @@ LOSSLESS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
-# Options under which part files cannot be joined as lines of text.
-_NOT_JOINABLE = frozenset({"compression", "codec", "encoding", "lineSep"})
 
 
 @dataclass(frozen=True)
@@ -41,83 +36,56 @@ class Published:
 
 
 def write_delimited(
-    df: DataFrame,
-    target: str,
-    header: bool = True,
-    delimiter: str = ",",
-    single_file_limit: int = SINGLE_FILE_LIMIT,
-    **options: str,
+    df: DataFrame, target: str, header: bool = True, delimiter: str = ",", layout: str = PARTS, **options: str
 ) -> Published:
     """Delimited text under an exact path, replacing what is there."""
 
-    def write(parts: DataFrame, path: str) -> None:
-        parts.write.options(header=header, delimiter=delimiter, **{**LOSSLESS, **options}).mode("overwrite").csv(path)
+    def write(rows: DataFrame, path: str) -> None:
+        rows.write.options(header=header, delimiter=delimiter, **{**LOSSLESS, **options}).mode("overwrite").csv(path)
 
-    def join(spark: SparkSession, parts: str, joined: str) -> None:
-        _join_text(spark, parts, joined, header)
-
-    one_line_header = not any("\n" in column for column in df.columns)
-    joinable = one_line_header and not _NOT_JOINABLE & options.keys()
-    return _publish(df, target, write, join, single_file_limit if joinable else 0)
+    return _publish(df, target, write, layout)
 
 
 def write_raw(
-    df: DataFrame,
-    target: str,
-    header: bool = False,
-    delimiter: str | None = None,
-    single_file_limit: int = SINGLE_FILE_LIMIT,
-    **options: str,
+    df: DataFrame, target: str, header: bool = False, delimiter: str | None = None, layout: str = PARTS, **options: str
 ) -> Published:
     """Delimited text whose delimiter follows from the target's extension unless given, without a header line."""
     chosen = delimiter or ("\t" if naming.extension_of(target) == "txt" else ",")
-    return write_delimited(df, target, header, chosen, single_file_limit, **options)
+    return write_delimited(df, target, header, chosen, layout, **options)
 
 
-def write_parquet(df: DataFrame, target: str, single_file_limit: int = SINGLE_PARQUET_LIMIT) -> Published:
+def write_parquet(df: DataFrame, target: str, layout: str = PARTS) -> Published:
     """Parquet under an exact path, replacing what is there."""
 
-    def write(parts: DataFrame, path: str) -> None:
-        parts.write.mode("overwrite").parquet(path)
+    def write(rows: DataFrame, path: str) -> None:
+        rows.write.mode("overwrite").parquet(path)
 
-    def join(spark: SparkSession, parts: str, joined: str) -> None:
-        spark.read.parquet(storage.glob_escape(parts)).coalesce(1).write.parquet(joined)
+    return _publish(df, target, write, layout)
 
-    return _publish(df, target, write, join, single_file_limit)
 
+def _publish(df: DataFrame, target: str, write: Callable[[DataFrame, str], None], layout: str) -> Published:
+    """Write beside the target, then put the result in its place; a failed write leaves the old result.
 
-def _publish(
-    df: DataFrame,
-    target: str,
-    write: Callable[[DataFrame, str], None],
-    join: Callable[[SparkSession, str, str], None],
-    single_file_limit: int,
-) -> Published:
+    Where a rename copies all bytes, parts go straight to their final folder instead: there the old result goes first.
+    """
+    if layout not in (PARTS, FILE):
+        raise ValueError(f"layout is {PARTS} or {FILE}, not {layout!r}")
     spark = df.sparkSession
     target = storage.qualify(spark, target)
-    directory, token = storage.parent(target), uuid.uuid4().hex
-    joined = storage.join(directory, f"_joined_{token}")
-    # Where a rename copies all bytes, the parts go straight to their final folder.
-    direct = storage.scheme(target) in storage.RENAME_COPIES
-    parts = target if direct else storage.join(directory, f"_staging_{token}")
-    counted = RowCount(df)
+    token = uuid.uuid4().hex
+    in_place = layout == PARTS and storage.scheme(target) in storage.RENAME_COPIES
+    written = target if in_place else storage.join(storage.parent(target), f"_staging_{token}")
+    counted = RowCount(df.coalesce(1) if layout == FILE else df)
     try:
-        write(counted.df, parts)
-        part_glob = storage.join(storage.glob_escape(parts), "part-*")
-        one_part = storage.glob_count(spark, part_glob) == 1
-        small = storage.total_bytes(spark, parts) <= single_file_limit
-        if one_part and (small or not direct):
-            _replace(spark, storage.glob_one(spark, part_glob), target, token)
-        elif small:
-            join(spark, parts, joined)
-            joined_part = storage.glob_one(spark, storage.join(storage.glob_escape(joined), "part-*"))
-            _replace(spark, joined_part, target, token)
-        elif not direct:
-            _replace(spark, parts, target, token)
+        write(counted.df, written)
+        if layout == FILE:
+            part = storage.glob_one(spark, storage.join(storage.glob_escape(written), "part-*"))
+            _replace(spark, part, target, token)
+        elif not in_place:
+            _replace(spark, written, target, token)
     finally:
-        for leftover in (joined, parts):
-            if leftover != target:
-                storage.delete(spark, leftover)
+        if not in_place:
+            storage.delete(spark, written)
     return Published(target, storage.last_part(target), counted.value)
 
 
@@ -132,28 +100,3 @@ def _replace(spark: SparkSession, new: str, target: str, token: str) -> None:
     storage.rename(spark, ready, target)
     if replaced:
         storage.delete(spark, old)
-
-
-def _join_text(spark: SparkSession, parts: str, joined: str, header: bool) -> None:
-    """Join small part files, in part order, into one; only the first keeps its header line.
-
-    Works on bytes: each file is a row, cut by the length of the header line and by the last line end, which the text
-    sink puts back.
-    """
-    files = spark.read.format("binaryFile").load(storage.join(storage.glob_escape(parts), "part-*"))
-    skipped = F.lit(0)
-    if header:
-        first = storage.join(parts, min(storage.glob_names(spark, storage.join(storage.glob_escape(parts), "part-*"))))
-        first_line = F.substring_index(F.col("content").cast("string"), "\n", 1)
-        header_row = files.where(F.col("path") == first).select((F.octet_length(first_line) + 1).alias("bytes")).first()
-        skipped = F.when(F.col("path") == first, F.lit(0)).otherwise(F.lit(header_row["bytes"]))
-    rows = F.substring("content", skipped + 1, F.col("length").cast("int") - skipped - 1)
-    (
-        files.where(F.col("length") > skipped)
-        .select("path", rows.cast("string").alias("rows"))
-        .coalesce(1)
-        .sortWithinPartitions("path")
-        .select("rows")
-        .write.option("lineSep", "\n")
-        .text(joined)
-    )

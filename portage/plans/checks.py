@@ -163,15 +163,15 @@ def publish_parts(spark, sf_dir):
     """Many parts under one name, none of them lost."""
     events = table(spark, sf_dir, "events").repartition(4)
     path = f"{shared_dir(spark, 'parts')}/events_yyyymmdd.csv"
-    published = file_sinks.write_delimited(events, path, single_file_limit=0)
+    published = file_sinks.write_delimited(events, path)
     return files.scan_delimited(spark, published.path, schema=events.schema)
 
 
 @check("SELECT * FROM events")
 def publish_single(spark, sf_dir):
-    """Many small parts joined into one file, with one header line."""
+    """All rows in one file, with one header line."""
     events = table(spark, sf_dir, "events").repartition(4)
-    published = file_sinks.write_delimited(events, f"{shared_dir(spark, 'single')}/events.csv")
+    published = file_sinks.write_delimited(events, f"{shared_dir(spark, 'single')}/events.csv", layout="file")
     return files.scan_delimited(spark, published.path, schema=events.schema)
 
 
@@ -186,7 +186,7 @@ def source_file_lineage(spark, sf_dir):
     file_sinks.write_delimited(orders.where("o_orderstatus = 'F'"), f"{work}/finished.csv")
     file_sinks.write_delimited(orders.where("o_orderstatus = 'O'"), f"{work}/open.txt")
     rest = orders.where("o_orderstatus NOT IN ('F', 'O')").repartition(4)
-    file_sinks.write_delimited(rest, f"{work}/other.csv", single_file_limit=0)
+    file_sinks.write_delimited(rest, f"{work}/other.csv")
     rows = files.with_source_file(files.scan_directory(spark, work, schema=orders.schema))
     return rows.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("orders"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key")
@@ -701,7 +701,7 @@ def incremental_ingest(spark, sf_dir):
     even, odd = events.where("event_id % 2 = 0"), events.where("event_id % 2 <> 0").repartition(2)
     file_sinks.write_delimited(even, f"{work}/landing/events_20240130.csv")
     run()
-    file_sinks.write_delimited(odd, f"{work}/landing/events_20240131.csv", single_file_limit=0)
+    file_sinks.write_delimited(odd, f"{work}/landing/events_20240131.csv")
     run()
     return spark.table(f"{database}.events")
 

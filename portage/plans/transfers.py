@@ -124,9 +124,9 @@ def _scan_options(task: TaskSpec) -> dict:
     return options
 
 
-def _sink_limit(task: TaskSpec) -> dict[str, int]:
-    """Size in bytes up to which a result becomes one file, where the task sets it."""
-    return {"single_file_limit": int(task.get("single_file_limit"))} if task.get("single_file_limit") else {}
+def _layout(task: TaskSpec) -> dict[str, str]:
+    """``layout``: a folder of ``parts`` (the default) or one ``file``."""
+    return {"layout": task.get("layout", file_sinks.PARTS)}
 
 
 def _partitioning(task: TaskSpec) -> Partitioning | None:
@@ -206,9 +206,9 @@ def table_to_file(context: RunContext, task: TaskSpec, task_order: int) -> Trans
         default = naming.table_file_name(F.lit(audit.source), clock)
         path = _target_path(context, audit.target, default, clock)
         if naming.extension_of(path) == "parquet":
-            published = file_sinks.write_parquet(df, path, **_sink_limit(task))
+            published = file_sinks.write_parquet(df, path, **_layout(task))
         else:
-            options = {"delimiter": task.get("target_file_delimiter", ","), **_sink_limit(task), **_text_options(task)}
+            options = {"delimiter": task.get("target_file_delimiter", ","), **_layout(task), **_text_options(task)}
             published = file_sinks.write_delimited(df, path, **options)
     except Exception as error:
         return audit.failed("write", error, query)
@@ -240,9 +240,9 @@ def landing_to_file(context: RunContext, task: TaskSpec, task_order: int) -> Tra
     try:
         path = _target_path(context, audit.target, F.lit(name), naming.as_run_ts(context.clock()))
         if naming.extension_of(path) == "parquet":
-            published = file_sinks.write_parquet(df, path, **_sink_limit(task))
+            published = file_sinks.write_parquet(df, path, **_layout(task))
         else:
-            published = file_sinks.write_raw(df, path, header, **_sink_limit(task), **options)
+            published = file_sinks.write_raw(df, path, header, **_layout(task), **options)
     except Exception as error:
         return audit.failed("write", error, name)
     return audit.moved(published.rows, name, name, published.path, published.name)

@@ -15,40 +15,40 @@ def tricky(spark):
     return spark.createDataFrame(TRICKY, "k int, v string")
 
 
-@pytest.mark.parametrize("limit", [file_sinks.SINGLE_FILE_LIMIT, 0])
+@pytest.mark.parametrize("layout", ["file", "parts"])
 @pytest.mark.parametrize("name, delimiter", [("t.csv", ","), ("t.txt", "\t"), ("t.csv", "|")])
-def test_delimited_round_trip(spark, tmp_path, tricky, name, delimiter, limit):
+def test_delimited_round_trip(spark, tmp_path, tricky, name, delimiter, layout):
     published = file_sinks.write_delimited(
-        tricky.repartition(4), f"{tmp_path}/{name}", delimiter=delimiter, single_file_limit=limit
+        tricky.repartition(4), f"{tmp_path}/{name}", delimiter=delimiter, layout=layout
     )
     assert published.rows == 6 and published.name == name
-    assert os.path.isfile(tmp_path / name) == (limit > 0)
+    assert os.path.isfile(tmp_path / name) == (layout == "file")
     same_rows(files.scan_delimited(spark, published.path, delimiter=delimiter, schema=tricky.schema), tricky)
 
 
 def test_single_file_has_one_header_and_all_rows(spark, tmp_path):
-    file_sinks.write_delimited(spark.range(100).repartition(7), f"{tmp_path}/n.csv")
+    file_sinks.write_delimited(spark.range(100).repartition(7), f"{tmp_path}/n.csv", layout="file")
     lines = (tmp_path / "n.csv").read_text().splitlines()
     assert lines[0] == "id" and sorted(map(int, lines[1:])) == list(range(100))
 
 
-@pytest.mark.parametrize("limit", [file_sinks.SINGLE_FILE_LIMIT, 0])
-def test_parquet_publishes_every_part(spark, tmp_path, limit):
+@pytest.mark.parametrize("layout", ["file", "parts"])
+def test_parquet_publishes_every_part(spark, tmp_path, layout):
     df = spark.range(10000).repartition(4)
-    published = file_sinks.write_parquet(df, f"{tmp_path}/n.parquet", limit)
+    published = file_sinks.write_parquet(df, f"{tmp_path}/n.parquet", layout)
     assert published.rows == 10000
     same_rows(spark.read.parquet(published.path), df)
-    assert os.path.isfile(tmp_path / "n.parquet") == (limit > 0)
+    assert os.path.isfile(tmp_path / "n.parquet") == (layout == "file")
 
 
 def test_parquet_parts_in_a_folder_with_glob_characters(spark, tmp_path):
-    file_sinks.write_parquet(spark.range(10).repartition(3), f"{tmp_path}/a[1]*/n.parquet")
+    file_sinks.write_parquet(spark.range(10).repartition(3), f"{tmp_path}/a[1]*/n.parquet", "file")
     assert os.path.isfile(tmp_path / "a[1]*" / "n.parquet")
 
 
 def test_publishing_replaces_and_leaves_nothing_behind(spark, tmp_path):
-    for rows, limit in ((50, 0), (20, 10**6), (30, 0), (10, 10**6)):
-        file_sinks.write_delimited(spark.range(rows).repartition(3), f"{tmp_path}/n.csv", single_file_limit=limit)
+    for rows, layout in ((50, "parts"), (20, "file"), (30, "parts"), (10, "file")):
+        file_sinks.write_delimited(spark.range(rows).repartition(3), f"{tmp_path}/n.csv", layout=layout)
         assert files.scan_delimited(spark, f"{tmp_path}/n.csv").count() == rows
         assert [name for name in os.listdir(tmp_path) if not name.startswith(".")] == ["n.csv"]
 
@@ -64,14 +64,14 @@ def test_failed_write_keeps_the_old_file(spark, tmp_path):
 
 def test_parts_written_in_place_where_a_rename_would_copy(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(file_sinks.storage, "RENAME_COPIES", frozenset({"file"}))
-    for limit in (0, file_sinks.SINGLE_FILE_LIMIT):
-        file_sinks.write_delimited(spark.range(40).repartition(4), f"{tmp_path}/n.csv", single_file_limit=limit)
+    for layout in ("parts", "file"):
+        file_sinks.write_delimited(spark.range(40).repartition(4), f"{tmp_path}/n.csv", layout=layout)
         assert files.scan_delimited(spark, f"{tmp_path}/n.csv").count() == 40
     assert os.path.isfile(tmp_path / "n.csv")
 
 
 def test_no_rows(spark, tmp_path):
-    published = file_sinks.write_delimited(spark.range(10).where("id < 0"), f"{tmp_path}/none.csv")
+    published = file_sinks.write_delimited(spark.range(10).where("id < 0"), f"{tmp_path}/none.csv", layout="file")
     assert published.rows == 0
     assert (tmp_path / "none.csv").read_text() == "id\n"
 
@@ -86,7 +86,7 @@ def test_raw_scan_keeps_the_first_line_as_a_row(spark, tmp_path):
     put(tmp_path / "r.txt", "a\tb\n1\tx,y\n")
     raw = files.scan_raw(spark, f"{tmp_path}/r.txt")
     assert [tuple(r) for r in raw.collect()] == [("a", "b"), ("1", "x,y")]
-    file_sinks.write_raw(raw, f"{tmp_path}/r.csv")
+    file_sinks.write_raw(raw, f"{tmp_path}/r.csv", layout="file")
     assert (tmp_path / "r.csv").read_text() == 'a,b\n1,"x,y"\n'
 
 
@@ -119,7 +119,7 @@ def test_source_file_lineage(spark, tmp_path):
 
 
 def test_published_folder_counts_as_one_file(spark, tmp_path):
-    file_sinks.write_delimited(spark.range(40).repartition(4), f"{tmp_path}/n_20240101.csv", single_file_limit=0)
+    file_sinks.write_delimited(spark.range(40).repartition(4), f"{tmp_path}/n_20240101.csv")
     row = manifest.list_files(spark, str(tmp_path)).first()
     assert (row.name, row.parts) == ("n_20240101.csv", 4)
     assert files.scan_file(spark, f"{tmp_path}/n_yyyymmdd.csv").df.count() == 40
@@ -141,7 +141,7 @@ def test_directory_with_columns_in_another_order_is_refused(spark, tmp_path):
 
 def test_lineage_of_odd_names_and_parts(spark, tmp_path):
     put(tmp_path / "a b+%20.csv", "id\n1\n")
-    file_sinks.write_delimited(spark.range(4).repartition(2), f"{tmp_path}/n.csv", single_file_limit=0)
+    file_sinks.write_delimited(spark.range(4).repartition(2), f"{tmp_path}/n.csv")
     rows = files.with_source_file(files.scan_directory(spark, str(tmp_path))).select("source_file").distinct().collect()
     assert {r[0] for r in rows} == {"a b+%20.csv", "n.csv"}
 
@@ -153,6 +153,16 @@ def test_null_and_empty_string_with_options(spark, tmp_path):
     same_rows(files.scan_delimited(spark, published.path, schema=df.schema, **marks), df)
 
 
-def test_options_that_cannot_be_joined_stay_parts(spark, tmp_path):
-    published = file_sinks.write_delimited(spark.range(9).repartition(3), f"{tmp_path}/n.csv", compression="gzip")
-    assert os.path.isdir(tmp_path / "n.csv") and spark.read.csv(published.path, header=True).count() == 9
+@pytest.mark.parametrize("rows", [1, 1_000_000])
+def test_kind_of_output_does_not_depend_on_size(spark, tmp_path, rows):
+    df = spark.range(rows).coalesce(1)
+    file_sinks.write_delimited(df, f"{tmp_path}/n.csv")
+    file_sinks.write_parquet(df, f"{tmp_path}/n.parquet")
+    file_sinks.write_delimited(df.repartition(3), f"{tmp_path}/one.csv", layout="file", compression="gzip")
+    assert os.path.isdir(tmp_path / "n.csv") and os.path.isdir(tmp_path / "n.parquet")
+    assert os.path.isfile(tmp_path / "one.csv")
+
+
+def test_unknown_layout(spark, tmp_path):
+    with pytest.raises(ValueError, match="layout"):
+        file_sinks.write_delimited(spark.range(1), f"{tmp_path}/n.csv", layout="pars")

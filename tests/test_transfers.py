@@ -76,7 +76,7 @@ def test_landing_counts_data_rows_on_both_sides(ctx, tmp_path):
     for name in ("sftp_yyyymmdd.txt", "sftp_20241011.txt"):
         result = run(
             ctx, spec.LANDING_TO_FILE, source_sftp_file_path=f"{tmp_path}/in/{name}",
-            target_s3_file_path=f"{tmp_path}/out/s_yyyymmdd.csv",
+            target_s3_file_path=f"{tmp_path}/out/s_yyyymmdd.csv", layout="file",
         )
         assert result.records == 918 and result.target.endswith("/out/s_20240201.csv")
     assert (tmp_path / "out/s_20240201.csv").read_text() == sample_text(918, ",")
@@ -87,7 +87,7 @@ def test_landing_without_header_line(ctx, tmp_path):
     put(tmp_path / "in/x.csv", "1,a\n2,b\n")
     result = run(
         ctx, spec.LANDING_TO_FILE, source_sftp_file_path=f"{tmp_path}/in/x.csv", target_s3_file_path=f"{tmp_path}/out/",
-        header_row="False",
+        header_row="False", layout="file",
     )
     assert result.records == 2 and (tmp_path / "out/x.csv").read_text() == "1,a\n2,b\n"
 
@@ -109,7 +109,7 @@ def test_landing_takes_parquet(spark, ctx, tmp_path):
 
 def test_landing_of_many_parts_keeps_every_row(spark, ctx, tmp_path):
     """A header in each part stays a header in each part."""
-    file_sinks.write_delimited(spark.range(100).repartition(5), f"{tmp_path}/in/n.txt", delimiter="\t", single_file_limit=0)
+    file_sinks.write_delimited(spark.range(100).repartition(5), f"{tmp_path}/in/n.txt", delimiter="\t")
     result = run(ctx, spec.LANDING_TO_FILE, source_sftp_file_path=f"{tmp_path}/in/n.txt", target_s3_file_path=f"{tmp_path}/n.csv")
     assert result.records == 100
     same_rows(spark.read.csv(result.target, header=True, schema="id bigint"), spark.range(100))
@@ -193,7 +193,7 @@ def test_table_to_text(spark, ctx, tmp_path, target, name, delimiter, text):
     checks.table_sinks.load_table(spark.sql("SELECT 1 AS a, 'x' AS b"), TableAccess(), target)
     result = run(
         ctx, spec.TABLE_TO_FILE, source_access_db="warehouse", source_table=target, dml="",
-        target_s3_file_path=f"{tmp_path}/out/{name}", target_file_delimiter=delimiter,
+        target_s3_file_path=f"{tmp_path}/out/{name}", target_file_delimiter=delimiter, layout="file",
     )
     assert open(result.target.removeprefix("file:")).read() == text
     assert audit(ctx)[1][3] == name.replace("yyyymmdd", "20240201")
