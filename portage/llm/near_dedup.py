@@ -119,14 +119,12 @@ def _agreeing(a: Column, b: Column) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` that agree in ``matches`` coordinates and whose whole sets are similar enough."""
-    sign_a = sets.select(F.col("node").alias("a"), F.col("signature").alias("sign_a"))
-    sign_b = sets.select(F.col("node").alias("b"), F.col("signature").alias("sign_b"))
-    near = pairs.join(sign_a, "a").join(sign_b, "b").where(_agreeing(F.col("sign_a"), F.col("sign_b")) >= matches)
-    set_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
-    set_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    either = F.size("set_a") + F.size("set_b") - both
-    return near.select("a", "b").join(set_a, "a").join(set_b, "b").where(both * 100 >= either * percent).select("a", "b")
+    columns = ("signature", "shingles")
+    side_a, side_b = (sets.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
+    enough = _agreeing(F.col("signature_a"), F.col("signature_b")) >= matches
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    either = F.size("shingles_a") + F.size("shingles_b") - both
+    return pairs.join(side_a, "a").join(side_b, "b").where(enough & (both * 100 >= either * percent)).select("a", "b")
 
 
 def rarest_postings(signed: DataFrame, coordinates: int, matches: int) -> DataFrame:
