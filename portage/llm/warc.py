@@ -84,13 +84,14 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     records = plan.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     records.select("sha256", record_header(date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
 
+    # Plain keys without nulls: the join and the window then share one shuffle of the payloads.
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     key = F.sha2(_payload(F.col("html")), 256)
-    contents = pages.select(F.col("page_id").alias("_id"), key.alias("_key"), F.col("html").alias("_html"))
-    stores = plan.where("stores").select("page_id", "sha256")
-    match = contents["_key"].eqNullSafe(stores["sha256"]) & contents["_id"].eqNullSafe(stores["page_id"])
-    held = contents.join(stores, match, "left_semi")
+    contents = pages.select(page.alias("_page"), key.alias("_key"), F.col("html").alias("_html"))
+    stores = plan.where("stores").select(page.alias("_page"), F.col("sha256").alias("_key"))
+    held = contents.join(stores, ["_page", "_key"], "left_semi")
     # Equal rows of one page are the only ones left with one key; each key lies whole in the partitions of the join.
-    once = Window.partitionBy("_id", "_key").orderBy("_id")
+    once = Window.partitionBy("_page", "_key").orderBy("_page")
     held = held.withColumn("_n", F.row_number().over(once)).where("_n = 1")
     held.select(F.col("_key").alias("sha256"), _payload(F.col("_html")).alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
