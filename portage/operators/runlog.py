@@ -18,6 +18,7 @@ SCHEMA = (
     "source_file_dml string, operation string, record_count bigint, target_access string, target_path_table string, "
     "target_file string, status string, timestamp timestamp"
 )
+SOURCE_FILES = "run_id string, task_order int, source_file string"
 COLUMNS = [field.split()[0] for field in SCHEMA.split(", ")]
 TASK_KEYS = ["pipeline", "run_id", "service", "task_order"]
 REPORT_COLUMNS = [
@@ -37,7 +38,7 @@ class AuditRow:
     source_path_table: str
     source_file_dml: str
     operation: str
-    record_count: int
+    record_count: int | None
     target_access: str
     target_path_table: str
     target_file: str
@@ -52,8 +53,12 @@ class RunLog:
 
     def __init__(self, spark: SparkSession, path: str = "", access: TableAccess | None = None, table: str = ""):
         self.spark = spark
-        folder = FolderStore(path, SCHEMA, ("run_id",))
-        self.store = folder if access is None else TableStore(access, table, SCHEMA)
+        if access is None:
+            self.store = FolderStore(path, SCHEMA, ("run_id",))
+            self.sources = FolderStore(path.rstrip("/") + "_source_files", SOURCE_FILES, ("run_id",))
+        else:
+            self.store = TableStore(access, table, SCHEMA, ("run_id",))
+            self.sources = TableStore(access, table + "_source_files", SOURCE_FILES, ("run_id",))
 
     def append(self, *rows: AuditRow, at: datetime | None = None) -> None:
         """Append rows, all with one clock value: the given one, or now."""
@@ -66,8 +71,17 @@ class RunLog:
         """Append a whole log, such as one brought over from elsewhere."""
         self.store.append(_typed(rows))
 
-    def read(self) -> DataFrame:
-        return self.store.read(self.spark).select(*COLUMNS)
+    def append_source_files(self, run_id: str, task_order: int, names: DataFrame) -> None:
+        """Names of the files that a task read from a directory, one row each; executors write them."""
+        self.sources.append_few(names.select(
+            F.lit(run_id).alias("run_id"), F.lit(task_order).alias("task_order"), "source_file"))
+
+    def read(self, run_id: str | None = None) -> DataFrame:
+        """The log, or one run's part of it, for which no other run's files are listed."""
+        return self.store.read(self.spark, run_id).select(*COLUMNS)
+
+    def read_source_files(self, run_id: str | None = None) -> DataFrame:
+        return self.sources.read(self.spark, run_id).select("run_id", "task_order", "source_file")
 
     def correct_status(self, run_id: str, task_order: int, operation: str, status: str) -> None:
         """Set the status of one operation of one task, by appending a correcting row.
@@ -76,7 +90,7 @@ class RunLog:
         """
         scope = (F.col("run_id") == run_id) & (F.col("task_order") == task_order) & (F.col("operation") == operation)
         later = F.greatest(F.current_timestamp(), F.col("timestamp") + F.expr("INTERVAL 1 MICROSECOND"))
-        corrected = corrections(self.read().where(scope), F.lit(status), later)
+        corrected = corrections(self.read(run_id).where(scope), F.lit(status), later)
         self.store.append_few(_typed(corrected))
 
 
@@ -110,9 +124,11 @@ def report(latest: DataFrame) -> DataFrame:
 
 
 def run_report(log: DataFrame, run_id: str) -> DataFrame:
-    """One row per task of a run: its newest state, where a write or copy at the same time goes before a read."""
+    """One row per task of a run: its newest state, where a write or copy at the same time goes before a read, and then
+    the file name decides."""
     run = log.where(F.col("run_id") == run_id)
-    order = F.struct("timestamp", (F.col("operation") != "read").alias("moved"), "record_count", "status")
+    moved = (F.col("operation") != "read").alias("moved")
+    order = F.struct("timestamp", moved, "source_file_dml", "record_count", "status")
     newest = run.groupBy(*TASK_KEYS).agg(F.max_by(F.struct(*COLUMNS), order).alias("row"))
     return report(newest.select("row.*"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from portage import storage
 from portage.operators import table_sinks
@@ -32,19 +34,28 @@ class FolderStore:
         the rows are written elsewhere, and their files, with names of their own, are moved in.
         """
         spark, staged = rows.sparkSession, storage.join(self.path, f"_append_{uuid.uuid4().hex}")
-        rows.coalesce(1).write.partitionBy(*self.partition_by).parquet(staged)
-        places = storage.join(storage.glob_escape(staged), "*=*") if self.partition_by else ""
-        folders = [f"/{name}" for name in storage.glob_names(spark, places)] if places else [""]
-        for folder in folders:
-            storage.make_directory(spark, self.path + folder)
-            for part in storage.glob_names(spark, storage.glob_escape(staged + folder) + "/part-*"):
-                storage.rename(spark, f"{staged}{folder}/{part}", f"{self.path}{folder}/{part}")
-        storage.delete(spark, staged)
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        if not storage.exists(spark, self.path):
+        try:
+            rows.coalesce(1).write.partitionBy(*self.partition_by).parquet(staged)
+            places = storage.join(storage.glob_escape(staged), "*=*") if self.partition_by else ""
+            folders = [f"/{name}" for name in storage.glob_names(spark, places)] if places else [""]
+            for folder in folders:
+                storage.make_directory(spark, self.path + folder)
+                for part in storage.glob_names(spark, storage.glob_escape(staged + folder) + "/part-*"):
+                    storage.rename(spark, f"{staged}{folder}/{part}", f"{self.path}{folder}/{part}")
+        finally:
+            storage.delete(spark, staged)
+
+    def read(self, spark: SparkSession, value: str | None = None) -> DataFrame:
+        """All rows, or those of one value of the (only) partition column; then only its sub-folder is listed."""
+        folder = self.path
+        plain = value is not None and re.fullmatch(r"[A-Za-z0-9_.-]+", value)
+        if plain and self.partition_by:  # other values are escaped in folder names
+            folder = storage.join(self.path, f"{self.partition_by[0]}={value}")
+        if not storage.exists(spark, folder):
             return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(storage.glob_escape(self.path))
+        reader = spark.read.schema(self.schema).option("basePath", self.path)
+        rows = reader.parquet(storage.glob_escape(folder))
+        return rows if value is None else rows.where(F.col(self.partition_by[0]) == value)
 
 
 @dataclass(frozen=True)
@@ -54,6 +65,7 @@ class TableStore:
     access: TableAccess
     table: str
     schema: str
+    partition_by: tuple[str, ...] = ()
 
     def append(self, rows: DataFrame) -> None:
         table_sinks.load_table(rows, self.access, self.table)
@@ -61,7 +73,8 @@ class TableStore:
     def append_few(self, rows: DataFrame) -> None:
         self.append(rows)
 
-    def read(self, spark: SparkSession) -> DataFrame:
+    def read(self, spark: SparkSession, value: str | None = None) -> DataFrame:
         if not tables.table_exists(spark, self.access, self.table):
             return spark.createDataFrame([], self.schema)
-        return tables.scan_table(spark, self.access, self.table)
+        rows = tables.scan_table(spark, self.access, self.table)
+        return rows if value is None else rows.where(F.col(self.partition_by[0]) == value)

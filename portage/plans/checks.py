@@ -107,12 +107,11 @@ def csv_scan(spark, sf_dir):
     return files.scan_delimited(spark, published.path, schema=orders.schema)
 
 
-@check("SELECT * FROM customer")
+@check("SELECT * REPLACE (c_custkey::INTEGER AS c_custkey) FROM customer")
 def csv_scan_inferred(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     published = file_sinks.write_delimited(customer, f"{shared_dir(spark, 'csv')}/customer.csv", delimiter="|")
-    inferred = files.scan_delimited(spark, published.path, delimiter="|")
-    return inferred.withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
+    return files.scan_delimited(spark, published.path, delimiter="|")
 
 
 @check("SELECT * FROM documents")
@@ -153,7 +152,7 @@ def directory_scan(spark, sf_dir):
     work = shared_dir(spark, "directory")
     file_sinks.write_delimited(orders.where("o_orderstatus = 'F'"), f"{work}/finished.csv")
     file_sinks.write_delimited(orders.where("o_orderstatus = 'O'"), f"{work}/open.txt")
-    file_sinks.write_parquet(orders.where("o_orderstatus NOT IN ('F', 'O')"), f"{work}/other.parquet")
+    file_sinks.write_parquet(orders.where("NOT (o_orderstatus <=> 'F' OR o_orderstatus <=> 'O')"), f"{work}/other.parquet")
     file_sinks.write_delimited(orders.where("o_orderstatus = 'P'"), f"{work}/nested/more.csv")
     return files.scan_file(spark, work, schema=orders.schema).df
 
@@ -185,7 +184,7 @@ def source_file_lineage(spark, sf_dir):
     orders, work = table(spark, sf_dir, "orders"), shared_dir(spark, "directory")
     file_sinks.write_delimited(orders.where("o_orderstatus = 'F'"), f"{work}/finished.csv")
     file_sinks.write_delimited(orders.where("o_orderstatus = 'O'"), f"{work}/open.txt")
-    rest = orders.where("o_orderstatus NOT IN ('F', 'O')").repartition(4)
+    rest = orders.where("NOT (o_orderstatus <=> 'F' OR o_orderstatus <=> 'O')").repartition(4)
     file_sinks.write_delimited(rest, f"{work}/other.csv")
     rows = files.with_source_file(files.scan_directory(spark, work, schema=orders.schema))
     return rows.groupBy("source_file").agg(
@@ -228,8 +227,7 @@ def latest_by_datetime(spark, sf_dir):
 
 
 @check("""
-SELECT 'csv' AS extension, count(*) AS files, string_agg(name, '|' ORDER BY name) AS names
-FROM (SELECT DISTINCT 'events_' || strftime(ts, '%Y%m%d') || '.csv' AS name FROM events)
+SELECT DISTINCT 'csv' AS extension, 'events_' || strftime(ts, '%Y%m%d') || '.csv' AS name FROM events
 """)
 def manifest_names(spark, sf_dir):
     work = shared_dir(spark, "landing")
@@ -357,7 +355,7 @@ def table_query_join_agg(spark, sf_dir):
 def table_append(spark, sf_dir):
     orders, target = table(spark, sf_dir, "orders"), f"{new_database(spark)}.orders"
     table_sinks.load_table(orders.where("o_orderkey % 2 = 0"), WAREHOUSE, target, "Append")
-    table_sinks.load_table(orders.where("o_orderkey % 2 <> 0"), WAREHOUSE, target, "Append")
+    table_sinks.load_table(orders.where("NOT (o_orderkey % 2 <=> 0)"), WAREHOUSE, target, "Append")
     return spark.table(target)
 
 
@@ -480,6 +478,21 @@ def runlog_status_update(spark, sf_dir):
     return runlog.current_state(log.read()).drop("timestamp")
 
 
+@check(_LOG_CTE + """
+SELECT pipeline, run_id, service, task_order, source_path_table, source_file_dml, record_count AS Records,
+  target_path_table, target_file, CASE task_order WHEN 7 THEN 'failed' ELSE status END AS status
+FROM log WHERE run_id = 'run-3'
+QUALIFY row_number() OVER (PARTITION BY pipeline, service, task_order ORDER BY timestamp DESC, source_file_dml DESC) = 1
+""")
+def run_report_rows(spark, sf_dir):
+    """The report of one run of a stored log of many. A correction counts, also where the log's clock is ahead."""
+    log = RunLog(spark, f"{shared_dir(spark, 'log')}/run_log")
+    ahead = F.col("timestamp") + F.expr("INTERVAL 100 YEARS")
+    log.append_rows(derived_log(spark, sf_dir).withColumn("timestamp", ahead))
+    log.correct_status(RUN_ID, 7, "write", "failed")
+    return runlog.run_report(log.read(RUN_ID), RUN_ID)
+
+
 # Transfers -----------------------------------------------------------------------------------------------------------
 
 
@@ -525,10 +538,10 @@ def transfer_typed_by_target(spark, sf_dir):
     """An append that takes its types from the table, with no pass to infer them."""
     lineitem, work, database = table(spark, sf_dir, "lineitem"), shared_dir(spark, "transfer"), new_database(spark)
     table_sinks.load_table(lineitem.where("l_linenumber = 1"), WAREHOUSE, f"{database}.lineitem")
-    file_sinks.write_delimited(lineitem.where("l_linenumber <> 1"), f"{work}/lineitem.txt", delimiter="\t")
+    file_sinks.write_delimited(lineitem.where("NOT (l_linenumber <=> 1)"), f"{work}/lineitem.txt", delimiter="\t")
     transfer(
         new_context(spark, work), spec.FILE_TO_TABLE, source_s3_file_path=f"{work}/lineitem.txt", file_delimiter="\t",
-        target_access_db="warehouse", target_table=f"{database}.lineitem", types_from_target="True",
+        target_access_db="warehouse", target_table=f"{database}.lineitem",
     )
     return spark.table(f"{database}.lineitem")
 
@@ -591,6 +604,58 @@ def transfer_tree(spark, sf_dir):
     return spark.read.schema(conversations.schema).parquet(f"{target}chats").select(*conversations.columns)
 
 
+@check("SELECT DISTINCT 'run-1' AS run_id, 0 AS task_order, 'k=' || o_orderkey % 1500 || '.csv' AS source_file FROM orders")
+def directory_names(spark, sf_dir):
+    """One row per file of a directory of up to 1500 files, as the load of that directory logs them."""
+    orders, work, database = table(spark, sf_dir, "orders"), shared_dir(spark, "transfer"), new_database(spark)
+    # A folder of parts with the name of a file counts as that file.
+    named = orders.withColumn("k", F.concat((F.col("o_orderkey") % 1500).cast("string"), F.lit(".csv")))
+    named.repartition("k").write.partitionBy("k").options(header=True, **file_sinks.LOSSLESS).csv(f"{work}/many")
+    context = new_context(spark, work)
+    transfer(
+        context, spec.FILE_TO_TABLE, source_s3_file_path=f"{work}/many", target_access_db="warehouse",
+        target_table=f"{database}.orders", schema=ddl(orders),
+    )
+    return context.log.read_source_files("run-1")
+
+
+@check("""
+SELECT 'S3-S3' AS service, 'copy' AS operation, count(DISTINCT (l_returnflag, l_linestatus)) AS objects FROM lineitem
+""")
+def copy_counts(spark, sf_dir):
+    """Number of objects that the log has for a copied tree with one file a folder, without the writer's hidden files."""
+    lineitem, work = table(spark, sf_dir, "lineitem"), shared_dir(spark, "transfer")
+    keys = ["l_returnflag", "l_linestatus"]
+    lineitem.repartition(*keys).write.partitionBy(*keys).parquet(f"{work}/from/lines")
+    context = new_context(spark, work)
+    transfer(context, spec.FILE_TO_FILE, source_s3_file_path=f"{work}/from/", target_s3_file_path=f"{work}/to/")
+    hidden = copying.list_tree(spark, f"{work}/to").where(F.col("relative").rlike(r"(^|/)[._][^/]*$")).count()
+    objects = (F.col("record_count") - F.lit(hidden)).alias("objects")
+    return context.log.read().select("service", "operation", objects)
+
+
+@check("""
+SELECT 'S3-DB' AS service, 0 AS task_order, count(*) AS Records, '' AS target_file, 'success' AS status FROM orders
+UNION ALL SELECT 'DB-S3', 1, count(*), 'finished_20240201123030.csv', 'success' FROM orders WHERE o_orderstatus = 'F'
+""")
+def registered_run(spark, sf_dir):
+    """From a filled form to the registry, from there to a run, and its report; the run's clock stamps the file."""
+    orders, work, database = table(spark, sf_dir, "orders"), shared_dir(spark, "run"), new_database(spark)
+    file_sinks.write_delimited(orders, f"{work}/orders_20240131.csv")
+    loaded = f"{database}.orders"
+    form = {
+        "select_service_1": spec.FILE_TO_TABLE, "source_s3_file_path_1": f"{work}/orders_yyyymmdd.csv",
+        "target_access_db_1": "warehouse", "target_table_1": loaded, "load_type_1": "Append", "schema_1": ddl(orders),
+        "select_service_2": spec.TABLE_TO_FILE, "source_access_db_2": "warehouse", "source_table_2": loaded,
+        "dml_2": f"SELECT * FROM {loaded} WHERE o_orderstatus = 'F'",
+        "target_s3_file_path_2": f"{work}/out/finished_yyyymmddHHMMSS.csv",
+    }
+    pipelines = Registry(spark, f"{work}/registry")
+    pipelines.append(spec.PipelineSpec.from_form("orders", form, "ops@example.org").to_row(spark))
+    report = run_tasks(new_context(spark, work), spec.load_pipeline(pipelines.read(), "orders").tasks, on_failure="stop")
+    return report.select("service", "task_order", "Records", "target_file", "status")
+
+
 @check("SELECT * FROM events WHERE event_type = 'click'")
 def ordered_run(spark, sf_dir):
     """Newest landed text file, to a stamped CSV, into a table, and a query on it to a stamped Parquet file."""

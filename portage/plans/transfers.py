@@ -72,7 +72,7 @@ class _Audit:
     target: str
 
     def row(
-        self, operation: str, status: str, records: int = 0, source_item: str = "", target_file: str = ""
+        self, operation: str, status: str, records: int | None = 0, source_item: str = "", target_file: str = ""
     ) -> AuditRow:
         return AuditRow(
             self.context.pipeline, self.context.run_id, spec.service_code(self.task.service), self.task_order,
@@ -85,7 +85,10 @@ class _Audit:
 
     def failed(self, operation: str, error: Exception, source_item: str = "") -> TransferResult:
         logger.error("%s failed to %s: %s", self.task.service, operation, error)
-        self.append(self.row(operation, FAILED, source_item=source_item))
+        rows = [self.row(operation, FAILED, source_item=source_item)]
+        if operation == "write":  # the source was found; how many rows it has is not known
+            rows.insert(0, self.row("read", SUCCESS, None, source_item))
+        self.append(*rows)
         return TransferResult(False, error=str(error))
 
     def moved(
@@ -172,23 +175,29 @@ def _source_query(task: TaskSpec) -> str:
 def file_to_table(context: RunContext, task: TaskSpec, task_order: int) -> TransferResult:
     """Load one file, the newest of a series, or a directory into a table.
 
-    ``types_from_target`` spares the pass that infers types where the table is there already.
+    Text that is appended to a table that is there takes its types, which spares the pass that infers them, unless a
+    ``schema`` is given. ``types_from_target`` says so, or not, for all loads. The names of a directory's files go to
+    the log's table of source files.
     """
     audit = _audit(
         context, task, task_order, ("source_s3_access", "source_s3_file_path"), ("target_access_db", "target_table")
     )
     try:
         spark, access = context.spark, context.table_access(audit.target_access)
-        typed = task.get("types_from_target").lower() == "true" and tables.table_exists(spark, access, audit.target)
+        appended = table_sinks.load_mode(task.get("load_type")) == table_sinks.APPEND
+        default = str(appended and not task.get("schema"))
+        typed = task.get("types_from_target", default).lower() == "true" and tables.table_exists(spark, access, audit.target)
         scan = files.scan_file(spark, audit.source, infer=not typed, **_scan_options(task))
         df = _typed_like_target(scan.df, tables.scan_table(spark, access, audit.target)) if typed else scan.df
+        if scan.names is not None:
+            context.log.append_source_files(context.run_id, task_order, scan.names)
     except Exception as error:
         return audit.failed("read", error)
     try:
         rows = _load_target_table(context, task, df)
     except Exception as error:
-        return audit.failed("write", error, scan.joined_names)
-    return audit.moved(rows, scan.name, scan.joined_names, audit.target)
+        return audit.failed("write", error, scan.name)
+    return audit.moved(rows, scan.name, scan.name, audit.target)
 
 
 def table_to_file(context: RunContext, task: TaskSpec, task_order: int) -> TransferResult:

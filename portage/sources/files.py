@@ -13,19 +13,17 @@ from portage.functions import naming
 from portage.sources import manifest
 
 MULTIPLE_FILES = "MultipleFiles"
-# Joined file names go into one audit cell only for listings up to this length.
-NAMED_FILES = 1000
 # Spark's defaults would read values under wrong names, as nulls, or not at all, and say nothing.
 STRICT = {"mode": "FAILFAST", "enforceSchema": "false"}
 
 
 @dataclass(frozen=True)
 class FileScan:
-    """A scan, the file it reads (``MultipleFiles`` for a directory), and the joined names of a directory."""
+    """A scan, the file it reads (``MultipleFiles`` for a directory), and for a directory its names, one row each."""
 
     df: DataFrame
     name: str
-    joined_names: str
+    names: DataFrame | None = None
 
 
 def scan_delimited(
@@ -108,18 +106,15 @@ def resolve(spark: SparkSession, path: str) -> str:
 def scan_file(spark: SparkSession, path: str, **csv_options) -> FileScan:
     """Scan an exact path, the newest file of a series, or a directory."""
     if not naming.has_known_extension(path):
-        return FileScan(scan_directory(spark, path, **csv_options), MULTIPLE_FILES, _joined_names(spark, path))
+        return FileScan(scan_directory(spark, path, **csv_options), MULTIPLE_FILES, directory_names(spark, path))
     exact = resolve(spark, path)
     name = storage.last_part(exact)
     readable = storage.glob_escape(exact)
     if naming.extension_of(name) == "parquet":
-        return FileScan(scan_parquet(spark, readable), name, name)
-    return FileScan(scan_delimited(spark, readable, **csv_options), name, name)
+        return FileScan(scan_parquet(spark, readable), name)
+    return FileScan(scan_delimited(spark, readable, **csv_options), name)
 
 
-def _joined_names(spark: SparkSession, directory: str) -> str:
-    base = storage.glob_escape(storage.qualify(spark, directory))
-    if storage.glob_count(spark, storage.join(base, "*.{%s}" % ",".join(naming.EXTENSIONS))) > NAMED_FILES:
-        return MULTIPLE_FILES
-    names = manifest.list_files(spark, directory).agg(F.sort_array(F.collect_list("name")).alias("names"))
-    return "|".join(names.first()["names"])
+def directory_names(spark: SparkSession, directory: str) -> DataFrame:
+    """Names of the files that ``scan_directory`` reads, one row each (source_file). No job runs before it is used."""
+    return manifest.list_files(spark, directory).select(F.col("name").alias("source_file"))

@@ -73,12 +73,5 @@ def find_latest(spark: SparkSession, path: str) -> str | None:
 
 
 def names_by_extension(manifest: DataFrame) -> DataFrame:
-    """Per extension: number of files and their names joined by a bar. One string per group, so for one directory's
-    names, not for whole trees."""
-    return (
-        manifest.groupBy(naming.file_extension(F.col("name")).alias("extension"))
-        .agg(
-            F.count(F.lit(1)).alias("files"),
-            F.array_join(F.sort_array(F.collect_list("name")), "|").alias("names"),
-        )
-    )
+    """Names with their extension, one row each, so that no row grows with the directory."""
+    return manifest.select(naming.file_extension(F.col("name")).alias("extension"), "name")

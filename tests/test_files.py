@@ -101,14 +101,15 @@ def test_directory_deep_below_the_root(spark, tmp_path):
     spark.createDataFrame([(5, "t")], "k int, v string").coalesce(1).write.parquet(f"{base}/w.parquet")
     scan = files.scan_file(spark, f"{base}/")
     assert sorted(tuple(r) for r in scan.df.collect()) == [(1, "p"), (2, "q"), (5, "t")]
-    assert scan.name == "MultipleFiles" and scan.joined_names == "w.parquet|x.csv|y.txt"
+    names = sorted(row.source_file for row in scan.names.collect())
+    assert scan.name == "MultipleFiles" and names == ["w.parquet", "x.csv", "y.txt"]
 
 
-def test_many_files_are_not_named_one_by_one(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "NAMED_FILES", 2)
-    for i in range(3):
+def test_every_file_of_a_large_directory_is_named(spark, tmp_path):
+    for i in range(1100):
         put(tmp_path / f"{i}.csv", "k\n1\n")
-    assert files.scan_file(spark, str(tmp_path)).joined_names == "MultipleFiles"
+    names = {row.source_file for row in files.scan_file(spark, str(tmp_path)).names.collect()}
+    assert names == {f"{i}.csv" for i in range(1100)}
 
 
 def test_source_file_lineage(spark, tmp_path):
