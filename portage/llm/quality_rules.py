@@ -1,12 +1,17 @@
 """Quality rules in DataFrame functions alone: counts of each text, and an n-gram log-likelihood ratio.
 
 Words and pairs of neighbouring words are hashed to a fixed number of buckets. One multinomial over the buckets is
-counted on trusted documents, one on the whole corpus. A document's score is the mean over its n-grams of the log of
-the ratio of the two; every document with a mean below the threshold is rejected.
+counted on trusted documents, one on documents labelled bad, one on the whole corpus. The first two are mixed half and
+half with the third, and a document's score is the mean over its n-grams of the log of their ratio; every document with
+a mean below the threshold is rejected. An n-gram without labels is neutral, so a language or source with few labels is
+not rejected for that. ``bucket_ratios`` is the plain ratio of trusted to all documents, which does reject it; no query
+uses it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +21,10 @@ BUCKETS = 1 << 16
 #: Trusted documents are at most this many labelled rows, those with the smallest hashes of their doc_id.
 TRUSTED = 20_000
 SMOOTHING = 1.0
+#: For ``bucket_ratios``.
 THRESHOLD = -0.15
+#: For ``bucket_contrasts``. Rule: of the labelled good documents left out of the counts, at most one of each table is lost (README).
+CONTRAST_THRESHOLD = -0.2
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -76,18 +84,28 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def bucket_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket and log ratio: trusted against all documents, both smoothed. At most ``BUCKETS`` rows.
+def bucket_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket and its n-grams in all documents (raw), in trusted ones (good) and in those labelled bad (bad).
 
-    All documents are counted. The broadcast side has at most ``TRUSTED`` ids. Counts are combined before the shuffle.
+    At most ``BUCKETS`` rows. All documents are counted. Counts are combined before the shuffle.
     """
-    trusted = F.broadcast(trusted_ids(labels).select("doc_id", F.lit(1).alias("trusted")))
-    marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
-    counts = stored(_grams(marked, F.coalesce("trusted", F.lit(0)).alias("trusted")).groupBy("bucket").agg(
-        F.count("*").alias("raw"), F.sum("trusted").alias("good")
+    good = trusted_ids(labels).select("doc_id", F.lit(1).alias("good"))
+    bad = labels.where("quality = 0 AND doc_id IS NOT NULL").select("doc_id", F.lit(1).alias("bad")).distinct()
+    marked = docs.select("doc_id", "text").join(good.join(bad, "doc_id", "full"), "doc_id", "left")
+    marks = [F.coalesce(name, F.lit(0)).alias(name) for name in ("good", "bad")]
+    return stored(_grams(marked, *marks).groupBy("bucket").agg(
+        F.count("*").alias("raw"), F.sum("good").alias("good"), F.sum("bad").alias("bad")
     ), "buckets")
-    totals = counts.agg(F.sum("raw").alias("raw_total"), F.sum("good").alias("good_total")).first()
-    raw_total, good_total = totals[0] or 0, totals[1] or 0
+
+
+def _totals(counts: DataFrame) -> list[int]:
+    return [n or 0 for n in counts.agg(F.sum("raw"), F.sum("good"), F.sum("bad")).first()]
+
+
+def bucket_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket and log ratio: trusted against all documents, both smoothed. It falls with the labelled share of a vocabulary."""
+    counts = bucket_counts(docs, labels)
+    raw_total, good_total, _ = _totals(counts)
     if not good_total:
         return counts.select("bucket", F.lit(0.0).alias("ratio"))
     spread = SMOOTHING * BUCKETS
@@ -96,23 +114,41 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.select("bucket", F.log(good / raw).alias("ratio"))
 
 
-def likelihood_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def bucket_contrasts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket and log ratio: trusted against labelled bad documents, each with as many n-grams more by the raw shares.
+
+    An n-gram that no trusted document has stays above -log 2 unless its share in the bad is over that in all documents.
+    """
+    counts = bucket_counts(docs, labels)
+    raw_total, good_total, bad_total = _totals(counts)
+
+    def backed_off(name: str, total: int) -> Column:
+        more = total + SMOOTHING
+        return (F.col(name) + more * F.col("raw") / raw_total) / (total + more)
+
+    ratio = F.log(backed_off("good", good_total) / backed_off("bad", bad_total))
+    return counts.select("bucket", (ratio if raw_total else F.lit(0.0)).alias("ratio"))
+
+
+def likelihood_ratios(docs: DataFrame, labels: DataFrame, of_buckets: Callable = bucket_ratios) -> DataFrame:
     """doc_id, text_key and mean log ratio of each document's n-grams; documents without words have no row."""
-    ratios = F.broadcast(bucket_ratios(docs, labels))
+    ratios = F.broadcast(of_buckets(docs, labels))
     grams = _grams(docs, "doc_id", F.xxhash64("text").alias("text_key"))
     return grams.join(ratios, "bucket").groupBy("doc_id", "text_key").agg(F.avg("ratio").alias("llr"))
 
 
-def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def judge_documents(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, of_buckets: Callable = bucket_ratios
+) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept.
 
     base_failed: fewer than 10 words, or over 20 % of the words in repeated 5-word windows. kept: not base_failed and a
     mean log ratio of at least ``threshold``. Null and empty texts have no words and fail. Rows are judged by their
-    text, so repeated rows agree; without trusted documents every ratio is 0. Other columns are not read.
+    text, so repeated rows agree; without labels every ratio is 0. Other columns are not read.
     """
     key = ["doc_id", "text_key"]
     counts = with_counts(docs)
-    ratios = likelihood_ratios(docs, labels).withColumnsRenamed({name: f"_{name}" for name in key})
+    ratios = likelihood_ratios(docs, labels, of_buckets).withColumnsRenamed({name: f"_{name}" for name in key})
     same = counts["doc_id"].eqNullSafe(ratios["_doc_id"]) & (counts["text_key"] == ratios["_text_key"])
     repeated = F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT
     failed = (F.col("n_words") < MIN_WORDS) | repeated
@@ -122,9 +158,14 @@ def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     )
 
 
-def keep_good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that ``judge_documents`` keeps, with the columns they had; matched by doc_id and text."""
-    bad = judge_documents(docs, labels, threshold).where("NOT kept")
+def judge_by_contrast(docs: DataFrame, labels: DataFrame, threshold: float = CONTRAST_THRESHOLD) -> DataFrame:
+    """``judge_documents`` with ``bucket_contrasts``: trusted against labelled bad documents."""
+    return judge_documents(docs, labels, threshold, bucket_contrasts)
+
+
+def keep_good_documents(docs: DataFrame, labels: DataFrame, threshold: float = CONTRAST_THRESHOLD) -> DataFrame:
+    """The documents that ``judge_by_contrast`` keeps, with the columns they had; matched by doc_id and text."""
+    bad = judge_by_contrast(docs, labels, threshold).where("NOT kept")
     bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_text")).distinct()
     same = docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(docs["text"]) == bad["_bad_text"])
     return docs.join(bad, same, "left_anti")

@@ -68,7 +68,7 @@ def op9_line_dedup(spark, sf_dir):
 
 
 def op10_quality_rules(spark, sf_dir):
-    judged = quality_rules.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    judged = quality_rules.judge_by_contrast(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.drop("text_key")
 
 

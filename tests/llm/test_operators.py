@@ -319,6 +319,56 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.keep_good_documents(docs, labels).columns == docs.columns
 
 
+def _contrasts(docs, good_ids, bad_ids):
+    """Mean log ratio of each text, by plain Python."""
+    raw, good, bad, grams = {}, {}, {}, []
+    for i, text in docs:
+        w = words(text)
+        grams.append([_xx(a) % quality_rules.BUCKETS for a in w] + [_xx(a, b) % quality_rules.BUCKETS for a, b in zip(w, w[1:])])
+        for gram in grams[-1]:
+            raw[gram] = raw.get(gram, 0) + 1
+            good[gram] = good.get(gram, 0) + (i in good_ids)
+            bad[gram] = bad.get(gram, 0) + (i in bad_ids)
+    n_raw, n_good, n_bad = sum(raw.values()), sum(good.values()), sum(bad.values())
+
+    def share(counts, n, gram):
+        return (counts[gram] + (n + 1) * raw[gram] / n_raw) / (2 * n + 1)
+
+    return [np.mean([np.log(share(good, n_good, g) / share(bad, n_bad, g)) for g in own]) if own else None for own in grams]
+
+
+def test_contrast_of_labelled_documents(spark, docs, empty):
+    labels = spark.createDataFrame([(6, 1, 0), (8, 1, 0), (9, 1, None), (11, 0, 0), (15, 0, 0), (18, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    expected = [(i, None if llr is None else round(float(llr), 9)) for (i, _), llr in zip(DOCS, _contrasts(DOCS, {6, 8, 9}, {11, 15}))]
+    result = quality_rules.judge_by_contrast(docs, labels)
+    found = [(row.doc_id, None if row.llr is None else round(row.llr, 9)) for row in result.collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    kept = {row.doc_id for row in result.where("kept").collect()}
+    assert {6, 8, 9} <= kept and not kept & {11, 15}
+    assert quality_rules.judge_by_contrast(empty, labels).count() == 0
+    assert {row.llr for row in quality_rules.judge_by_contrast(docs, labels.limit(0)).collect()} == {None, 0.0}
+
+
+def test_a_language_with_few_labels_is_kept(spark):
+    draw = random.Random(3)
+    tongues = {lang: [f"{lang}{i}" for i in range(200)] for lang in ("en", "de", "fr")}
+    rows, labels, clean = [], [], set()
+    for i in range(240):
+        lang = ("en", "de", "fr")[i % 3]
+        text = [draw.choice(tongues[lang]) for _ in range(60)]
+        if bad := i % 8 == 0:
+            text = [word + "&&&" for word in text]
+        else:
+            clean.add(i)
+        rows.append((i, " ".join(text)))
+        # one good German label, no good French one
+        if bad or lang == "en" or i == 1:
+            labels.append((i, int(not bad), 0))
+    result = quality_rules.keep_good_documents(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {row.doc_id for row in result.collect()} == clean
+
+
 def test_classifier_on_held_out_rows(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{big}/labels.parquet")
