@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from portage.llm.scratch import stored
 
 BUCKETS = 1 << 16
-#: Trusted documents are at most this many labelled rows, those with the smallest hashes of their doc_id.
-TRUSTED = 20_000
 SMOOTHING = 1.0
 #: For ``bucket_ratios``.
 THRESHOLD = -0.15
@@ -78,20 +76,21 @@ def _grams(docs: DataFrame, *keep: Column | str) -> DataFrame:
     return words.select(*names, F.explode(both).alias("gram")).select(*names, bucket.alias("bucket"))
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """doc_ids labelled good and not toxic; at most ``limit``, chosen by hash."""
-    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def label_marks(labels: DataFrame) -> DataFrame:
+    """doc_id, good (1 where some row says good and not toxic: trusted) and bad (1 where some row says bad)."""
+    good = F.col("quality").eqNullSafe(1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    bad = F.col("quality").eqNullSafe(0)
+    named = labels.where((good | bad) & F.col("doc_id").isNotNull())
+    return named.groupBy("doc_id").agg(F.max(good.cast("int")).alias("good"), F.max(bad.cast("int")).alias("bad"))
 
 
 def bucket_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """bucket and its n-grams in all documents (raw), in trusted ones (good) and in those labelled bad (bad).
 
-    At most ``BUCKETS`` rows. All documents are counted. Counts are combined before the shuffle.
+    At most ``BUCKETS`` rows. All documents and all labels are counted; the planner picks the join. Counts are combined
+    before the shuffle.
     """
-    good = trusted_ids(labels).select("doc_id", F.lit(1).alias("good"))
-    bad = labels.where("quality = 0 AND doc_id IS NOT NULL").select("doc_id", F.lit(1).alias("bad")).distinct()
-    marked = docs.select("doc_id", "text").join(good.join(bad, "doc_id", "full"), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(label_marks(labels), "doc_id", "left")
     marks = [F.coalesce(name, F.lit(0)).alias(name) for name in ("good", "bad")]
     return stored(_grams(marked, *marks).groupBy("bucket").agg(
         F.count("*").alias("raw"), F.sum("good").alias("good"), F.sum("bad").alias("bad")

@@ -349,6 +349,14 @@ def test_contrast_of_labelled_documents(spark, docs, empty):
     assert {row.llr for row in quality_rules.judge_by_contrast(docs, labels.limit(0)).collect()} == {None, 0.0}
 
 
+def test_all_labelled_documents_are_counted(spark):
+    n = 20_001
+    rows = spark.range(n).selectExpr("id AS doc_id", "'one two' AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    counts = quality_rules.bucket_counts(rows, labels).collect()
+    assert sorted((row.raw, row.good, row.bad) for row in counts) == [(n, n, 0)] * 3
+
+
 def test_a_language_with_few_labels_is_kept(spark):
     draw = random.Random(3)
     tongues = {lang: [f"{lang}{i}" for i in range(200)] for lang in ("en", "de", "fr")}
