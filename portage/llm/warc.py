@@ -28,23 +28,24 @@ def _urn(page_id: Column) -> Column:
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """One row per distinct (page_id, payload): sha256, sha1, bytes, copies, record_type and refers_to.
+    """One row per distinct (page_id, url, payload): sha256, sha1, bytes, copies, record_type and refers_to.
 
     Only digests are shuffled. The largest page_id of each payload comes from a partial maximum, so a payload that very
-    many pages share is no hot group. Equal rows of one page are ``copies``.
+    many pages share is no hot group. Equal rows of one page and url are ``copies``; one row of a payload ``stores`` it.
     """
     digests = pages.select(
         "page_id", F.sha2(_payload(F.col("html")), 256).alias("sha256"), F.sha1(_payload(F.col("html"))).alias("sha1"),
         F.octet_length(_payload(F.col("html"))).cast("long").alias("bytes"), F.col("url").cast("string").alias("url"),
     )
-    digests = digests.groupBy("page_id", "sha256", "sha1", "bytes").agg(
-        F.min("url").alias("url"), F.count("*").alias("copies"))
-    newest = digests.groupBy("sha256").agg(F.max("page_id").alias("newest"))
+    digests = digests.groupBy("page_id", "sha256", "sha1", "bytes", "url").agg(F.count("*").alias("copies"))
+    newest = digests.groupBy("sha256").agg(F.max(F.struct("page_id", "url")).alias("stored"))
+    newest = newest.select("sha256", F.col("stored.page_id").alias("newest"), F.col("stored.url").alias("stored_url"))
     joined = digests.join(newest, "sha256")
     is_first = F.col("page_id").eqNullSafe(F.col("newest"))
     revisit = (F.col("bytes") >= REVISIT_BYTES) & ~is_first
     return joined.select(
-        "page_id", "sha256", "sha1", "bytes", "url", "copies", is_first.alias("stores"),
+        "page_id", "sha256", "sha1", "bytes", "url", "copies",
+        (is_first & F.col("url").eqNullSafe(F.col("stored_url"))).alias("stores"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("newest")).alias("refers_to"),
     )

@@ -252,6 +252,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_page_records(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_warc_keeps_every_url_of_a_page(spark, tmp_path):
+    html = "<p>same</p>" * 200
+    rows = [(1, "http://a/1", html), (1, "http://a/2", html), (1, "http://a/2", html), (0, "http://b/", html), (1, None, html)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "urls"))
+    found = warc.read_archive(spark, str(tmp_path / "urls")).select(warc.header_field("WARC-Target-URI").alias("url")).collect()
+    assert sorted((row.url or "" for row in found)) == sorted(url or "" for _, url, _ in rows)
+    assert spark.read.parquet(str(tmp_path / "urls/payloads")).count() == 1
+
+
 def test_a_changed_payload_is_noticed(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), str(tmp_path / "a"))
     stored = spark.read.parquet(str(tmp_path / "a/payloads")).selectExpr("sha256", "CAST('other' AS BINARY) AS payload")
