@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portage.llm import (
-    chat, decontamination, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup,
-    warc,
+    chat, decontamination, fill_in_middle, lexical_search, line_dedup, near_dedup, packing, quality_classifier, quality_rules,
+    sharding, substring_dedup, vector_search, warc,
 )
 from portage.session import shared_dir
 
@@ -72,13 +72,31 @@ def op10_quality_rules(spark, sf_dir):
     return judged.drop("text_key")
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def op12_vector_search(spark, sf_dir):
+    return vector_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {query.__name__: query for query in (
     op1_quality_classifier, op2_decontamination, op3_sharding, op4_substring_dedup, op5_minhash_near_dedup, op6_packing,
-    op7_warc, op8_chat_formatting, op9_line_dedup, op10_quality_rules,
+    op7_warc, op8_chat_formatting, op9_line_dedup, op10_quality_rules, op11_fill_in_middle, op12_vector_search, op13_lexical_search,
 )}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _CONTROL_SQL = r"<\|start\|>|<\|text\|>|<\|end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>" \
     r"|<\|endoftext\|>|<\|startoftext\|>|<\|system\|>|<\|user\|>|<\|assistant\|>|<unk>|<pad>"
 
@@ -165,4 +183,41 @@ ORACLE_SQL = {
         SELECT doc_id, len(l) AS n_lines, coalesce(len(g), 0) AS n_removed, sha256(array_to_string(CASE WHEN g IS NULL THEN every
             ELSE list_filter(every, lambda x, i: NOT coalesce(list_contains(g, list_position(places, i)), false)) END, chr(10))) AS kept_sha256
         FROM doc LEFT JOIN gone USING (doc_id)""",
+    "op11_fill_in_middle": r"""
+        WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t FROM documents),
+        drawn AS (SELECT doc_id, text, t, len(t) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(t) + 1) AS one,
+                CAST('0x' || h[9:16] AS BIGINT) % (len(t) + 1) AS two, CAST('0x' || h[17:24] AS BIGINT) % 100 AS rate,
+                CAST('0x' || h[25:32] AS BIGINT) % 100 AS suffix_first FROM doc),
+        parted AS (SELECT doc_id, text, n, array_to_string(t[1:least(one, two)], '') AS p,
+                array_to_string(t[least(one, two) + 1:greatest(one, two)], '') AS m, array_to_string(t[greatest(one, two) + 1:n], '') AS s,
+                CASE WHEN text = '' OR rate >= 50 OR regexp_matches(text, '<[PSM]>') THEN 'plain'
+                    WHEN suffix_first < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, sha256(CASE form WHEN 'plain' THEN text
+                WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM parted""",
+    "op12_vector_search": """
+        WITH whole AS (SELECT vec_id, row_number() OVER () AS r,
+                list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (SELECT q.vec_id AS query_id, q.r AS k, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.r <> c.r)
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+        WINDOW w AS (PARTITION BY k ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op13_lexical_search": rf"""
+        WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_TERM}) AS t FROM documents),
+        total AS (SELECT count(*) FILTER (len(t) > 0) AS docs, CAST(sum(len(t)) AS BIGINT) AS terms FROM doc),
+        term AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS t FROM doc),
+        posting AS (SELECT r, doc_id, n, t, count(*) AS tf FROM term GROUP BY r, doc_id, n, t),
+        weight AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM posting, total GROUP BY t),
+        wanted AS (SELECT k, item_id, unnest(t) AS t FROM (
+            SELECT row_number() OVER () AS k, item_id, regexp_extract_all({_LOWER}, {_TERM}) AS t FROM benchmark)),
+        scored AS (SELECT k, item_id, r, doc_id,
+                CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+            FROM wanted JOIN weight USING (t) JOIN posting USING (t), total GROUP BY k, item_id, r, doc_id)
+        SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+        WINDOW w AS (PARTITION BY k ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10""",
 }

@@ -1,0 +1,203 @@
+"""Fill-in-middle and the two searches on small tables of odd rows against plain Python, and on empty tables."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from portage.llm import fill_in_middle, lexical_search, vector_search
+
+_random = random.Random(11)
+_BLANK = r"[\x20\x09-\x0D]"
+TOKEN = re.compile(rf"{_BLANK}*[^\x20\x09-\x0D]+|{_BLANK}+")
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+_letters = [" ", " ", "\t", "\n", "\x0b", "\r", "\x08", "\x0e", "\x1f", "!", "a", "B", "é", "字", "😀", "\x89", "\xa0", "\x00", "<", ">"]
+ODD = [None, "", " ", "\n\n", "a", " a", "a ", "<P>", "x <S> y", "a <M", "naïve 字 😀"] + [
+    "".join(_random.choice(_letters) for _ in range(_random.randrange(40))) for _ in range(400)
+]
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def cut(doc_id, text):
+    """What fill-in-middle makes of a text, from its definition."""
+    text = text or ""
+    tokens = TOKEN.findall(text)
+    digest = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * i:8 * i + 8], 16) for i in range(4)]
+    a, b = sorted((h[0] % (len(tokens) + 1), h[1] % (len(tokens) + 1)))
+    p, m, s = "".join(tokens[:a]), "".join(tokens[a:b]), "".join(tokens[b:])
+    if not text or any(mark in text for mark in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+        return doc_id, len(tokens), "plain", None, None, text
+    if h[3] % 100 < 80:
+        return doc_id, len(tokens), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return doc_id, len(tokens), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def test_fill_in_middle(spark):
+    rows = [(i, text) for i, text in enumerate(ODD)] + [(None, "a b c"), (None, "a b c"), (20, ODD[20]), (5, "other text")]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, output string, n int").repartition(3)
+    made = fill_in_middle.fill_in_middle(docs).withColumn("back", fill_in_middle.restored(F.col("output"), F.col("form")))
+    actual = [tuple(row) for row in made.collect()]
+    expected = [(*cut(i, text), text or "") for i, text in rows]
+    assert sorted(actual, key=repr) == sorted(expected, key=repr)
+    assert {row[2] for row in actual} == {"plain", "psm", "spm"}
+
+
+def test_fill_in_middle_of_texts_of_nothing(spark):
+    schema = "doc_id long, text string"
+    assert fill_in_middle.fill_in_middle(spark.createDataFrame([], schema)).count() == 0
+    blank = fill_in_middle.fill_in_middle(spark.createDataFrame([(1, None), (2, "")], schema))
+    assert {(r.n, r.form, r.output) for r in blank.collect()} == {(0, "plain", "")}
+
+
+def test_tokens_and_code_points_on_words():
+    texts = [(text or "").encode() for text in ODD]
+    words, bounds = fill_in_middle.as_words(texts)
+    ends, points = fill_in_middle.token_ends(words, bounds), fill_in_middle.code_points(words)
+    before = ends.before(bounds)
+    for i, text in enumerate(ODD):
+        tokens = TOKEN.findall(text or "")
+        places = ends.select(before[i] + np.arange(1, len(tokens) + 1)) + 1 - bounds[i]
+        assert [texts[i][:p].decode() for p in places] == ["".join(tokens[:k + 1]) for k in range(len(tokens))]
+        assert np.diff(points.before(bounds[i:i + 2])) == len(text or "")
+
+
+def test_one_long_text(spark):
+    text = "".join(_random.choice(["word ", "é\n", "  x", "字"]) for _ in range(1_500_000))
+    docs = spark.createDataFrame([(i, text) for i in range(4)] + [(9, "short one")], "doc_id long, text string")
+    made = {r.doc_id: (r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, r.output) for r in fill_in_middle.fill_in_middle(docs).collect()}
+    assert made == {i: cut(i, t) for i, t in [(0, text), (1, text), (2, text), (3, text), (9, "short one")]}
+
+
+def terms_of(text):
+    return TERM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def ranked(docs, items, top):
+    """Scores of all documents for each item, from their definition."""
+    words = [(doc_id, terms_of(text)) for doc_id, text in docs]
+    n_docs, n_terms = sum(bool(w) for _, w in words), sum(len(w) for _, w in words)
+    out = []
+    for item_id, text in items:
+        wanted, scores = terms_of(text), []
+        weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * sum(t in w for _, w in words) + 1))) for t in set(wanted)}
+        for doc_id, w in words:
+            m = 100 - 75 + (75 * len(w) * n_docs) // max(n_terms, 1)
+            score = sum(weight[t] * ((10**9 * w.count(t)) // (1000 * w.count(t) + 8 * m)) for t in wanted)
+            scores.append((-score, doc_id is not None, doc_id or 0, doc_id))
+        best = [s for s in sorted(scores, key=lambda s: s[:3]) if s[0] < 0][:top]
+        out += [(item_id, rank, s[3], -s[0]) for rank, s in enumerate(best, 1)]
+    return out
+
+
+def prose(n, vocabulary):
+    return " ".join(_random.choice(vocabulary) for _ in range(n))
+
+
+VOCABULARY = ["the", "The", "of", "Ärger", "x-ray", "字", "naïve"] + [f"w{i}" for i in range(40)]
+TEXTS = [None, "", " .,; ", "the", "THE the"] + [prose(_random.randrange(1, 60), VOCABULARY) for _ in range(150)]
+SEARCHED = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "the Ärger"), (7, TEXTS[7]), (7, TEXTS[7])] + [(200 + i, "w1 w2 w3") for i in range(30)]
+ITEMS = [(1, "the of w1 w2"), (2, prose(40, VOCABULARY)), (3, "w1 w1 w1 naïve"), (4, None), (5, "nowhere"), (6, "?!"), (None, "Ärger"),
+         (1, "the of w1 w2"), (8, prose(200, VOCABULARY))]
+
+
+@pytest.mark.parametrize("limits", [{}, {"segment_bytes": 600, "block_bytes": 40}])
+def test_lexical_search(spark, limits):
+    docs = spark.createDataFrame([(i, t, 5, "clash") for i, t in SEARCHED], "doc_id long, text string, score int, item_key string").repartition(4)
+    items = spark.createDataFrame([(i, t, "clash") for i, t in ITEMS], "item_id long, text string, doc_id string").repartition(2)
+    actual = [tuple(row) for row in lexical_search.search(docs, items, 10, **limits).collect()]
+    assert sorted(actual, key=repr) == sorted(ranked(SEARCHED, ITEMS, 10), key=repr)
+
+
+def test_lexical_search_of_nothing(spark):
+    docs, none = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert lexical_search.search(none, items).count() == 0
+    assert lexical_search.search(docs, items.where("item_id > 1")).count() == 0
+    assert [tuple(row) for row in lexical_search.search(docs, items).collect()] == ranked([(1, "a b")], [(1, "a")], 10)
+
+
+def test_terms_of_a_long_text_are_counted_in_parts(monkeypatch):
+    text = (prose(3000, VOCABULARY) + " " + "y" * 700 + " end").encode().translate(lexical_search.W.LOWER_ALNUM)
+    pieces = list(lexical_search.blocks(text, 500))
+    assert b"".join(pieces) == text and max(map(len, pieces)) <= 710 and len(pieces) > 20
+    monkeypatch.setattr(lexical_search.W, "CHUNK_BYTES", 500)
+    batch = lexical_search.pa.record_batch({"doc_id": [1, 2, 3], "text": ["a b", text.decode(), None]})
+    rows = list(lexical_search.count_segments(iter([batch]), 1 << 20))
+    assert len(rows) == 1 and rows[0]["n_terms"][0].as_py() == 2 + len(text.split())
+    postings = dict(zip(rows[0]["terms"][0].as_py(), rows[0]["counts"][0].as_py()))
+    assert set(postings) == {"a", "b", *text.decode().split()} and max(postings.values()) == 1
+
+
+def test_reading_stops_when_the_intervals_have_closed():
+    n = 5000
+    rare = np.arange(5, dtype=np.int32)
+    common = np.random.default_rng(3).permutation(n).astype(np.int32)
+    values = np.sort(np.random.default_rng(4).integers(1, 50, n).astype(np.int32))[::-1]
+    lists = [(rare, np.full(5, 900, np.int32), 1000), (common, values, 1)]
+    total = np.zeros(n, np.int64)
+    for docs, scores, factor in lists:
+        total[docs] += scores.astype(np.int64) * factor
+    for top in (1, 3, 10, n + 5):
+        expected = sorted(((-int(s), d) for d, s in enumerate(total) if s > 0))[:top]
+        assert lexical_search.best_documents(lists, n, top) == [(d, -s) for s, d in expected]
+
+
+def nearest(rows, top, queries):
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for k, (q, a) in enumerate(whole):
+        if q is None or not queries(q):
+            continue
+        scores = [(-sum(x * y for x, y in zip(a, b)), i is None, i or 0, i) for j, (i, b) in enumerate(whole) if j != k]
+        out += [(q, rank, s[3], -s[0]) for rank, s in enumerate(sorted(scores, key=lambda s: s[:3])[:top], 1)]
+    return out
+
+
+def vectors_of(n, width, scale):
+    return [(i, [float(np.float32(_random.gauss(0, scale))) for _ in range(width)]) for i in range(n)]
+
+
+ROWS = vectors_of(400, 8, 1.0) + [(1000 + i, [0.5] * 8) for i in range(300)] + [
+    (2000, None), (2050, [None] + [1.0] * 7), (2100, [float("nan")] + [1.0] * 7), (2150, [float("inf")] * 8), (2200, []), (2250, [0.0] * 8),
+    (2300, [3.0] * 12), (None, [9.0] * 8), (50, [1.0] * 8), (50, [1.0] * 8), (2350, [float(2**40)] * 2), (2400, [-1.0, 2.0]),
+]
+
+
+@pytest.mark.parametrize("limits", [{}, {"shard_numbers": 500, "block_numbers": 60}])
+def test_vector_search(spark, limits):
+    table = spark.createDataFrame([(i, v, 3, "clash") for i, v in ROWS], "vec_id long, embedding array<double>, rank int, vector string").repartition(5)
+    actual = [tuple(row) for row in vector_search.top_k(table, F.col("vec_id") % 50 == 0, **limits).collect()]
+    assert sorted(actual, key=repr) == sorted(nearest(ROWS, 5, lambda i: i % 50 == 0), key=repr)
+
+
+def test_vector_search_of_few_rows(spark):
+    schema = "vec_id long, embedding array<float>"
+    one = spark.createDataFrame([(0, [1.0, 2.0])], schema)
+    assert vector_search.top_k(one, F.col("vec_id") == 0).count() == 0
+    assert vector_search.top_k(one.where("vec_id > 0"), F.col("vec_id") == 0).count() == 0
+    two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0])], schema)
+    assert [tuple(r) for r in vector_search.top_k(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 3 * 256 * 256)]
+
+
+def test_products_beyond_doubles_are_exact():
+    a = np.array([[2.0**52, 3.0, 1.0]])
+    assert vector_search.products(a, a)[0, 0] == 2**104 + 10
+
+
+def test_tree_covers_every_vector_once_within_its_radius():
+    vectors = np.random.default_rng(1).integers(-300, 300, (1000, 6)).astype(float)
+    order, nodes = vector_search.build_tree(vectors)
+    assert sorted(order) == list(range(1000))
+    leaves = [(int(n[0]), int(n[1])) for n in nodes if not n[2]]
+    assert sorted(p for a, b in leaves for p in range(a, b)) == list(range(1000)) and max(b - a for a, b in leaves) <= 64
+    for n in nodes:
+        away = vectors[order[int(n[0]):int(n[1])]] - n[5:]
+        assert np.sqrt((away**2).sum(axis=1)).max() <= n[4] + 1e-9

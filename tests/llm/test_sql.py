@@ -5,7 +5,7 @@ import pytest
 
 from portage.llm.queries import ORACLE_SQL, QUERIES
 
-TABLES = ("documents", "benchmark", "pages", "conversations")
+TABLES = ("documents", "benchmark", "pages", "conversations", "embeddings")
 
 
 def rows(table, columns):
