@@ -161,10 +161,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Documents with their runs as the last column; matched by attributes, so names cannot clash."""
+    """Documents with their runs as the last column; matched by attributes, so names cannot clash.
+
+    Sorted on both sides at every size: runs that are few enough to broadcast at one size are not at another.
+    """
     doc_key, text_key = _keys(docs["doc_id"], docs["text"])
     same = (doc_key == runs["doc_key"]) & (text_key == runs["text_key"])
-    return docs.join(runs, same, "left").select(*(docs[name] for name in docs.columns), runs["runs"].alias("_runs_of_text"))
+    return docs.join(runs.hint("merge"), same, "left").select(*(docs[name] for name in docs.columns), runs["runs"].alias("_runs_of_text"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
