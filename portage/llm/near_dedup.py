@@ -14,6 +14,7 @@ a pair that meets in several is emitted in the first of them only.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -38,21 +39,32 @@ PERCENT = 75
 #: With many more bits the join's condition no longer fits a method that the JVM compiles (8000 bytes).
 SKETCH_BITS = 1536
 LEADER_ROUNDS = 2
+_SETS = "node long, signature array<int>, sketch array<long>, shingles array<long>, second_halves array<long>"
+#: Bytes of text that a task hashes at once, or one longer text.
+CHUNK_BYTES = 1 << 20
 _NO_ID = 2**63 - 1  # stands for a null doc_id
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's shingles; a text of fewer words is one shingle, one of none has none."""
+    """Sorted distinct shingles of each text as 128-bit values, in two rows of 64 bits.
+
+    They are made of strong digests of the words. A text of fewer words is one shingle, one of none has none.
+    """
     w = W.Words(texts, W.LOWER)
-    hashes = w.hashes()
-    windows = W.window_hashes(hashes, size)
-    whole = W.range_hashes(hashes, w.first[:-1], w.first[1:], W._WORD_BASE)
+    lanes, bases = w.digests(), (W._WORD_BASE, W._SECOND_BASE)
+    windows = np.stack([W.window_hashes(lane, size, base) for lane, base in zip(lanes, bases)])
     out = []
-    for t, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         if b - a >= size:
-            out.append(np.unique(windows[a:b - size + 1]))
+            own = windows[:, a:b - size + 1]
+            own = own[:, np.lexsort(own[::-1])]
+            new = np.ones(own.shape[1], bool)
+            new[1:] = (own[:, 1:] != own[:, :-1]).any(axis=0)
+            out.append(own[:, new])
+        elif b > a:
+            out.append(np.stack([W.window_hashes(lane[a:b], b - a, base) for lane, base in zip(lanes, bases)]))
         else:
-            out.append(whole[t:t + 1] if b > a else whole[:0])
+            out.append(windows[:, :0])
     return out
 
 
@@ -73,17 +85,17 @@ def signature_of(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray])
 
 
 def sign(batches: Iterator[pa.RecordBatch], size: int, coordinates: int) -> Iterator[pa.RecordBatch]:
+    """Each document's signature and number of shingles, and a 128-bit digest of its whole set."""
     functions = _coordinate_functions(coordinates)
-    for part, texts in W.chunks(batches):
+    for part, texts in W.chunks(batches, limit=CHUNK_BYTES):
         sets = shingle_sets(texts, size)
-        one = [int(np.bitwise_xor.reduce(W.mix(s))) if len(s) else 0 for s in sets]
-        two = [int(np.sum(W.mix(s + np.uint64(W._WORD_BASE)), dtype=np.uint64)) if len(s) else 0 for s in sets]
-        signatures = np.concatenate([signature_of(s, functions) for s in sets])
+        digests = b"".join(hashlib.blake2b(np.ascontiguousarray(s).tobytes(), digest_size=16).digest() for s in sets)
+        halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+        signatures = np.concatenate([signature_of(s[0], functions) for s in sets])
         offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * coordinates)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("doc_key"), pa.array([len(s) for s in sets], pa.int64()),
-             pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)),
-             pa.ListArray.from_arrays(offsets, pa.array(signatures))],
+            [part.column("doc_id"), part.column("doc_key"), pa.array([s.shape[1] for s in sets], pa.int64()),
+             pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.ListArray.from_arrays(offsets, pa.array(signatures))],
             names=["doc_id", "doc_key", "n_shingles", "set_a", "set_b", "signature"],
         )
 
@@ -103,13 +115,13 @@ def sketch_of(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) ->
 def full_sets(batches: Iterator[pa.RecordBatch], size: int, coordinates: int) -> Iterator[pa.RecordBatch]:
     functions = _coordinate_functions(coordinates)
     more = tuple(f[coordinates:] for f in _coordinate_functions(coordinates + SKETCH_BITS))
-    for part, texts in W.chunks(batches):
+    for part, texts in W.chunks(batches, limit=CHUNK_BYTES):
         sets = shingle_sets(texts, size)
         yield pa.RecordBatch.from_arrays(
-            [part.column("node"), pa.array([signature_of(s, functions) for s in sets], pa.list_(pa.int32())),
-             pa.array([sketch_of(s, more) for s in sets], pa.list_(pa.int64())),
-             pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-            names=["node", "signature", "sketch", "shingles"],
+            [part.column("node"), pa.array([signature_of(s[0], functions) for s in sets], pa.list_(pa.int32())),
+             pa.array([sketch_of(s[0], more) for s in sets], pa.list_(pa.int64())),
+             *(pa.array([s[half].view(np.int64) for s in sets], pa.list_(pa.int64())) for half in (0, 1))],
+            names=["node", "signature", "sketch", "shingles", "second_halves"],
         )
 
 
@@ -118,11 +130,14 @@ def _agreeing(a: Column, b: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that agree in ``matches`` coordinates and whose whole sets are similar enough."""
-    columns = ("signature", "shingles")
+    """The pairs ``a, b`` that agree in ``matches`` coordinates and whose whole sets are similar enough.
+
+    Shingles count as common if both halves say so, so two that differ would have to agree in 128 bits.
+    """
+    columns = ("signature", "shingles", "second_halves")
     side_a, side_b = (sets.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
     enough = _agreeing(F.col("signature_a"), F.col("signature_b")) >= matches
-    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    both = F.least(*(F.size(F.array_intersect(f"{half}_a", f"{half}_b")) for half in ("shingles", "second_halves")))
     either = F.size("shingles_a") + F.size("shingles_b") - both
     return pairs.join(side_a, "a").join(side_b, "b").where(enough & (both * 100 >= either * percent)).select("a", "b")
 
@@ -211,10 +226,9 @@ def near_duplicates(
     wanted = postings.select("node").distinct()
     texts = keyed.select(F.col("doc_key").alias("node"), "text").join(wanted, "node", "left_semi")
     sets = scratch.stored(texts.mapInArrow(
-        lambda batches: full_sets(batches, size, coordinates), "node long, signature array<int>, sketch array<long>, shingles array<long>"
+        lambda batches: full_sets(batches, size, coordinates), _SETS
     ), "sets")
 
-
     edges = _no_edges(docs)
     comps = scratch.stored(edges.selectExpr("u AS node", "v AS component"), "components")
     for round_number in range(LEADER_ROUNDS + 1):

@@ -6,6 +6,7 @@ text), so memory is bounded by the chunk and the longest text, not by the partit
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -17,8 +18,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CHUNK_BYTES = 4 << 20
-_MASK = (1 << 64) - 1
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_WORD_BASE, _SECOND_BASE = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
 # Values of the 64-bit finaliser of MurmurHash3 (fixed values).
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
@@ -33,21 +33,6 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of ``values[start:end]`` for each range, from one prefix sum of a polynomial modulo 2^64."""
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=prefix[1:])
-    inverse = powers(pow(base, -1, 1 << 64), len(values) + 1)
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts])
-
-
 class Words:
     """The words of a list of texts: byte ranges ``starts``/``ends`` in ``raw``; text t has words first[t]:first[t+1].
 
@@ -58,6 +43,7 @@ class Words:
         self.raw = (b"\n".join([text or b"" for text in texts]) + b"\n").translate(translation)
         data = np.frombuffer(self.raw, np.uint8)
         blank = (data == 32) | ((data >= 9) & (data <= 13))
+        self._solid = ~blank
         edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).view(np.int8)))
         self.starts, self.ends = edge[0::2], edge[1::2]
         sizes = np.fromiter((len(text or b"") + 1 for text in texts), np.int64, len(texts))
@@ -68,9 +54,18 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
+    def digests(self) -> np.ndarray:
+        """Two rows of 64 bits, halves of a 128-bit BLAKE2 digest of each word's bytes; each distinct word is hashed once."""
+        offsets = np.concatenate(([0], np.cumsum(self.ends - self.starts))).astype(np.int32)
+        letters = pa.py_buffer(self._data[self._solid])
+        coded = pa.Array.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(offsets), letters]).dictionary_encode()
+        distinct = b"".join(hashlib.blake2b(word, digest_size=16).digest() for word in coded.dictionary.to_pylist())
+        halves = np.frombuffer(distinct, np.uint64).reshape(-1, 2)
+        return np.ascontiguousarray(halves.T[:, coded.indices.to_numpy()])
+
     def hashes(self) -> np.ndarray:
-        table = mix(np.arange(1, 257, dtype=np.uint64))
-        return range_hashes(table[self._data], self.starts, self.ends, _BYTE_BASE)
+        """The first halves. Sums of them over windows of some tens of words differ as random numbers do."""
+        return self.digests()[0]
 
     def words(self, start: int, end: int) -> list[bytes]:
         return self.raw[self.starts[start]:self.ends[end - 1]].split()
@@ -83,10 +78,13 @@ LOWER = bytes(_lower)
 LOWER_ALNUM = bytes(c if c > 127 or bytes([c]).isalnum() else 32 for c in _lower)
 
 
-def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(hashes: np.ndarray, size: int, base: int = _WORD_BASE) -> np.ndarray:
     """Hash of each ``size`` consecutive words, also across texts; empty with fewer words."""
-    at = np.arange(max(0, len(hashes) - size + 1))
-    return range_hashes(hashes, at, at + size, _WORD_BASE)
+    n = max(0, len(hashes) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out += hashes[i:i + n] * np.uint64(pow(base, i, 1 << 64))
+    return mix(out)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
