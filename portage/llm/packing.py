@@ -9,6 +9,7 @@ one level array; at most ``capacity`` levels of a group stay open.
 from __future__ import annotations
 
 import base64
+import json
 import sys
 import zlib
 from collections.abc import Iterator
@@ -34,26 +35,31 @@ GROUP_DOCUMENTS = 50_000
 class WordTokenizer:
     """Ids of texts by byte-level BPE, each distinct word of a chunk encoded once.
 
-    The vocabulary file lists the merged byte strings in the order of their ids; the ids are those of the ``tokenizers``
-    file with the same vocabulary. Where all blanks are single spaces and line ends between words, the pattern never
-    joins characters across them, so a word with the blank before it is encoded on its own. Other texts are encoded whole.
+    The vocabulary file lists the merged byte strings in the order of their ids; ``added`` are whole strings with ids of
+    their own, at which texts are split first. So the ids are those of the ``tokenizers`` file with the same vocabulary.
+    Where all blanks are single spaces and line ends between words, the pattern never joins characters across them, so a
+    word with the blank before it is encoded on its own. Other texts, and those with an added string, are encoded whole.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int]):
         import tiktoken
 
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
-        self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        self._added, self._encode = set(added), encoding.encode_ordinary
+        self._encode_whole = lambda text: encoding.encode(text, allowed_special=self._added)
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit numbers; a null text has none."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         plain = _plain(texts)
+        for added in self._added:
+            plain = pc.and_not(plain, pc.match_substring(texts, added))
         words = pc.split_pattern(pc.replace_substring(texts.filter(plain), "\n", " \n"), pattern=" ")
         encoded = iter(self._word_ids(words))
         return [
-            next(encoded) if p else np.array(self._encode(text), np.uint32)
+            next(encoded) if p else np.array(self._encode_whole(text), np.uint32)
             for p, text in zip(plain.to_pylist(), texts.to_pylist())
         ]
 
@@ -80,6 +86,15 @@ class WordTokenizer:
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """Strings that a ``tokenizers`` file matches before its pattern, with their ids."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(token[option] for token in tokens for option in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{tokenizer_path} has added tokens that match by more than their text")
+    return {token["content"]: token["id"] for token in tokens}
+
+
 def _plain(texts: pa.Array) -> pa.Array:
     """Texts whose only blanks are single spaces and line ends between other characters; empty ones are not."""
     other = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -88,10 +103,10 @@ def _plain(texts: pa.Array) -> pa.Array:
 
 
 def cut_pieces(
-    batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, capacity: int, end_id: int, with_ids: bool
+    batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, added: dict[str, int], capacity: int, end_id: int, with_ids: bool
 ) -> Iterator[pa.RecordBatch]:
     """Pieces of each document: its ids and ``end_id``, cut at every ``capacity`` ids."""
-    tokenizer = WordTokenizer(ranks_path, pattern)
+    tokenizer = WordTokenizer(ranks_path, pattern, added)
     for part, _ in W.chunks(batches):
         rows = []
         for doc, text_key, ids in zip(part.column("doc_id").to_pylist(), part.column("text_key").to_pylist(),
@@ -146,18 +161,18 @@ def pack_group(pieces: pa.Table, capacity: int) -> pa.Table:
 
 def pack_documents(
     docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID,
-    group_documents: int = GROUP_DOCUMENTS, with_ids: bool = False,
+    group_documents: int = GROUP_DOCUMENTS, with_ids: bool = False, added: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, ids (if asked for), sequence_id and offset.
 
     Each id of each document lies in one piece, and a sequence holds at most ``capacity`` ids; what is missing is
-    padding. A null or empty text is the end id alone. Null doc_ids and repeated rows are packed like any other. The
+    padding. ``added`` gives strings that are one token each, wherever they stand in a text. A null or empty text is the end id alone. Null doc_ids and repeated rows are packed like any other. The
     vocabulary file must exist at ``ranks_path`` on the executors. Other columns are not read.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, text_key long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     pieces = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        lambda batches: cut_pieces(batches, ranks_path, pattern, capacity, end_id, with_ids), schema
+        lambda batches: cut_pieces(batches, ranks_path, pattern, added or {}, capacity, end_id, with_ids), schema
     )
     pieces = stored(pieces, "pieces")
     groups = -(-pieces.where("start = 0").count() // group_documents) or 1

@@ -44,9 +44,12 @@ def op6_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"))
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """Packed with the vocabulary of ``byte_bpe_50k.json``, read as ranks."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+def pack(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Packed with the vocabulary of ``byte_bpe_50k.json``, read as ranks, and its added tokens."""
+    return packing.pack_documents(
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=with_ids,
+        added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")),
+    )
 
 
 def op7_warc(spark, sf_dir):
@@ -68,7 +71,7 @@ def op9_line_dedup(spark, sf_dir):
 
 
 def op10_quality_rules(spark, sf_dir):
-    judged = quality_rules.judge_by_contrast(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    judged = quality_rules.judge_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.drop("text_key")
 
 
