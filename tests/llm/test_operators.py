@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from portage.llm import (
@@ -188,10 +189,17 @@ def test_weights_set_the_shares(spark):
     assert abs(counts[1] / 20000 - 0.75) < 0.02
 
 
+def test_texts_that_differ_in_every_letter_are_not_linked(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one + " " + two), (4, two + " " + one)], "doc_id long, text string")
+    assert {row.doc_id: row.component_id for row in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
 def test_packing(docs, empty):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = packing.pack_documents(docs, path, pattern, with_ids=True).collect()
+    rows = packing.pack_documents(docs, path, pattern, with_ids=True, added=ADDED).collect()
     expected = sorted(tuple([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]) for _, text in DOCS)
     pieces, sequences = {}, {}
     for row in rows:
@@ -212,6 +220,18 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path, pattern).count() == 0
 
 
+ADDED = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_of_texts_with_added_tokens():
+    assert ADDED == {"<|endoftext|>": 50256}
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z", "<|endoftext|", "no such token", "  <|endoftext|>\n"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ADDED)
+    ids = own.ids(packing.pa.array(texts))
+    assert [i.tolist() for i in ids] == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+
+
 def test_sum_of_squares_rule():
     rng = random.Random(3)
     lengths = [rng.randint(1, 20) for _ in range(400)]
@@ -299,72 +319,56 @@ def _xx(*values):
     return seed - 2**64 if seed >= 2**63 else seed
 
 
-def test_quality_rules(spark, docs, empty):
-    labels = spark.createDataFrame([(6, 1, 0), (8, 1, 0), (9, 1, None), (15, 0, 0), (18, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    raw, good, grams = {}, {}, []
-    for i, text in DOCS:
+def _ratios(docs, trusted, labelled):
+    """Mean log ratio of each text, by plain Python: trusted against labelled documents, both mixed with all of them."""
+    grams, counts = [], {"every": {}, "raw": {}, "target": {}}
+    for i, text in docs:
         w = words(text)
-        own = [_xx(a) % quality_rules.BUCKETS for a in w] + [_xx(a, b) % quality_rules.BUCKETS for a, b in zip(w, w[1:])]
-        grams.append(own)
-        for gram in own:
-            raw[gram] = raw.get(gram, 0) + 1
-            good[gram] = good.get(gram, 0) + (i in (6, 8, 9))
-    n_raw, n_good, spread = sum(raw.values()), sum(good.values()), quality_rules.BUCKETS
+        grams.append([_xx(a) % quality_rules.BUCKETS for a in w] + [_xx(a, b) % quality_rules.BUCKETS for a, b in zip(w, w[1:])])
+        for name, counted in (("every", True), ("raw", i in labelled), ("target", i in trusted)):
+            for gram in grams[-1] if counted else ():
+                counts[name][gram] = counts[name].get(gram, 0) + 1
+
+    def share(name, gram):
+        own = counts[name].get(gram, 0) / sum(counts[name].values())
+        return 0.8 * own + 0.2 * counts["every"][gram] / sum(counts["every"].values())
+
+    if not counts["target"]:
+        return [0.0 if own else None for own in grams]
+    ratio = {gram: np.log(share("target", gram) / share("raw", gram)) for gram in counts["every"]}
+    return [np.mean([ratio[g] for g in own]) if own else None for own in grams]
+
+
+def test_quality_rules(spark, docs, empty):
+    rows = [(6, 1, 0), (8, 1, 0), (9, 1, None), (11, 0, 0), (15, 0, 0), (18, 1, 1), (10, None, 0), (None, 1, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
     expected = []
-    for (i, text), own in zip(DOCS, grams):
+    for (i, text), llr in zip(DOCS, _ratios(DOCS, {6, 8, 9}, {6, 8, 9, 11, 15, 18})):
         w, lines, covered = words(text), [line for line in (text or "").split("\n") if line.encode().split()], set()
         windows = [tuple(w[s:s + 5]) for s in range(len(w) - 4)]
         for s, window in enumerate(windows):
             if windows.count(window) > 1:
                 covered |= set(range(s, s + 5))
         failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
-        llr = np.mean([np.log((good[g] + 1) / (n_good + spread) / ((raw[g] + 1) / (n_raw + spread))) for g in own]) if own else 0
+        kept = bool(not failed and (llr or 0) >= quality_rules.THRESHOLD)
         expected.append((i, len(w), len(b"".join(w).decode()), len(re.findall(r"[#*$%&|<>]", text or "")),
-                         len(lines) - len(set(lines)), len(covered), failed, bool(not failed and llr >= quality_rules.THRESHOLD)))
-    result = quality_rules.judge_documents(docs, labels)
-    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+                         len(lines) - len(set(lines)), len(covered), failed, kept, None if llr is None else round(float(llr), 9)))
+    result = quality_rules.judge_documents(docs, labels).withColumn("llr", F.round("llr", 9))
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
     assert collected(result, *names) == sorted(expected, key=repr)
+    assert {6, 8, 9} <= {row.doc_id for row in result.where("kept").collect()}
     assert quality_rules.judge_documents(empty, labels).count() == 0
-    assert quality_rules.judge_documents(docs, labels.limit(0)).count() == len(DOCS)
+    unlabelled = quality_rules.judge_documents(docs, labels.limit(0)).collect()
+    assert len(unlabelled) == len(DOCS) and {row.llr for row in unlabelled} == {None, 0.0}
     assert quality_rules.keep_good_documents(docs, labels).columns == docs.columns
 
 
-def _contrasts(docs, good_ids, bad_ids):
-    """Mean log ratio of each text, by plain Python."""
-    raw, good, bad, grams = {}, {}, {}, []
-    for i, text in docs:
-        w = words(text)
-        grams.append([_xx(a) % quality_rules.BUCKETS for a in w] + [_xx(a, b) % quality_rules.BUCKETS for a, b in zip(w, w[1:])])
-        for gram in grams[-1]:
-            raw[gram] = raw.get(gram, 0) + 1
-            good[gram] = good.get(gram, 0) + (i in good_ids)
-            bad[gram] = bad.get(gram, 0) + (i in bad_ids)
-    n_raw, n_good, n_bad = sum(raw.values()), sum(good.values()), sum(bad.values())
-
-    def share(counts, n, gram):
-        return (counts[gram] + (n + 1) * raw[gram] / n_raw) / (2 * n + 1)
-
-    return [np.mean([np.log(share(good, n_good, g) / share(bad, n_bad, g)) for g in own]) if own else None for own in grams]
-
-
-def test_contrast_of_labelled_documents(spark, docs, empty):
-    labels = spark.createDataFrame([(6, 1, 0), (8, 1, 0), (9, 1, None), (11, 0, 0), (15, 0, 0), (18, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    expected = [(i, None if llr is None else round(float(llr), 9)) for (i, _), llr in zip(DOCS, _contrasts(DOCS, {6, 8, 9}, {11, 15}))]
-    result = quality_rules.judge_by_contrast(docs, labels)
-    found = [(row.doc_id, None if row.llr is None else round(row.llr, 9)) for row in result.collect()]
-    assert sorted(found, key=repr) == sorted(expected, key=repr)
-    kept = {row.doc_id for row in result.where("kept").collect()}
-    assert {6, 8, 9} <= kept and not kept & {11, 15}
-    assert quality_rules.judge_by_contrast(empty, labels).count() == 0
-    assert {row.llr for row in quality_rules.judge_by_contrast(docs, labels.limit(0)).collect()} == {None, 0.0}
-
-
 def test_all_labelled_documents_are_counted(spark):
     n = 20_001
     rows = spark.range(n).selectExpr("id AS doc_id", "'one two' AS text")
-    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
-    counts = quality_rules.bucket_counts(rows, labels).collect()
-    assert sorted((row.raw, row.good, row.bad) for row in counts) == [(n, n, 0)] * 3
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic")
+    counts = quality_rules.bucket_counts(quality_rules.with_counts(rows), labels).collect()
+    assert sorted((row.every, row.raw, row.target) for row in counts) == [(n, n, n // 2)] * 3
 
 
 def test_a_language_with_few_labels_is_kept(spark):
