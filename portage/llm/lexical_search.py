@@ -1,6 +1,6 @@
 """Ranked lexical search over an impact-sorted index, with no random access to it (NRA).
 
-The index is a table of segments, each with the postings of some tens of MB of whole texts. A term's postings are sorted
+The index is a table of segments, each with the postings of some MB of whole texts. A term's postings are sorted
 by what one occurrence in the query would add to a document's score, largest first. A search reads the lists of its terms
 from the front, in blocks. What has been read of a document is the lower end of its score interval; the upper end adds,
 for each list in which it has not been met, the value at which reading stands. Documents whose upper end lies below the
@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TOP = 10
 #: Text of a segment, and items whose terms take so many bytes are searched in one pass over the index.
-SEGMENT_BYTES = 32 << 20
+SEGMENT_BYTES = 12 << 20
 BLOCK_BYTES = 2 << 20
 #: Postings of a list that the first round reads; later rounds read four times as many as the one before.
 FIRST_READ = 256

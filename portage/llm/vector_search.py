@@ -153,12 +153,16 @@ class Shard:
             room = 1e-9 * (np.outer(norms, np.sqrt(np.square(centres).sum(axis=1))) + reach) + 1e-6
             bounds = queries[:, :n] @ centres[:, :n].T + reach + room
         self.bounds = np.where(np.isnan(bounds), np.inf, bounds)
+        largest = np.abs(queries).max(initial=0) * np.abs(self.vectors).max(initial=0)
+        self.exact = width == queries.shape[1] and largest * max(width, 1) < _EXACT
 
-    def scores(self, query: np.ndarray, own_key: int, node: int) -> list[tuple[int, int]]:
-        """(score, place) of the vectors under a node, without the query's own row."""
+    def scores(self, query: np.ndarray, own_key: int, node: int, least: float) -> tuple[list[int], list[int]]:
+        """Scores of at least ``least`` under a node and their places, without the query's own row."""
         first, end = self.spans[node][:2]
-        values = products(query[None], self.vectors[first:end])[0].tolist()
-        return [(value, first + i) for i, value in enumerate(values) if self.keys[first + i] != own_key]
+        own = self.vectors[first:end]
+        values = (own @ query).astype(np.int64) if self.exact else products(query[None], own)[0]
+        found = np.flatnonzero((values >= least) & (self.keys[first:end] != own_key))
+        return values[found].tolist(), (found + first).tolist()
 
     def best_leaf(self, q: int) -> int:
         """The leaf that falling bounds lead to."""
@@ -178,11 +182,10 @@ class Shard:
                 for child in (left, right):
                     heapq.heappush(waiting, (-self.bounds[q, child], child))
                 continue
-            for score, place in self.scores(query, own_key, node):
-                if score >= least:
-                    heapq.heappush(best, (score, -self.rank[place], place))
-                    if len(best) > top:
-                        heapq.heappop(best)
+            for score, place in zip(*self.scores(query, own_key, node, least)):
+                heapq.heappush(best, (score, -self.rank[place], place))
+                if len(best) > top:
+                    heapq.heappop(best)
             if len(best) == top:
                 least = max(least, best[0][0])
         return [(score, place) for score, _, place in sorted(best, reverse=True)]
@@ -200,7 +203,7 @@ def first_scores(batches: Iterator[pa.RecordBatch], queries: np.ndarray, keys: l
         for i in range(batch.num_rows):
             shard = Shard({name: batch.column(name)[i] for name in batch.schema.names}, queries)
             for q, key in enumerate(keys):
-                scores = sorted((s for s, _ in shard.scores(queries[q], key, shard.best_leaf(q))), reverse=True)
+                scores = sorted(shard.scores(queries[q], key, shard.best_leaf(q), -np.inf)[0], reverse=True)
                 if len(scores) >= top:
                     best[q] = max(best.get(q, scores[top - 1]), scores[top - 1])
     yield pa.RecordBatch.from_arrays(
