@@ -10,12 +10,12 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portage import storage
 from portage.operators import arrow_tasks
-from portage.session import shared_dir
+from portage.session import shared_dir, stored
 
 cloudpickle.register_pickle_by_value(arrow_tasks)
 
@@ -25,6 +25,9 @@ _COPIED = "target string, length bigint"
 _MOST_BYTES, _LEAST_BYTES = 256 * 1024 * 1024, 16 * 1024 * 1024
 _MOST_OBJECTS, _LEAST_OBJECTS = 1000, 50
 _LEAST_DIRECTORIES = 16
+# What a file counts for beyond its bytes, so that a task has few enough, and files whose sizes are summed together.
+_OBJECT_BYTES = _MOST_BYTES // (2 * _MOST_OBJECTS)
+_FILES_PER_RANGE = 100_000
 
 
 @dataclass(frozen=True)
@@ -36,7 +39,8 @@ class Copied:
 def list_tree(spark: SparkSession, root: str, options: dict | None = None, parallelism: int | None = None) -> DataFrame:
     """Every file below a directory: path, path relative to the root, length. Hidden files count, directories do not.
 
-    One job lists all directories of one depth; each level is kept as a table, so a lost executor repeats little.
+    One job lists all directories of one depth; each level is kept as a table, so a lost executor repeats little. Where a
+    level has fewer directories than there are tasks, each is split by its names over several.
     """
     options = options or {}
     tasks = parallelism or spark.sparkContext.defaultParallelism
@@ -49,8 +53,10 @@ def list_tree(spark: SparkSession, root: str, options: dict | None = None, paral
     directories = 1
     while directories:
         levels.append(f"{base}/level-{len(levels)}")
-        spread = frontier.repartition(min(tasks, math.ceil(directories / _LEAST_DIRECTORIES)), "path")
-        spread.mapInArrow(lambda batches: list_children(batches, options), _LISTING).write.parquet(levels[-1])
+        parts = max(1, tasks // directories)
+        split = frontier.select("path", "relative", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(parts).alias("parts"))
+        split = split.repartition(tasks if parts > 1 else min(tasks, math.ceil(directories / _LEAST_DIRECTORIES)), "path", "part")
+        split.mapInArrow(lambda batches: list_children(batches, options), _LISTING).write.parquet(levels[-1])
         level = spark.read.schema(_LISTING).parquet(levels[-1])
         frontier = level.where("is_directory").select("path", F.concat("relative", F.lit("/")).alias("relative"))
         directories = frontier.count()
@@ -70,12 +76,52 @@ def copy_tasks(objects: int, size: int, cores: int) -> int:
     return max(min(objects, max(needed, min(cores, useful))), 1)
 
 
+def task_bytes(objects: int, size: int, cores: int) -> int:
+    """Weight at which the files of a task are cut off: an even share of the tasks, half of the most at most."""
+    weight = size + objects * _OBJECT_BYTES
+    return max(min(weight // copy_tasks(objects, size, cores), _MOST_BYTES // 2), 1)
+
+
+def balanced_tasks(plan: DataFrame, bytes_per_task: int, files_per_range: int = _FILES_PER_RANGE) -> tuple[DataFrame, int]:
+    """The plan with the number of a task for each file, and the number of tasks.
+
+    Files go by falling length, and a task takes those whose running total, before them, lies in one stretch of
+    ``bytes_per_task``. So a file of that size or more is alone, and no other task has twice as much. Each file counts for
+    a little more than its bytes, which bounds the number of files as well. Totals are summed in ranges of files first;
+    the driver sees one row per range.
+    """
+    spark = plan.sparkSession
+    weight = (F.col("length") + F.lit(_OBJECT_BYTES)).alias("weight")
+    ranges = max(1, -(-plan.count() // files_per_range))
+    ordered = plan.select("*", weight).repartitionByRange(ranges, F.desc("weight"), "source").withColumn("part", F.spark_partition_id())
+    within = Window.partitionBy("part").orderBy(F.desc("weight"), "source")
+    running = F.sum("weight").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    placed = stored(ordered.withColumn("before", F.coalesce(running, F.lit(0).cast("long"))), "placed")
+    heads, base = [], 0
+    for row in placed.groupBy("part").agg(F.sum("weight").alias("weight")).orderBy("part").collect():
+        heads.append((row["part"], base))
+        base += row["weight"]
+    offsets = F.broadcast(spark.createDataFrame(heads, "part int, head long"))
+    stretch = F.floor((F.col("head") + F.col("before")) / F.lit(bytes_per_task))
+    cut = placed.join(offsets, "part").withColumn("stretch", stretch)
+    numbered, tasks, last = [], 0, None
+    for row in cut.groupBy("part").agg(
+        F.min("stretch").alias("lo"), F.max("stretch").alias("hi"), F.count_distinct("stretch").alias("n")
+    ).orderBy("part").collect():
+        first = tasks - (row["lo"] == last)  # the stretch in which the range before ended goes on
+        numbered.append((row["part"], first))
+        tasks, last = first + row["n"], row["hi"]
+    firsts = F.broadcast(spark.createDataFrame(numbered, "part int, first int"))
+    rank = F.dense_rank().over(Window.partitionBy("part").orderBy("stretch"))
+    return cut.join(firsts, "part").select(*plan.columns, (F.col("first") + rank - 1).alias("task")), tasks
+
+
 def copy_objects(
     plan: DataFrame, target_root: str, source_options: dict | None = None, target_options: dict | None = None
 ) -> Copied:
     """Run a copy plan and count its objects and bytes.
 
-    Tasks get equally many files, few enough to be short. A task that runs again writes the same bytes again, and a
+    Tasks get about equally many bytes, few enough to be short. A task that runs again writes the same bytes again, and a
     file shows under its name only when it is whole. What a lost executor leaves unfinished lies in a scratch folder
     below the target, which goes at the end.
     """
@@ -84,8 +130,11 @@ def copy_objects(
     scratch = storage.join(storage.qualify(spark, target_root), f"_copying_{uuid.uuid4().hex}")
     copy_files = arrow_tasks.copy_files
     totals = plan.agg(F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
-    tasks = copy_tasks(totals["objects"], totals["bytes"], spark.sparkContext.defaultParallelism)
-    spread = plan.repartition(tasks)
+    if not totals["objects"]:
+        return Copied(0, 0)
+    share = task_bytes(totals["objects"], totals["bytes"], spark.sparkContext.defaultParallelism)
+    numbered, tasks = balanced_tasks(plan, share)
+    spread = numbered.repartitionById(tasks, F.col("task")).drop("task")
     copied = spread.mapInArrow(lambda batches: copy_files(batches, scratch, source_options, target_options), _COPIED)
     try:
         return Copied(*copied.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from portage import storage
 
@@ -27,3 +27,10 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             _local_root = tempfile.mkdtemp(prefix="portage-")
         root = f"file:{_local_root}"
     return storage.qualify(spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows of ``df``, written to a new shared folder and read from there, so that what follows sees them as they are."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

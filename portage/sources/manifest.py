@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from portage import storage
 from portage.functions import naming
+from portage.sources import listing
 
 _EMPTY = "path string, modificationTime timestamp, length bigint"
 
@@ -43,13 +44,6 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def stamped_glob(template: str) -> str:
-    """Glob for a template, so that the listing itself leaves out other names."""
-    token = naming.token_of(template)
-    before, after = template.split(token, 1)
-    return storage.glob_escape(before) + "[0-9]" * len(token) + storage.glob_escape(after)
-
-
 def stamped(manifest: DataFrame, template: str) -> DataFrame:
     """Entries whose name fits the template with a stamp that is a date."""
     return manifest.where(naming.is_stamped(F.col("name"), template))
@@ -60,16 +54,25 @@ def latest_name(manifest: DataFrame, template: str) -> DataFrame:
     return stamped(manifest, template).agg(F.max("name").alias("name"))
 
 
-def find_latest(spark: SparkSession, path: str) -> str | None:
+def child_names(spark: SparkSession, directory: str, prefix: str = "", filesystem: dict | None = None) -> DataFrame:
+    """name of each direct child whose name has the prefix; no folder of parts is entered.
+
+    Executors list the directory. Where Arrow cannot open its scheme, Spark's own file index does, on the driver's JVM.
+    """
+    if storage.scheme(storage.qualify(spark, directory)) in listing.SCHEMES:
+        return listing.list_names(spark, directory, prefix, filesystem).select("name")
+    return list_files(spark, directory).select("name").where(F.col("name").startswith(prefix))
+
+
+def find_latest(spark: SparkSession, path: str, filesystem: dict | None = None) -> str | None:
     """Newest file for a path whose last part holds a stamp token.
 
-    Only names that look like it are listed, and folders of parts are not entered.
+    Names stay rows on the executors: each task keeps the newest of its part of the directory, and the newest of these is
+    the only name that reaches the driver.
     """
     template = storage.last_part(path)
-    directory = storage.glob_escape(storage.qualify(spark, storage.parent(path)))
-    names = storage.glob_names(spark, storage.join(directory, stamped_glob(template)))
-    manifest = spark.createDataFrame([(name,) for name in names], "name string")
-    return latest_name(manifest, template).first()["name"]
+    before = template.split(naming.token_of(template), 1)[0]
+    return latest_name(child_names(spark, storage.parent(path), before, filesystem), template).first()["name"]
 
 
 def names_by_extension(manifest: DataFrame) -> DataFrame:

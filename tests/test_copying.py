@@ -1,9 +1,11 @@
 import hashlib
 import os
+import random
 import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from portage.operators import arrow_tasks, copying
 
@@ -73,6 +75,42 @@ def test_copy_tasks(objects, size, cores, tasks):
     assert copying.copy_tasks(objects, size, cores) == tasks
 
 
+@pytest.mark.parametrize("files_per_range", [7, 40, 1000])
+@pytest.mark.parametrize("share", [1, 500, 3000, 10**9])
+def test_tasks_are_balanced_by_bytes(spark, share, files_per_range, monkeypatch):
+    monkeypatch.setattr(copying, "_OBJECT_BYTES", 10)
+    draw = random.Random(share + files_per_range)
+    lengths = [draw.choice([0, 1, 400, 499, 500, 2999, 9000, draw.randrange(3000)]) for _ in range(150)]
+    rows = [(f"from/{i}", f"to/{i}", length) for i, length in enumerate(lengths)]
+    numbered, tasks = copying.balanced_tasks(spark.createDataFrame(rows, "source string, target string, length long"), share, files_per_range)
+    found = numbered.collect()
+    assert sorted(row[:3] for row in found) == sorted(rows) and {row.task for row in found} == set(range(tasks))
+    loads = {}
+    for row in found:
+        loads.setdefault(row.task, []).append(row.length + 10)
+    for load in loads.values():
+        assert len(load) == 1 or (max(load) < share and sum(load) < 2 * share)
+
+
+def test_each_task_number_is_one_task(spark, tree, tmp_path, monkeypatch):
+    """Files of very different sizes, copied with a share that makes several tasks."""
+    monkeypatch.setattr(copying, "task_bytes", lambda objects, size, cores: 8)
+    monkeypatch.setattr(copying, "_OBJECT_BYTES", 1)
+    assert copying.copy_tree(spark, str(tree), f"{tmp_path}/to").objects == 6
+    assert digests(tree) == digests(tmp_path / "to")
+
+
+def test_one_wide_directory_is_listed_by_several_tasks(spark, tmp_path):
+    wide = tmp_path / "wide" / "in"
+    wide.mkdir(parents=True)
+    for i in range(50_000):
+        (wide / f"{i}.bin").touch()
+    rows = copying.list_tree(spark, str(tmp_path / "wide"), parallelism=4)
+    assert rows.count() == 50_000 and rows.select("relative").distinct().count() == 50_000
+    shares = [row["count"] for row in rows.groupBy(F.input_file_name()).count().collect()]
+    assert len(shares) >= 3 and max(shares) < 30_000
+
+
 def test_streamed_copy(tree, tmp_path, monkeypatch):
     monkeypatch.setattr(arrow_tasks, "STREAM_BUFFER", 64)
     local = arrow_tasks.open_filesystem(f"file:{tree}", {})[0]
