@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from portage import storage
 from portage.functions import naming
-from portage.operators.counting import RowCount
+from portage.operators.counting import RowCount, footer_rows
 
 PARTS, FILE = "parts", "file"
 
@@ -43,7 +43,10 @@ def write_delimited(
     def write(rows: DataFrame, path: str) -> None:
         rows.write.options(header=header, delimiter=delimiter, **{**LOSSLESS, **options}).mode("overwrite").csv(path)
 
-    return _publish(df, target, write, layout)
+    def recount(path: str) -> int:
+        return df.sparkSession.read.schema(df.schema).options(header=header, delimiter=delimiter, **options).csv(path).count()
+
+    return _publish(df, target, write, layout, recount)
 
 
 def write_raw(
@@ -60,12 +63,18 @@ def write_parquet(df: DataFrame, target: str, layout: str = PARTS) -> Published:
     def write(rows: DataFrame, path: str) -> None:
         rows.write.mode("overwrite").parquet(path)
 
-    return _publish(df, target, write, layout)
+    return _publish(df, target, write, layout, lambda path: footer_rows(df, path), footers=True)
 
 
-def _publish(df: DataFrame, target: str, write: Callable[[DataFrame, str], None], layout: str) -> Published:
+def _publish(
+    df: DataFrame, target: str, write: Callable[[DataFrame, str], None], layout: str, recount: Callable[[str], int],
+    footers: bool = False,
+) -> Published:
     """Write beside the target, then put the result in its place; a failed write leaves the old result.
 
+    Rows are counted by ``recount`` in the result if its files have them in ``footers``, or if the count that was observed
+    while writing does not come.
+
     Where a rename copies all bytes, parts go straight to their final folder instead: there the old result goes first.
     """
     if layout not in (PARTS, FILE):
@@ -75,9 +84,10 @@ def _publish(df: DataFrame, target: str, write: Callable[[DataFrame, str], None]
     token = uuid.uuid4().hex
     in_place = layout == PARTS and storage.scheme(target) in storage.RENAME_COPIES
     written = target if in_place else storage.join(storage.parent(target), f"_staging_{token}")
-    counted = RowCount(df.coalesce(1) if layout == FILE else df)
+    placed = df.coalesce(1) if layout == FILE else df
+    counted = None if footers else RowCount(placed)
     try:
-        write(counted.df, written)
+        write(placed if footers else counted.df, written)
         if layout == FILE:
             part = storage.glob_one(spark, storage.join(storage.glob_escape(written), "part-*"))
             _replace(spark, part, target, token)
@@ -86,7 +96,8 @@ def _publish(df: DataFrame, target: str, write: Callable[[DataFrame, str], None]
     finally:
         if not in_place:
             storage.delete(spark, written)
-    return Published(target, storage.last_part(target), counted.value)
+    rows = None if footers else counted.reported()
+    return Published(target, storage.last_part(target), recount(storage.glob_escape(target)) if rows is None else rows)
 
 
 def _replace(spark: SparkSession, new: str, target: str, token: str) -> None:

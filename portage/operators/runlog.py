@@ -127,7 +127,7 @@ def run_report(log: DataFrame, run_id: str) -> DataFrame:
     """One row per task of a run: its newest state, where a write or copy at the same time goes before a read, and then
     the file name decides."""
     run = log.where(F.col("run_id") == run_id)
-    moved = (F.col("operation") != "read").alias("moved")
+    moved = F.col("operation").isin("write", "copy").alias("moved")
     order = F.struct("timestamp", moved, "source_file_dml", "record_count", "status")
     newest = run.groupBy(*TASK_KEYS).agg(F.max_by(F.struct(*COLUMNS), order).alias("row"))
     return report(newest.select("row.*"))

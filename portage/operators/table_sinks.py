@@ -6,7 +6,7 @@ import logging
 
 from pyspark.sql import DataFrame
 
-from portage.operators.counting import RowCount
+from portage.operators.counting import RowCount, committed_rows
 from portage.sources.tables import CATALOG, TableAccess, connection_options, split_table_name
 
 logger = logging.getLogger(__name__)
@@ -49,22 +49,33 @@ def writer_options(
 
 def load_table(
     df: DataFrame, access: TableAccess, table: str, load_type: str = "Append", truncate: bool = False, **jdbc
-) -> int:
-    """Append to a table or replace its rows, and return the number of rows written.
+) -> int | None:
+    """Append to a table or replace its rows, and return the number of rows that it has taken.
 
-    Overwrite makes the table anew, unless ``truncate`` keeps its definition. Columns are matched by name.
+    Overwrite makes the table anew, unless ``truncate`` keeps its definition. Columns are matched by name. The number is
+    that of the commit, or for a new or replaced table that of its rows; a database that does not report one gives None.
     """
     mode = load_mode(load_type)
-    counted = RowCount(df)
     if access.dialect != CATALOG:
+        counted = RowCount(df)
         options = writer_options(access, table, truncate, **jdbc)
         if df.sparkSession.sparkContext.getConf().get("spark.speculation", "false") == "true":
             logger.warning("spark.speculation may load rows twice through JDBC, where each task commits by itself")
         counted.df.write.format("jdbc").options(**options).mode(mode).save()
-    elif mode == OVERWRITE and truncate and df.sparkSession.catalog.tableExists(table):
-        columns = df.sparkSession.table(table).columns
-        counted = RowCount(df.select(*columns))
-        counted.df.write.insertInto(table, overwrite=True)
-    else:
-        counted.df.write.mode(mode).saveAsTable(table)
-    return counted.value
+        return counted.reported()
+    spark = df.sparkSession
+    there = spark.catalog.tableExists(table)
+    if there and (mode == APPEND or truncate):
+        rows = df.select(*(_same_name(df, column) for column in spark.table(table).columns)) if mode == OVERWRITE else df
+        verb = "INSERT INTO" if mode == APPEND else "INSERT OVERWRITE"
+        taken = committed_rows(spark.sql(f"{verb} {table} BY NAME SELECT * FROM {{rows}}", rows=rows))
+        if taken is not None:
+            return taken
+        return None if mode == APPEND else spark.table(table).count()
+    df.write.mode(mode).saveAsTable(table)
+    return spark.table(table).count()
+
+
+def _same_name(df: DataFrame, column: str):
+    """The column of that name, whatever characters are in it."""
+    return df["`{}`".format(column.replace("`", "``"))]

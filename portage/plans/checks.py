@@ -166,12 +166,67 @@ def publish_parts(spark, sf_dir):
     return files.scan_delimited(spark, published.path, schema=events.schema)
 
 
-@check("SELECT * FROM events")
+@check("SELECT event_type, ts::DATE AS day, count(*) AS events, max(event_id) AS last FROM events GROUP BY ALL")
 def publish_single(spark, sf_dir):
-    """All rows in one file, with one header line."""
-    events = table(spark, sf_dir, "events").repartition(4)
-    published = file_sinks.write_delimited(events, f"{shared_dir(spark, 'single')}/events.csv", layout="file")
-    return files.scan_delimited(spark, published.path, schema=events.schema)
+    """A small result, computed by many tasks, in one file with one header line."""
+    events = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day"))
+    daily = events.agg(F.count(F.lit(1)).alias("events"), F.max("event_id").alias("last"))
+    published = file_sinks.write_delimited(daily, f"{shared_dir(spark, 'single')}/daily.csv", layout="file")
+    return files.scan_delimited(spark, published.path, schema=daily.schema)
+
+
+@check("SELECT * FROM orders")
+def directory_column_orders(spark, sf_dir):
+    """A directory whose files name the same columns in three orders."""
+    orders, work = table(spark, sf_dir, "orders"), shared_dir(spark, "directory")
+    names = orders.columns
+    for status, turned in (("F", names), ("O", names[::-1]), ("P", names[2:] + names[:2])):
+        some = orders.where(F.col("o_orderstatus") == status).select(*turned)
+        file_sinks.write_delimited(some, f"{work}/{status}.{'txt' if status == 'O' else 'csv'}")
+    file_sinks.write_parquet(orders.where("NOT coalesce(o_orderstatus IN ('F', 'O', 'P'), false)"), f"{work}/rest.parquet")
+    return files.scan_file(spark, work, schema=orders.schema).df
+
+
+_DAMAGED = """
+SELECT CASE WHEN o_orderkey % 13 = 5 OR o_orderkey % 11 = 3 OR o_orderkey % 7 = 0 THEN 'rejected' ELSE 'good' END AS side,
+  CASE WHEN o_orderkey % 13 = 5 THEN concat(o_orderkey, ',', o_custkey)
+    WHEN o_orderkey % 11 = 3 THEN concat(o_orderkey, ',', o_custkey, ',', o_orderstatus, ',', o_orderpriority, ',more')
+    WHEN o_orderkey % 7 = 0 THEN concat(o_orderkey, ',x', o_custkey, ',', o_orderstatus, ',', o_orderpriority)
+    ELSE concat(o_orderkey, ',', o_custkey, ',', o_orderstatus, ',', o_orderpriority) END AS line
+FROM {orders}
+"""
+
+
+def _load_damaged_orders(spark, sf_dir):
+    """Load lines of which some have too few or too many values, or a word for a number."""
+    work, loaded = shared_dir(spark, "rejects"), f"{new_database(spark)}.orders"
+    lines = spark.sql(_DAMAGED, orders=table(spark, sf_dir, "orders"))
+    lines.select("line").write.text(f"{work}/orders_20240131.csv")
+    context = new_context(spark, work)
+    transfer(
+        context, spec.FILE_TO_TABLE, source_s3_file_path=f"{work}/orders_yyyymmdd.csv", header_row="False",
+        target_access_db="warehouse", target_table=loaded, on_bad_lines="reject", rejects_path=f"{work}/rejects",
+        schema="o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string",
+    )
+    return context, work, loaded
+
+
+@check(_DAMAGED.format(orders="orders"))
+def csv_rejects(spark, sf_dir):
+    """Both sides of a load: what the table has, and the lines that were kept apart."""
+    _, work, loaded = _load_damaged_orders(spark, sf_dir)
+    good = spark.table(loaded).select(F.lit("good").alias("side"), F.concat_ws(",", "*").alias("line"))
+    return good.union(spark.read.parquet(f"{work}/rejects").select(F.lit("rejected"), "line"))
+
+
+@check(f"""
+WITH line AS ({_DAMAGED.format(orders="orders")})
+SELECT o.operation, count(*) FILTER (o.side = 'all' OR o.side = line.side) AS record_count
+FROM line, (VALUES ('read', 'all'), ('write', 'good'), ('reject', 'rejected')) AS o(operation, side) GROUP BY o.operation
+""")
+def csv_reject_counts(spark, sf_dir):
+    """Read, written and rejected lines in the run log."""
+    return _load_damaged_orders(spark, sf_dir)[0].log.read().select("operation", "record_count")
 
 
 @check("""
@@ -411,6 +466,29 @@ def copy_keys(spark, sf_dir):
     return plan.select("target", F.col("length").alias("lines"))
 
 
+_ORDER_FILES = "SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) * 1000000 AS length FROM lineitem GROUP BY l_orderkey"
+
+
+@check(f"""
+SELECT count(*) AS objects, CAST(sum(length) AS BIGINT) AS bytes, 0 AS overfull, 0 AS with_company, true AS numbered FROM ({_ORDER_FILES})
+""")
+def copy_plan_balance(spark, sf_dir):
+    """Copy tasks for a listing with a file for each order: none has over twice its share unless by one file, files of a
+    share or more are alone, and the tasks are numbered without gaps."""
+    share = 128 * 1024 * 1024
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((F.sum("l_quantity").cast("long") * 1000000).alias("length"))
+    listing = sums.select(F.concat(F.lit("from/"), "l_orderkey").alias("path"), F.col("l_orderkey").cast("string").alias("relative"), "length")
+    numbered, tasks = copying.balanced_tasks(copying.copy_plan(listing, "to"), share, files_per_range=5000)
+    loads = numbered.groupBy("task").agg(
+        F.count(F.lit(1)).alias("objects"), F.sum("length").alias("bytes"), F.max("length").alias("largest"))
+    return loads.agg(
+        F.sum("objects").alias("objects"), F.sum("bytes").alias("bytes"),
+        F.count_if(F.col("bytes") > F.greatest(F.lit(2 * share), "largest")).cast("int").alias("overfull"),
+        F.count_if((F.col("largest") >= share) & (F.col("objects") > 1)).cast("int").alias("with_company"),
+        ((F.count(F.lit(1)) == tasks) & (F.max("task") == tasks - 1) & (F.min("task") == 0)).alias("numbered"),
+    )
+
+
 # Run log -------------------------------------------------------------------------------------------------------------
 
 _LOG_SQL = """

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from portage import storage
 from portage.functions import naming
-from portage.operators import copying, file_sinks, table_sinks
+from portage.operators import copying, file_sinks, rejects, table_sinks
+from portage.operators.rejects import Split
 from portage.operators.runlog import FAILED, SUCCESS, AuditRow, RunLog
 from portage.plans import spec
 from portage.plans.spec import TaskSpec
@@ -22,6 +23,7 @@ from portage.sources.tables import Partitioning, TableAccess
 logger = logging.getLogger(__name__)
 
 MULTIPLE_FILES = "Multiple files"
+FAIL, REJECT = "fail", "reject"
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,7 @@ class TransferResult:
     """Outcome of a transfer: rows moved (objects for a copy) and the target's full path or table."""
 
     ok: bool
-    records: int = 0
+    records: int | None = 0
     target: str = ""
     error: str = ""
 
@@ -92,13 +94,21 @@ class _Audit:
         return TransferResult(False, error=str(error))
 
     def moved(
-        self, records: int, source_item: str, written_item: str, target: str, target_file: str = ""
+        self, records: int | None, source_item: str, written_item: str, target: str, target_file: str = "",
+        rejected: int | None = None,
     ) -> TransferResult:
-        """One pass has read and written the rows, so both operations have the same count."""
-        self.append(
-            self.row("read", SUCCESS, records, source_item),
+        """One pass has read and written the rows, so both operations have the same count, or none if it is not known.
+
+        Lines that were ``rejected`` were read too, and have a row of their own with the folder that holds them.
+        """
+        read = records if records is None or rejected is None else records + rejected
+        rows = [
+            self.row("read", SUCCESS, read, source_item),
             self.row("write", SUCCESS, records, written_item, target_file),
-        )
+        ]
+        if rejected is not None:
+            rows.insert(1, self.row("reject", SUCCESS, rejected, source_item, self.task.get("rejects_path")))
+        self.append(*rows)
         return TransferResult(True, records, target)
 
 
@@ -127,6 +137,24 @@ def _scan_options(task: TaskSpec) -> dict:
     return options
 
 
+def _rejects_lines(task: TaskSpec) -> bool:
+    """``on_bad_lines``: ``fail`` (the default), or ``reject`` to keep them in ``rejects_path`` and go on."""
+    chosen = task.get("on_bad_lines", FAIL)
+    if chosen not in (FAIL, REJECT):
+        raise ValueError(f"on_bad_lines is {FAIL} or {REJECT}, not {chosen!r}")
+    if chosen == REJECT and not task.get("rejects_path"):
+        raise ValueError("on_bad_lines=reject needs a rejects_path")
+    return chosen == REJECT
+
+
+def _split_source(context: RunContext, task: TaskSpec, task_order: int, path: str, schema, options: dict) -> Split:
+    """Good rows of a text file, whose bad lines are kept under the run and the task."""
+    split = rejects.split_rejects(files.scan_with_rejects(context.spark, storage.glob_escape(path), schema=schema, **options))
+    if split.rejected_rows:
+        rejects.write_rejects(split.rejected, task.get("rejects_path"), context.run_id, task_order)
+    return split
+
+
 def _layout(task: TaskSpec) -> dict[str, str]:
     """``layout``: a folder of ``parts`` (the default) or one ``file``."""
     return {"layout": task.get("layout", file_sinks.PARTS)}
@@ -146,7 +174,7 @@ def _scan_source_table(context: RunContext, task: TaskSpec):
     return tables.scan_table(context.spark, access, task.get("source_table"), task.get("dml"), _partitioning(task))
 
 
-def _load_target_table(context: RunContext, task: TaskSpec, df) -> int:
+def _load_target_table(context: RunContext, task: TaskSpec, df) -> int | None:
     access = context.table_access(task.get("target_access_db"))
     truncate = task.get("truncate").lower() == "true"
     tuning = {
@@ -177,18 +205,25 @@ def file_to_table(context: RunContext, task: TaskSpec, task_order: int) -> Trans
 
     Text that is appended to a table that is there takes its types, which spares the pass that infers them, unless a
     ``schema`` is given. ``types_from_target`` says so, or not, for all loads. The names of a directory's files go to
-    the log's table of source files.
+    the log's table of source files. With ``on_bad_lines=reject``, lines of one text file that do not fit its columns are
+    kept apart and counted in the log.
     """
     audit = _audit(
         context, task, task_order, ("source_s3_access", "source_s3_file_path"), ("target_access_db", "target_table")
     )
     try:
         spark, access = context.spark, context.table_access(audit.target_access)
+        split, filesystem = None, context.filesystems.get(audit.source_access)
         appended = table_sinks.load_mode(task.get("load_type")) == table_sinks.APPEND
         default = str(appended and not task.get("schema"))
         typed = task.get("types_from_target", default).lower() == "true" and tables.table_exists(spark, access, audit.target)
-        scan = files.scan_file(spark, audit.source, infer=not typed, **_scan_options(task))
+        scan = files.scan_file(spark, audit.source, filesystem, infer=not typed, **_scan_options(task))
         df = _typed_like_target(scan.df, tables.scan_table(spark, access, audit.target)) if typed else scan.df
+        if _rejects_lines(task) and naming.extension_of(scan.name) in ("csv", "txt"):
+            exact = storage.join(storage.parent(audit.source), scan.name)
+            options = {name: value for name, value in _scan_options(task).items() if name not in ("schema", "sampling_ratio")}
+            split = _split_source(context, task, task_order, exact, df.schema, options)
+            df = split.good
         if scan.names is not None:
             context.log.append_source_files(context.run_id, task_order, scan.names)
     except Exception as error:
@@ -197,7 +232,7 @@ def file_to_table(context: RunContext, task: TaskSpec, task_order: int) -> Trans
         rows = _load_target_table(context, task, df)
     except Exception as error:
         return audit.failed("write", error, scan.name)
-    return audit.moved(rows, scan.name, scan.name, audit.target)
+    return audit.moved(rows, scan.name, scan.name, audit.target, rejected=split and split.rejected_rows)
 
 
 def table_to_file(context: RunContext, task: TaskSpec, task_order: int) -> TransferResult:
@@ -234,16 +269,21 @@ def landing_to_file(context: RunContext, task: TaskSpec, task_order: int) -> Tra
         context, task, task_order,
         ("source_sftp_access", "source_sftp_file_path"), ("target_s3_access", "target_s3_file_path"),
     )
-    header, options = _has_header(task), _text_options(task)
+    header, options, split = _has_header(task), _text_options(task), None
+    filesystem = context.filesystems.get(audit.source_access)
     try:
         if not naming.has_known_extension(audit.source):
             raise ValueError(f"a landing path names one file, or the newest of a series: {audit.source}")
-        exact = files.resolve(context.spark, audit.source)
+        exact = files.resolve(context.spark, audit.source, filesystem)
         name = storage.last_part(exact)
         if naming.extension_of(name) == "parquet":
             df = files.scan_parquet(context.spark, storage.glob_escape(exact))
         else:
             df = files.scan_raw(context.spark, storage.glob_escape(exact), header, **options)
+            if _rejects_lines(task):
+                raw = {"header": header, "delimiter": "\t" if naming.extension_of(name) == "txt" else ",", **options}
+                split = _split_source(context, task, task_order, exact, df.schema, raw)
+                df = split.good
     except Exception as error:
         return audit.failed("read", error)
     try:
@@ -254,7 +294,8 @@ def landing_to_file(context: RunContext, task: TaskSpec, task_order: int) -> Tra
             published = file_sinks.write_raw(df, path, header, **_layout(task), **options)
     except Exception as error:
         return audit.failed("write", error, name)
-    return audit.moved(published.rows, name, name, published.path, published.name)
+    rejected = split and split.rejected_rows
+    return audit.moved(published.rows, name, name, published.path, published.name, rejected)
 
 
 def table_to_table(context: RunContext, task: TaskSpec, task_order: int) -> TransferResult:
@@ -288,7 +329,7 @@ def file_to_file(context: RunContext, task: TaskSpec, task_order: int) -> Transf
                 raise FileNotFoundError(f"no files in {audit.source}")
             target, shown = audit.target, MULTIPLE_FILES
         else:
-            exact = files.resolve(context.spark, audit.source)
+            exact = files.resolve(context.spark, audit.source, context.filesystems.get(audit.source_access))
             clock = naming.as_run_ts(context.clock())
             target = _target_path(context, audit.target, F.lit(storage.last_part(exact)), clock)
             copied, shown = copying.copy_file(context.spark, exact, target, *options), storage.last_part(target)

@@ -133,11 +133,36 @@ def test_missing_sources(spark, tmp_path):
     assert manifest.list_files(spark, str(tmp_path)).isEmpty()
 
 
-def test_directory_with_columns_in_another_order_is_refused(spark, tmp_path):
+def test_directory_with_columns_in_other_orders(spark, tmp_path):
     put(tmp_path / "x.csv", "a,b\n1,2\n")
-    put(tmp_path / "y.csv", "b,a\n2,1\n")
-    with pytest.raises(Exception, match="header"):
-        files.scan_directory(spark, str(tmp_path)).collect()
+    put(tmp_path / "y.csv", "b,a\r\n4,3\r\n")
+    put(tmp_path / "z.txt", "\n\"b\",a\n6,5\n")
+    put(tmp_path / "empty.csv", "")
+    file_sinks.write_delimited(spark.createDataFrame([(8, 7)], "b int, a int"), f"{tmp_path}/parts.csv")
+    spark.createDataFrame([(9, 10)], "a int, b int").write.parquet(f"{tmp_path}/p.parquet")
+    expected = [(1, 2), (3, 4), (5, 6), (7, 8), (9, 10)]
+    for options in ({}, {"schema": "a int, b int"}):
+        scan = files.scan_directory(spark, str(tmp_path), **options)
+        assert sorted(tuple(r) for r in scan.select("a", "b").collect()) == expected
+    assert scan.columns == ["a", "b"]
+    index = {os.path.basename(r.path): r.header for r in files.header_index(spark, str(tmp_path)).collect()}
+    assert index == {"x.csv": "a,b", "y.csv": "b,a", "z.txt": '"b",a', "parts.csv": "b,a"}
+
+
+def test_directory_with_other_columns_is_refused(spark, tmp_path):
+    put(tmp_path / "x.csv", "a,b\n1,2\n")
+    put(tmp_path / "y.csv", "b,c\n2,1\n")
+    for options in ({}, {"schema": "a int, b int"}):
+        with pytest.raises(Exception, match="header|column"):
+            files.scan_directory(spark, str(tmp_path), **options).collect()
+
+
+def test_too_many_header_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MOST_HEADERS", 2)
+    for i, header in enumerate(("a,b,c", "b,a,c", "c,b,a")):
+        put(tmp_path / f"{i}.csv", f"{header}\n1,2,3\n")
+    with pytest.raises(ValueError, match="more than 2"):
+        files.scan_directory(spark, str(tmp_path))
 
 
 def test_lineage_of_odd_names_and_parts(spark, tmp_path):
