@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -161,17 +162,25 @@ def _layout(task: TaskSpec) -> dict[str, str]:
 
 
 def _partitioning(task: TaskSpec) -> Partitioning | None:
+    """``predicates``, a JSON list, or ranges of ``partition_column``."""
+    if task.get("predicates"):
+        return Partitioning(predicates=tuple(json.loads(task.get("predicates"))))
     column = task.get("partition_column")
     if not column:
         return None
     lower, upper = task.get("lower_bound") or None, task.get("upper_bound") or None
-    even = task.get("partition_even").lower() == "true"
-    return Partitioning(column, int(task.get("num_partitions", "1")), lower, upper, even)
+    even, sampled = (task.get(name).lower() == "true" for name in ("partition_even", "partition_sampled"))
+    return Partitioning(
+        column, int(task.get("num_partitions", "1")), lower, upper, even, sampled, task.get("partition_second_column"))
 
 
 def _scan_source_table(context: RunContext, task: TaskSpec):
     access = context.table_access(task.get("source_access_db"))
-    return tables.scan_table(context.spark, access, task.get("source_table"), task.get("dml"), _partitioning(task))
+    single = task.get("single_connection").lower() == "true"
+    partitioning = _partitioning(task)
+    if single and partitioning is not None:
+        raise ValueError("single_connection=true and a partitioning exclude each other")
+    return tables.scan_table(context.spark, access, task.get("source_table"), task.get("dml"), partitioning, single)
 
 
 def _load_target_table(context: RunContext, task: TaskSpec, df) -> int | None:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import date
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+logger = logging.getLogger(__name__)
 
 CATALOG = "Catalog"
+#: Values that a sampled partitioning takes to the driver, about; twice as many at most.
+SAMPLE = 20000
 
-# Per database kind the port, the driver class, how many dotted parts name a table, and URL arguments.
+# Per database kind the port, the driver class, how many dotted parts name a table, a random
+# number from 0 to 1, and URL arguments.
 # MySQL honours the fetch size only with a server-side cursor; the rewrite arguments send a batch as one statement.
 DIALECTS = {
     "MySQL": {
@@ -19,12 +27,14 @@ DIALECTS = {
         "port": 3306,
         "driver": "com.mysql.cj.jdbc.Driver",
         "parts": 2,
+        "random": "RAND()",
     },
     "PSQL": {
         "url": "jdbc:postgresql://{host}:{port}/{database}?reWriteBatchedInserts=true",
         "port": 5432,
         "driver": "org.postgresql.Driver",
         "parts": 3,
+        "random": "RANDOM()",
     },
 }
 
@@ -47,8 +57,10 @@ class Partitioning:
 
     Choose an indexed column with distinct values, such as the primary key: one value is never split. Ranges are equally
     wide, between bounds that are given or asked from the database. ``even`` asks it for ranges with equally many rows
-    instead, for columns with gaps or dense spots. ``predicates``, one per partition and together true once for every
-    row, replace the ranges.
+    instead, for columns with gaps or dense spots, which sorts the column there. ``sampled`` takes such ranges from a
+    bounded random sample of the column, and gives a value that fills more than a range predicates of its own, split by
+    ranges of ``second_column`` if there is one. ``predicates``, one per partition and together true once for every row,
+    replace the ranges.
     """
 
     column: str = ""
@@ -56,6 +68,8 @@ class Partitioning:
     lower: str | None = None
     upper: str | None = None
     even: bool = False
+    sampled: bool = False
+    second_column: str = ""
     predicates: tuple[str, ...] = ()
 
 
@@ -97,6 +111,66 @@ def range_options(partitioning: Partitioning, lower, upper) -> dict[str, str]:
     }
 
 
+def _literal(value: int | float | Decimal | date) -> str:
+    return f"'{value}'" if isinstance(value, date) else str(value)
+
+
+def sample_query(relation: str, partitioning: Partitioning, random: str, rows: int) -> str:
+    """Query for about ``SAMPLE`` values of the column, and of the second one, from all parts of a relation of ``rows`` rows."""
+    second = f", {partitioning.second_column} AS w" if partitioning.second_column else ""
+    some = f" AND {random} < {SAMPLE / rows:.12f}" if rows > SAMPLE else ""
+    return f"( SELECT {partitioning.column} AS v{second} FROM {relation} WHERE {partitioning.column} IS NOT NULL{some} LIMIT {2 * SAMPLE} ) AS sample"
+
+
+def depth_predicates(partitioning: Partitioning, sample: Sequence[tuple]) -> list[str]:
+    """Predicates of about equally many sampled rows, true once for every row, sampled or not.
+
+    The sample has pairs of a value and a second value, or None. Values with more than a share have predicates of their
+    own. Rows without a value belong to the first range.
+    """
+    column, second, wanted = partitioning.column, partitioning.second_column, max(partitioning.num_partitions, 1)
+    seconds: dict = {}
+    for value, other in sample:
+        if value == value:  # not NaN, which databases sort behind all numbers
+            seconds.setdefault(value, []).append(other)
+    share = sum(map(len, seconds.values())) / wanted
+    ranges, points = [], []  # (condition, sampled rows)
+    low, full = None, 0
+
+    def close(high: str | None) -> None:
+        tests = [test for test in (low, high) if test]
+        ranges.append((" AND ".join(tests) or "1 = 1", full))
+
+    for value, others in sorted(seconds.items()):
+        hot = len(others) > share
+        if hot or full >= share:
+            close(f"{column} < {_literal(value)}")
+            low, full = f"{column} {'>' if hot else '>='} {_literal(value)}", 0
+        if hot:
+            parts = even_predicates(second, _lowest_of(others, math.ceil(len(others) / share))) if second else ["1 = 1"]
+            points += [f"{column} = {_literal(value)}" + ("" if part == "1 = 1" else f" AND {part}") for part in parts]
+        else:
+            full += len(others)
+    close(None)
+    if len(ranges) == 1 and not points:
+        return ["1 = 1"]
+    ranges[0] = (f"({ranges[0][0]} OR {column} IS NULL)", ranges[0][1])
+    # Short ranges between hot values share a connection.
+    packed, filled = [], share
+    for condition, rows in ranges:
+        if packed and filled + rows <= share:
+            packed[-1], filled = f"{packed[-1]} OR ({condition})", filled + rows
+        else:
+            packed, filled = [*packed, f"({condition})"], rows
+    return packed + points
+
+
+def _lowest_of(values: Sequence, parts: int) -> list:
+    """Lowest value of each of ``parts`` equally full ranges; values that are missing belong to the first."""
+    ordered = sorted(value for value in values if value is not None and value == value)
+    return [ordered[i * len(ordered) // parts] for i in range(parts)] if ordered else []
+
+
 def even_bounds_query(relation: str, column: str, num_partitions: int) -> str:
     """Query for the lowest value of each of ``num_partitions`` ranges with equally many rows."""
     ranked = f"SELECT {column}, NTILE({num_partitions}) OVER (ORDER BY {column}) AS part FROM {relation}"
@@ -112,7 +186,7 @@ def even_predicates(column: str, lows: Sequence[int | float | Decimal | date]) -
     ordered = sorted(set(lows))
     if not ordered:
         return ["1 = 1"]
-    texts = [f"'{low}'" if isinstance(low, date) else str(low) for low in ordered]
+    texts = [_literal(low) for low in ordered]
     inner = [f"{column} >= {low} AND {column} < {high}" for low, high in zip(texts[1:], texts[2:])]
     if len(texts) == 1:
         return ["1 = 1"]
@@ -120,9 +194,13 @@ def even_predicates(column: str, lows: Sequence[int | float | Decimal | date]) -
 
 
 def scan_table(
-    spark: SparkSession, access: TableAccess, table: str, dml: str = "", partitioning: Partitioning | None = None
+    spark: SparkSession, access: TableAccess, table: str, dml: str = "", partitioning: Partitioning | None = None,
+    single_connection: bool = False,
 ) -> DataFrame:
-    """A table, or the result of a query that the database runs."""
+    """A table, or the result of a query that the database runs.
+
+    Without a partitioning, one connection reads all of it; ``single_connection`` says that this is meant.
+    """
     if access.dialect == CATALOG:
         return spark.sql(f"SELECT * FROM {query_text(table, dml)}") if dml.strip() else spark.table(table)
     relation, options = query_text(table, dml), connection_options(access, table)
@@ -131,8 +209,18 @@ def scan_table(
         return spark.read.format("jdbc").options(dbtable=dbtable, **options, **ranges).load()
 
     if partitioning is None:
+        if not single_connection:
+            logger.warning("%s is read through one connection; give a partition column, or single_connection=true", table)
         return load(relation)
     column, predicates = partitioning.column, list(partitioning.predicates)
+    if not predicates and partitioning.sampled:
+        rows = load(f"( SELECT COUNT(*) AS n FROM {relation} ) AS total").first()["n"]
+        sample = load(sample_query(relation, partitioning, DIALECTS[access.dialect]["random"], rows))
+        texts = [kind.name for kind in sample.schema if kind.dataType.typeName() == "string"]
+        if texts:
+            raise ValueError("sampled ranges need number, date or time columns; a database may sort text in its own way")
+        second = F.col("w") if partitioning.second_column else F.lit(None)
+        predicates = depth_predicates(partitioning, [tuple(row) for row in sample.select("v", second).collect()])
     if not predicates and partitioning.even:
         bounds = load(even_bounds_query(relation, column, partitioning.num_partitions))
         if bounds.schema["lo"].dataType.typeName() == "string":
@@ -159,4 +247,4 @@ def table_exists(spark: SparkSession, access: TableAccess, table: str) -> bool:
         "SELECT COUNT(*) AS found FROM information_schema.tables "
         f"WHERE table_schema = '{schema or database}' AND table_name = '{name}'"
     )
-    return scan_table(spark, access, table, dml).first()["found"] > 0
+    return scan_table(spark, access, table, dml, single_connection=True).first()["found"] > 0

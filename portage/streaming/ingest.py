@@ -82,4 +82,4 @@ def _loaded_rows(spark: SparkSession, access: TableAccess, table: str, batch_col
     if batch_id == 0 and not table_exists(spark, access, table):
         return 0
     dml = f"SELECT COUNT(*) AS found FROM {table} WHERE {batch_column} = {batch_id}"
-    return scan_table(spark, access, table, dml).first()["found"]
+    return scan_table(spark, access, table, dml, single_connection=True).first()["found"]

@@ -9,6 +9,8 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from portage.operators import table_sinks
 from portage.plans import checks
+from portage.plans import spec, transfers
+from portage.plans.spec import TaskSpec
 from portage.sources import tables
 from portage.sources.tables import Partitioning, TableAccess
 
@@ -213,3 +215,64 @@ def test_jdbc_scan_by_even_ranges(spark):
     with pytest.raises(ValueError):
         texts = Recorder([spark.createDataFrame([("a",)], "lo string")])
         tables.scan_table(texts, PSQL, "shop.public.orders", partitioning=Partitioning("name", 2, even=True))
+
+
+HOT = (
+    "( SELECT CASE WHEN o_orderkey % 3 = 0 THEN 7 WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN 90 "
+    "ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey END AS c FROM '{}/orders.parquet' ) AS query"
+)
+
+
+@pytest.mark.parametrize("second", ["", "c"])
+@pytest.mark.parametrize("share_of_rows", [1, 7])
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_sampled_predicates_hold_every_row_once(sf_dir, parts, share_of_rows, second):
+    """Values that a third of the rows repeat, nulls in both columns, and rows that the sample doesn't have."""
+    relation = HOT.format(sf_dir)
+    partitioning = Partitioning("k", parts, sampled=True, second_column=second)
+    sample = duckdb.sql(
+        f"SELECT k, {second or 'NULL'} FROM {relation} WHERE k IS NOT NULL AND coalesce(c, 0) % {share_of_rows} = 0").fetchall()
+    predicates = tables.depth_predicates(partitioning, sample)
+    tests = ", ".join(f"CASE WHEN {predicate} THEN 1 ELSE 0 END" for predicate in predicates)
+    assert duckdb.sql(f"SELECT DISTINCT list_sum([{tests}]) FROM {relation}").fetchall() == [(1,)]
+    counts = duckdb.sql("SELECT " + ", ".join(f"COUNT(*) FILTER ({p})" for p in predicates) + f" FROM {relation}").fetchall()[0]
+    if parts == 16 and share_of_rows == 1:
+        rows = sum(counts)
+        assert max(counts) < rows / (5 if second else 2.5) and len(predicates) <= 2 * parts
+
+
+def test_sampled_predicates_of_odd_samples():
+    one = Partitioning("k", 4, sampled=True)
+    assert tables.depth_predicates(one, []) == ["1 = 1"]
+    assert tables.depth_predicates(one, [(float("nan"), None)]) == ["1 = 1"]
+    days = [(datetime(2024, 1, day), None) for day in (1, 2, 3, 4)]
+    assert tables.depth_predicates(Partitioning("t", 2, sampled=True), days) == [
+        "((t < '2024-01-03 00:00:00' OR t IS NULL))", "(t >= '2024-01-03 00:00:00')"]
+
+
+def test_jdbc_scan_by_a_sample(spark, caplog):
+    total, sample = spark.createDataFrame([(10**6,)], "n long"), spark.createDataFrame([(1, 5), (1, 6), (2, None), (3, 1)], "v int, w int")
+    recorder = Recorder([total, sample])
+    wanted = Partitioning("id", 2, sampled=True, second_column="day")
+    tables.scan_table(recorder, PSQL, "shop.public.orders", partitioning=wanted)
+    counted, asked, read = recorder.calls
+    assert "COUNT(*)" in counted["dbtable"] and "RANDOM() < 0.020000000000" in asked["dbtable"] and "LIMIT 40000" in asked["dbtable"]
+    assert read["predicates"] == tables.depth_predicates(wanted, [(1, 5), (1, 6), (2, None), (3, 1)])
+    with pytest.raises(ValueError, match="text"):
+        texts = Recorder([total, spark.createDataFrame([("a",)], "v string")])
+        tables.scan_table(texts, PSQL, "shop.public.orders", partitioning=Partitioning("name", 2, sampled=True))
+    caplog.clear()
+    tables.scan_table(Recorder(), PSQL, "shop.public.orders", single_connection=True)
+    assert not caplog.records
+    tables.scan_table(Recorder(), PSQL, "shop.public.orders")
+    assert "one connection" in caplog.text
+
+
+def test_partitioning_of_a_task():
+    def of(**params):
+        return transfers._partitioning(TaskSpec(spec.TABLE_TO_FILE, params))
+
+    assert of() is None
+    assert of(predicates='["k < 1", "k >= 1"]') == Partitioning(predicates=("k < 1", "k >= 1"))
+    assert of(partition_column="k", num_partitions="3", partition_sampled="true", partition_second_column="c") == Partitioning(
+        "k", 3, sampled=True, second_column="c")
