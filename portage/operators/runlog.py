@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -18,6 +19,8 @@ SCHEMA = (
     "source_file_dml string, operation string, record_count bigint, target_access string, target_path_table string, "
     "target_file string, status string, timestamp timestamp"
 )
+# What is stored besides: the order in which rows came, which settles equal times.
+STORED = SCHEMA + ", sequence bigint"
 SOURCE_FILES = "run_id string, task_order int, source_file string"
 COLUMNS = [field.split()[0] for field in SCHEMA.split(", ")]
 TASK_KEYS = ["pipeline", "run_id", "service", "task_order"]
@@ -54,21 +57,22 @@ class RunLog:
     def __init__(self, spark: SparkSession, path: str = "", access: TableAccess | None = None, table: str = ""):
         self.spark = spark
         if access is None:
-            self.store = FolderStore(path, SCHEMA, ("run_id",))
+            self.store = FolderStore(path, STORED, ("run_id",))
             self.sources = FolderStore(path.rstrip("/") + "_source_files", SOURCE_FILES, ("run_id",))
         else:
-            self.store = TableStore(access, table, SCHEMA, ("run_id",))
+            self.store = TableStore(access, table, STORED, ("run_id",))
             self.sources = TableStore(access, table + "_source_files", SOURCE_FILES, ("run_id",))
 
     def append(self, *rows: AuditRow, at: datetime | None = None) -> None:
-        """Append rows, all with one clock value: the given one, or now."""
+        """Append rows in their order, all with one clock value: the given one, or now."""
         clock = F.current_timestamp() if at is None else naming.as_run_ts(at).cast("timestamp")
-        values = [tuple(getattr(row, name) for name in COLUMNS[:-1]) for row in rows]
-        plain = self.spark.createDataFrame(values, SCHEMA.rsplit(", ", 1)[0])
+        start = time.time_ns()
+        values = [(*(getattr(row, name) for name in COLUMNS[:-1]), start + i) for i, row in enumerate(rows)]
+        plain = self.spark.createDataFrame(values, SCHEMA.rsplit(", ", 1)[0] + ", sequence bigint")
         self.store.append_few(_typed(plain.withColumn("timestamp", clock)))
 
     def append_rows(self, rows: DataFrame) -> None:
-        """Append a whole log, such as one brought over from elsewhere."""
+        """Append a whole log, such as one brought over from elsewhere; it may have a ``sequence``."""
         self.store.append(_typed(rows))
 
     def append_source_files(self, run_id: str, task_order: int, names: DataFrame) -> None:
@@ -76,9 +80,15 @@ class RunLog:
         self.sources.append_few(names.select(
             F.lit(run_id).alias("run_id"), F.lit(task_order).alias("task_order"), "source_file"))
 
-    def read(self, run_id: str | None = None) -> DataFrame:
+    def read(self, run_id: str | None = None, with_sequence: bool = False) -> DataFrame:
         """The log, or one run's part of it, for which no other run's files are listed."""
-        return self.store.read(self.spark, run_id).select(*COLUMNS)
+        rows = self.store.read(self.spark, run_id)
+        return _typed(rows) if with_sequence else rows.select(*COLUMNS)
+
+    def compact(self, run_id: str) -> None:
+        """Join the small files of a run that has ended into one. Logs in tables are left to their database."""
+        if isinstance(self.store, FolderStore):
+            self.store.compact(self.spark, run_id)
 
     def read_source_files(self, run_id: str | None = None) -> DataFrame:
         return self.sources.read(self.spark, run_id).select("run_id", "task_order", "source_file")
@@ -90,12 +100,18 @@ class RunLog:
         """
         scope = (F.col("run_id") == run_id) & (F.col("task_order") == task_order) & (F.col("operation") == operation)
         later = F.greatest(F.current_timestamp(), F.col("timestamp") + F.expr("INTERVAL 1 MICROSECOND"))
-        corrected = corrections(self.read(run_id).where(scope), F.lit(status), later)
-        self.store.append_few(_typed(corrected))
+        corrected = corrections(self.read(run_id, with_sequence=True).where(scope), F.lit(status), later)
+        self.store.append_few(_typed(corrected.withColumn("sequence", F.lit(time.time_ns()))))
 
 
 def _typed(rows: DataFrame) -> DataFrame:
-    return rows.select(*(F.col(name).cast(kind) for name, kind in (column.split() for column in SCHEMA.split(", "))))
+    rows = with_sequence(rows)
+    return rows.select(*(F.col(name).cast(kind) for name, kind in (column.split() for column in STORED.split(", "))))
+
+
+def with_sequence(rows: DataFrame) -> DataFrame:
+    """Rows with a ``sequence``, null in logs that have none."""
+    return rows if "sequence" in rows.columns else rows.withColumn("sequence", F.lit(None).cast("bigint"))
 
 
 def latest_rows(log: DataFrame, run_id: str, match_service: bool = False) -> DataFrame:
@@ -124,13 +140,11 @@ def report(latest: DataFrame) -> DataFrame:
 
 
 def run_report(log: DataFrame, run_id: str) -> DataFrame:
-    """One row per task of a run: its newest state, where a write or copy at the same time goes before a read, and then
-    the file name decides."""
-    run = log.where(F.col("run_id") == run_id)
-    moved = F.col("operation").isin("write", "copy").alias("moved")
-    order = F.struct("timestamp", moved, "source_file_dml", "record_count", "status")
-    newest = run.groupBy(*TASK_KEYS).agg(F.max_by(F.struct(*COLUMNS), order).alias("row"))
-    return report(newest.select("row.*"))
+    """One row per task of a run: its newest state, where a write or copy at the same time goes before other rows, then
+    the row that came last; in logs without that order the file name decides."""
+    run = with_sequence(log.where(F.col("run_id") == run_id))
+    moved = F.col("operation").isin("write", "copy")
+    return report(_newest(run, TASK_KEYS, F.desc("timestamp"), moved.desc()))
 
 
 def corrections(rows: DataFrame, status, timestamp) -> DataFrame:
@@ -139,7 +153,12 @@ def corrections(rows: DataFrame, status, timestamp) -> DataFrame:
 
 
 def current_state(log: DataFrame) -> DataFrame:
-    """Newest row of each operation of each task; the file name decides between equal times."""
-    order = F.struct("timestamp", "source_file_dml", "record_count", "status")
-    newest = log.groupBy(*TASK_KEYS, "operation").agg(F.max_by(F.struct(*COLUMNS), order).alias("row"))
-    return newest.select("row.*")
+    """Newest row of each operation of each task; of equal times the row that came last, else the file name decides."""
+    return _newest(with_sequence(log), [*TASK_KEYS, "operation"], F.desc("timestamp"))
+
+
+def _newest(rows: DataFrame, keys: list[str], *order) -> DataFrame:
+    """First row of each group; each task keeps its own first rows before the shuffle."""
+    ties = [F.desc(name) for name in ("sequence", "source_file_dml", "record_count", "status")]
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *ties)))
+    return ranked.where("_rank = 1").select(*COLUMNS)

@@ -45,6 +45,23 @@ class FolderStore:
         finally:
             storage.delete(spark, staged)
 
+    def compact(self, spark: SparkSession, value: str) -> None:
+        """Join the files of one value of the partition column into one, while nothing is appended to it.
+
+        The new folder stands beside the old one before it takes its place.
+        """
+        rows = self.read(spark, value)
+        token = uuid.uuid4().hex
+        staged, old = storage.join(self.path, f"_compact_{token}"), storage.join(self.path, f"_old_{token}")
+        try:
+            rows.coalesce(1).write.partitionBy(*self.partition_by).parquet(staged)
+            for folder in storage.glob_names(spark, storage.join(storage.glob_escape(staged), "*=*")):
+                storage.rename(spark, storage.join(self.path, folder), old)
+                storage.rename(spark, storage.join(staged, folder), storage.join(self.path, folder))
+        finally:
+            storage.delete(spark, staged)
+            storage.delete(spark, old)
+
     def read(self, spark: SparkSession, value: str | None = None) -> DataFrame:
         """All rows, or those of one value of the (only) partition column; then only its sub-folder is listed."""
         folder = self.path
@@ -68,6 +85,11 @@ class TableStore:
     partition_by: tuple[str, ...] = ()
 
     def append(self, rows: DataFrame) -> None:
+        """Add rows; a table that was made with fewer columns takes those that it has."""
+        spark = rows.sparkSession
+        if tables.table_exists(spark, self.access, self.table):
+            known = {name.lower() for name in tables.scan_table(spark, self.access, self.table, single_connection=True).columns}
+            rows = rows.select(*(name for name in rows.columns if name.lower() in known))
         table_sinks.load_table(rows, self.access, self.table)
 
     def append_few(self, rows: DataFrame) -> None:
@@ -76,5 +98,5 @@ class TableStore:
     def read(self, spark: SparkSession, value: str | None = None) -> DataFrame:
         if not tables.table_exists(spark, self.access, self.table):
             return spark.createDataFrame([], self.schema)
-        rows = tables.scan_table(spark, self.access, self.table)
+        rows = tables.scan_table(spark, self.access, self.table, single_connection=True)
         return rows if value is None else rows.where(F.col(self.partition_by[0]) == value)

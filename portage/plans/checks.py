@@ -539,7 +539,7 @@ SELECT * EXCLUDE (timestamp, n) FROM (
 def runlog_current_state(spark, sf_dir):
     log = RunLog(spark, f"{shared_dir(spark, 'log')}/run_log")
     log.append_rows(derived_log(spark, sf_dir))
-    return runlog.current_state(log.read()).drop("timestamp")
+    return runlog.current_state(log.read(with_sequence=True)).drop("timestamp")
 
 
 @check(_LOG_CTE + """
@@ -553,7 +553,7 @@ def runlog_status_update(spark, sf_dir):
     log = RunLog(spark, f"{shared_dir(spark, 'log')}/run_log")
     log.append_rows(derived_log(spark, sf_dir))
     log.correct_status(RUN_ID, 7, "write", "failed")
-    return runlog.current_state(log.read()).drop("timestamp")
+    return runlog.current_state(log.read(with_sequence=True)).drop("timestamp")
 
 
 @check(_LOG_CTE + """
@@ -568,7 +568,7 @@ def run_report_rows(spark, sf_dir):
     ahead = F.col("timestamp") + F.expr("INTERVAL 100 YEARS")
     log.append_rows(derived_log(spark, sf_dir).withColumn("timestamp", ahead))
     log.correct_status(RUN_ID, 7, "write", "failed")
-    return runlog.run_report(log.read(RUN_ID), RUN_ID)
+    return runlog.run_report(log.read(RUN_ID, with_sequence=True), RUN_ID)
 
 
 # Transfers -----------------------------------------------------------------------------------------------------------

@@ -22,4 +22,4 @@ def run_tasks(context: RunContext, tasks: list[TaskSpec], on_failure: str = CONT
         result = TRANSFERS[task.service](context, task, task_order)
         if not result.ok and on_failure == STOP:
             break
-    return runlog.run_report(context.log.read(context.run_id), context.run_id)
+    return runlog.run_report(context.log.read(context.run_id, with_sequence=True), context.run_id)

@@ -83,6 +83,50 @@ def test_status_correction_reaches_one_operation_of_one_task(spark, tmp_path):
     assert log.read().count() == 5
 
 
+@pytest.mark.parametrize("place", ["folder", "table"])
+def test_of_equal_times_the_row_that_came_last_counts(spark, tmp_path, place):
+    """Whatever the file names and the alphabet of the statuses say."""
+    log = RunLog(spark, f"{tmp_path}/log")
+    if place == "table":
+        log = RunLog(spark, access=TableAccess(), table=f"{checks.new_database(spark)}.run_log")
+    clock = datetime(2024, 2, 1)
+    log.append(row(0, "write", status="success", count=9), row(1, "write", status="failed"), at=clock)
+    log.append(row(0, "write", status="failed", count=1), row(1, "write", status="success"), at=clock)
+    rows = log.read(with_sequence=True)
+    assert [r.status for r in runlog.current_state(rows).orderBy("task_order").collect()] == ["failed", "success"]
+    assert [r.status for r in runlog.run_report(rows, "r").collect()] == ["failed", "success"]
+    log.correct_status("r", 1, "write", "failed")
+    assert [r.status for r in runlog.current_state(log.read(with_sequence=True)).orderBy("task_order").collect()] == ["failed"] * 2
+
+
+def test_newest_rows_are_chosen_before_the_shuffle(spark, sf_dir):
+    plan = runlog.current_state(checks.derived_log(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan.split("Exchange", 1)[1] and plan.count("Exchange") == 1
+
+
+def test_logs_that_have_no_sequence(spark, tmp_path):
+    """A folder and a table of an earlier version are read and go on."""
+    plain = spark.createDataFrame([("p", "r", "S3-DB", 0, "s", "x", "f", "read", 1, "t", "y", "", "success", datetime(2024, 1, 1))], runlog.SCHEMA)
+    plain.write.partitionBy("run_id").parquet(f"{tmp_path}/log")
+    name = f"{checks.new_database(spark)}.run_log"
+    plain.write.saveAsTable(name)
+    for log in (RunLog(spark, f"{tmp_path}/log"), RunLog(spark, access=TableAccess(), table=name)):
+        log.append(row(1, "write"))
+        assert runlog.run_report(log.read(with_sequence=True), "r").count() == 2
+
+
+def test_compaction_keeps_every_row(spark, tmp_path):
+    log = RunLog(spark, f"{tmp_path}/log")
+    for i in range(5):
+        log.append(row(i, "copy", run_id="a"))
+    log.append(row(9, "copy", run_id="b"))
+    before = sorted(map(repr, log.read(with_sequence=True).collect()))
+    log.compact("a")
+    assert sorted(map(repr, log.read(with_sequence=True).collect())) == before
+    assert len([name for name in os.listdir(tmp_path / "log" / "run_id=a") if name.endswith(".parquet")]) == 1
+    assert sorted(name for name in os.listdir(tmp_path / "log") if name[0] != ".") == ["run_id=a", "run_id=b"]
+
+
 def test_runs_at_the_same_time_do_not_lose_rows(spark, tmp_path):
     """Appends of several runs that overlap; also a slow job that writes to the same folder."""
     log = RunLog(spark, f"{tmp_path}/log")
