@@ -139,7 +139,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, matches: int, percent: int) ->
     enough = _agreeing(F.col("signature_a"), F.col("signature_b")) >= matches
     both = F.least(*(F.size(F.array_intersect(f"{half}_a", f"{half}_b")) for half in ("shingles", "second_halves")))
     either = F.size("shingles_a") + F.size("shingles_b") - both
-    return pairs.join(side_a, "a").join(side_b, "b").where(enough & (both * 100 >= either * percent)).select("a", "b")
+    # Sorted on both sides at every size: pairs that are few enough to broadcast at one size are not at another.
+    return pairs.hint("merge").join(side_a, "a").hint("merge").join(side_b, "b").where(enough & (both * 100 >= either * percent)).select("a", "b")
 
 
 def rarest_postings(signed: DataFrame, coordinates: int, matches: int) -> DataFrame:
@@ -217,14 +218,14 @@ def near_duplicates(
     ), "signatures")
     same_set = ["set_a", "set_b", "n_shingles"]
     classes = signed.where("n_shingles > 0").groupBy(*same_set).agg(F.min("doc_key").alias("node"))
-    members = signed.join(classes, same_set, "left").withColumn("node", F.coalesce("node", "doc_key"))
+    members = signed.join(classes.hint("merge"), same_set, "left").withColumn("node", F.coalesce("node", "doc_key"))
     members = scratch.stored(members.select("doc_id", "doc_key", "n_shingles", "node", F.when(
         (F.col("doc_key") == F.col("node")) & (F.col("n_shingles") > 0), F.col("signature")).alias("signature")), "members")
 
     postings = rarest_postings(members.where("signature IS NOT NULL"), coordinates, matches)
     postings = scratch.stored(postings.distinct(), "postings")
     wanted = postings.select("node").distinct()
-    texts = keyed.select(F.col("doc_key").alias("node"), "text").join(wanted, "node", "left_semi")
+    texts = keyed.select(F.col("doc_key").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi")
     sets = scratch.stored(texts.mapInArrow(
         lambda batches: full_sets(batches, size, coordinates), _SETS
     ), "sets")
