@@ -25,6 +25,7 @@ from portage.session import shared_dir
 from portage.sources import files, manifest, tables
 from portage.sources.tables import TableAccess
 from portage.streaming import ingest
+from portage.streaming.ledger import Ledger, ingest_new_files
 
 RUN_TS = datetime(2024, 2, 1, 12, 30, 30)
 RUN_ID = "run-3"
@@ -860,3 +861,18 @@ def incremental_database(spark, sf_dir):
             stream = ingest.read_new_files(spark, f"{work}/landing/*.csv", events.schema)
             ingest.ingest_available_to_database(stream, WAREHOUSE, f"{database}.events", f"{work}/checkpoint")
     return spark.table(f"{database}.events")
+
+
+@check("""
+SELECT *, CAST(0 AS BIGINT) AS batch FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT *, 1 FROM events WHERE event_id % 3 = 1 UNION ALL SELECT *, 2 FROM events WHERE event_id % 3 = 2
+""")
+def incremental_ledger(spark, sf_dir):
+    """Three runs: a file, one whose stamp is older, and the first one replaced by other rows; each run twice."""
+    events, work, database = table(spark, sf_dir, "events"), shared_dir(spark, "ingest"), new_database(spark)
+    for third, day in enumerate(("20240131", "20240101", "20240131")):
+        file_sinks.write_delimited(events.where(f"event_id % 3 = {third}"), f"{work}/landing/events_{day}.csv")
+        for _ in range(2):
+            ingest_new_files(
+                Ledger(spark, f"{work}/ledger"), f"{work}/landing", "events_yyyymmdd.csv", events.schema, f"{database}.events")
+    return spark.table(f"{database}.events")
