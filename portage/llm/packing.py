@@ -170,15 +170,18 @@ def pack_documents(
     vocabulary file must exist at ``ranks_path`` on the executors. Other columns are not read.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, text_key long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+    columns = "start long, length long, ids_crc32 long, doc_tokens long"
     pieces = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        lambda batches: cut_pieces(batches, ranks_path, pattern, added or {}, capacity, end_id, with_ids), schema
+        lambda batches: cut_pieces(batches, ranks_path, pattern, added or {}, capacity, end_id, with_ids),
+        f"doc_id {id_type}, text_key long, {columns}, ids binary",
     )
-    pieces = stored(pieces, "pieces")
+    pieces = stored(pieces.withColumn("piece_key", F.monotonically_increasing_id()), "pieces")
     groups = -(-pieces.where("start = 0").count() // group_documents) or 1
-    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(groups)))
-    packed = pieces.groupBy("group").applyInArrow(
-        lambda table: pack_group(table, capacity),
-        f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long",
+    # Ids stay behind: a group is packed by lengths alone.
+    small = pieces.drop("ids").withColumn("group", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(groups)))
+    packed = small.groupBy("group").applyInArrow(
+        lambda table: pack_group(table, capacity), f"doc_id {id_type}, {columns}, piece_key long, sequence_id long, offset long",
     )
-    return packed if with_ids else packed.drop("ids")
+    if with_ids:
+        packed = packed.join(pieces.select("piece_key", "ids").hint("merge"), "piece_key")
+    return packed.drop("piece_key")
