@@ -228,7 +228,8 @@ def benchmark_matches(index: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
     ``slop`` None gives exact phrases. A number gives proximity: all terms of a window, in any order, within its length
     plus ``slop`` words. Items that are null or have no words match nothing; items of equal text all match. Item ids are
-    text. The benchmark's items are dealt to blocks by a hash of their id.
+    text. The benchmark's items are dealt to blocks by a hash of their id. With more than one block, each block's matches
+    are stored before the next is fetched, so the driver holds one block at a time.
     """
     id_type = index.schema["doc_ids"].dataType.elementType.simpleString()
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
@@ -243,9 +244,10 @@ def benchmark_matches(index: DataFrame, benchmark: DataFrame, width: int = WIDTH
             lambda batches, tests=tests, every=block == 0: search_segments(batches, tests, slop, every),
             _FOUND.format(id=id_type),
         )
+        if blocks == 1:
+            return some
+        some = stored(some, "matches")
         found = some if found is None else found.union(some)
-    if blocks == 1:
-        return found
     return found.groupBy("segment", "ordinal").agg(
         F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
