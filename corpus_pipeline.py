@@ -33,8 +33,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
-    return queries.pack(docs)
+    """Pieces of the documents, with their ids, in sequences of 2048 tokens."""
+    return queries.pack(docs, with_ids=True)
 
 
 STAGES = [
@@ -42,7 +42,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Hashed n-grams and tokenizer ids have no SQL form; tests compare the stages with brute-force versions.
+#: Hashed n-grams and tokenizer ids have no SQL form; tests compare the rows with a plain version of all stages.
 ORACLE_SQL = None
 
 
