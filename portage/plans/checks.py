@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from portage import storage
 from portage.functions import naming, params
-from portage.operators import copying, file_sinks, registry, runlog, table_sinks
+from portage.operators import copying, exact_loads, file_sinks, registry, runlog, table_sinks
 from portage.operators.registry import Registry
 from portage.operators.runlog import RunLog
 from portage.plans import spec
 from portage.plans.runs import run_tasks
 from portage.plans.spec import TaskSpec
 from portage.plans.transfers import TRANSFERS, RunContext
-from portage.session import shared_dir
+from portage.session import shared_dir, stored
 from portage.sources import files, manifest, tables
 from portage.sources.tables import TableAccess
 from portage.streaming import ingest
@@ -434,6 +434,20 @@ def table_truncate(spark, sf_dir):
     return spark.table(f"{database}.orders")
 
 
+@check("SELECT * FROM orders")
+def table_load_once(spark, sf_dir):
+    """A load whose first part was written by two attempts, and which is called again when it is done."""
+    orders, target = table(spark, sf_dir, "orders"), f"{new_database(spark)}.orders"
+    orders.limit(0).write.saveAsTable(target)
+    load = exact_loads.ExactLoad(spark, WAREHOUSE, target, "2024-01-31")
+    load.stage(orders.repartition(4))
+    twice = stored(spark.table(load.staging).where("part = 0"), "attempt")
+    table_sinks.load_table(twice.withColumn("attempt", F.col("attempt") + 1_000_000), WAREHOUSE, load.staging)
+    load.finish()
+    exact_loads.load_exactly_once(orders, WAREHOUSE, target, "2024-01-31")
+    return spark.table(target)
+
+
 # Copies --------------------------------------------------------------------------------------------------------------
 
 
