@@ -7,8 +7,8 @@ the shares of all documents: the target is counted in trusted ones, the raw corp
 sample of it. An n-gram without labels has the same share in both, and so a ratio of 1, however often it occurs; a language
 or source with few labels is not rejected for that.
 
-Texts are split once. Each document's counts and buckets are stored, and only these are joined with labels and ratios, by
-sorting at every size.
+Texts are split once. Each document's counts and the buckets of its words are stored, and only these are joined with labels
+and ratios, by sorting at every size. A pair's bucket is a hash of its words' buckets, so pairs need not be stored.
 """
 
 from __future__ import annotations
@@ -42,11 +42,20 @@ def _windows(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """row_key, doc_id, text_key, the five counts and the buckets of each whole text; a null text counts as empty.
+def _bucket(hashed: Column) -> Column:
+    """Bucket of a hash, less half their number, so that it is a 16-bit value."""
+    return (F.pmod(hashed, F.lit(BUCKETS)) - F.lit(BUCKETS // 2)).cast("smallint")
 
-    Buckets are stored less half their number, as 16-bit values: one for each word and each pair of neighbours.
-    """
+
+def gram_buckets(words: Column) -> Column:
+    """Buckets of the words and of each pair of neighbours, from the words' buckets."""
+    starts = F.sequence(F.lit(0), F.size(words) - F.lit(2))
+    pairs = F.transform(starts, lambda i: _bucket(F.xxhash64(F.get(words, i), F.get(words, i + 1))))
+    return F.when(F.size(words) >= 2, F.concat(words, pairs)).otherwise(words)
+
+
+def with_counts(docs: DataFrame) -> DataFrame:
+    """row_key, doc_id, text_key, the five counts and the words' buckets of each whole text; a null text counts as empty."""
     text = F.coalesce("text", F.lit(""))
     with_word = F.filter(F.split(text, "\n"), lambda line: line.rlike("[^ \\t-\\r]"))
     key = F.monotonically_increasing_id().alias("row_key")
@@ -55,8 +64,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
         F.char_length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).alias("n_symbols"),
     )
     windows = first.withColumn("windows", _windows(F.col("words"), WINDOW))
-    grams = F.concat(F.transform("words", lambda word: F.xxhash64(word)), _windows(F.col("words"), 2))
-    buckets = F.transform(grams, lambda gram: (F.pmod(gram, F.lit(BUCKETS)) - F.lit(BUCKETS // 2)).cast("smallint"))
+    buckets = F.transform("words", lambda word: _bucket(F.xxhash64(word)))
     # Only texts in which a window repeats are sorted.
     ordered = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -89,10 +97,10 @@ def bucket_counts(counted: DataFrame, labels: DataFrame) -> DataFrame:
     rows with a doc_id meet the labels, so null ids do not meet in one task.
     """
     zero = F.lit(0).cast("long")
-    every = counted.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
+    every = counted.select(F.explode(gram_buckets(F.col("buckets"))).alias("bucket")).groupBy("bucket").agg(
         F.count("*").alias("every"), zero.alias("raw"), zero.alias("target"))
     marked = counted.select("doc_id", "buckets").join(label_marks(labels).hint("merge"), "doc_id")
-    labelled = marked.select("trusted", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
+    labelled = marked.select("trusted", F.explode(gram_buckets(F.col("buckets"))).alias("bucket")).groupBy("bucket").agg(
         zero.alias("every"), F.count("*").alias("raw"), F.sum("trusted").alias("target"))
     names = ("every", "raw", "target")
     return every.union(labelled).groupBy("bucket").agg(*(F.sum(name).alias(name) for name in names))
@@ -122,7 +130,7 @@ def judge_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     counted = scratch.stored(with_counts(docs), "counted")
     ratios = F.broadcast(bucket_ratios(scratch.stored(bucket_counts(counted, labels), "buckets")))
     row = ["row_key", "doc_id", "text_key", *_BASE]
-    scored = counted.select(*row, F.explode_outer("buckets").alias("bucket")).join(ratios, "bucket", "left")
+    scored = counted.select(*row, F.explode_outer(gram_buckets(F.col("buckets"))).alias("bucket")).join(ratios, "bucket", "left")
     scored = scored.groupBy(*row).agg(F.avg("ratio").alias("llr"))
     repeated = F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT
     failed = (F.col("n_words") < MIN_WORDS) | repeated

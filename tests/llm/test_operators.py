@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -324,7 +325,9 @@ def _ratios(docs, trusted, labelled):
     grams, counts = [], {"every": {}, "raw": {}, "target": {}}
     for i, text in docs:
         w = words(text)
-        grams.append([_xx(a) % quality_rules.BUCKETS for a in w] + [_xx(a, b) % quality_rules.BUCKETS for a, b in zip(w, w[1:])])
+        own = [_xx(a) % 2**16 - 2**15 for a in w]
+        pairs = [_xx(struct.pack("<i", a), struct.pack("<i", b)) % 2**16 - 2**15 for a, b in zip(own, own[1:])]
+        grams.append(own + pairs)
         for name, counted in (("every", True), ("raw", i in labelled), ("target", i in trusted)):
             for gram in grams[-1] if counted else ():
                 counts[name][gram] = counts[name].get(gram, 0) + 1
