@@ -4,6 +4,10 @@ A window is ``width`` consecutive words. Consecutive windows whose smallest ``mi
 packed string to the bucket of that minimiser, so equal windows meet in one bucket while most words travel about three
 times instead of ``width`` times. There, sorting brings equal windows together. Copies within one chunk are settled
 before the shuffle, so a passage in a third of all documents sends one string per chunk.
+
+Grams that a bounded sample of the documents holds very often come last in the order of minimisers: a window takes one only
+if all its grams are such. So the windows around a common phrase, which differ by what stands beside it, go to the buckets
+of their rarer grams and not all to one.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from portage.llm import words as W
-from portage.llm.scratch import input_bytes
+from portage.llm.scratch import input_bytes, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -30,6 +34,10 @@ MINIMISER = 4
 BUCKET_INPUT_BYTES = 4 << 20
 #: Also used where the planner knows no size.
 MOST_BUCKETS = 1 << 20
+#: Estimated bytes of the sample, and the share of its grams from which a gram is common. Both set sizes of buckets only.
+SAMPLE_BYTES = 16 << 20
+COMMON_SHARE = 1 / 4096
+_UNKNOWN = 1 << 60
 _RUNS, _COVERS = 0, 1
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("packed", pa.binary())])
 _COVER = pa.schema([("doc_key", pa.int64()), ("text_key", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -93,7 +101,41 @@ def _place_numbers(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate(([0], (np.diff(doc) != 0) | (np.diff(start) != 0))))
 
 
-def _runs_of_chunk(part: pa.RecordBatch, texts: list, width: int, minimiser: int, buckets: int):
+def count_grams(batches: Iterator[pa.RecordBatch], minimiser: int) -> Iterator[pa.RecordBatch]:
+    """gram and its number for those that are common in a chunk of text, or nearly; and with a null gram, all of them."""
+    for _, texts in W.chunks(batches):
+        w = W.Words(texts)
+        grams, counts = np.unique(W.window_hashes(w.hashes(), minimiser), return_counts=True)
+        total = int(counts.sum())
+        often = counts >= max(2, total * COMMON_SHARE / 4)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None, *grams[often].view(np.int64).tolist()], pa.int64()), pa.array([total, *counts[often].tolist()], pa.int64())],
+            names=["gram", "n"],
+        )
+
+
+def common_grams(docs: DataFrame, minimiser: int = MINIMISER) -> np.ndarray:
+    """Sorted hashes of the grams that have at least ``COMMON_SHARE`` of all in a sample; ``1 / COMMON_SHARE`` at most."""
+    size = input_bytes(docs)
+    if size >= _UNKNOWN:  # the planner knows no size
+        size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 1
+    part = docs.select("text").sample(fraction=min(1.0, SAMPLE_BYTES / max(size, 1)), seed=1)
+    counted = part.mapInArrow(lambda batches: count_grams(batches, minimiser), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "grams")
+    total = counted.where("gram IS NULL").agg(F.sum("n")).first()[0] or 0
+    often = counted.where(F.col("gram").isNotNull() & (F.col("n") >= max(total * COMMON_SHARE, 2)))
+    return np.sort(np.array([row["gram"] for row in often.collect()], np.int64).view(np.uint64))
+
+
+def _order_of_grams(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Numbers by which the minimiser is chosen: common grams have the highest bit, others come first."""
+    there = np.zeros(len(grams), np.uint64)
+    if len(common):
+        there[common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] == grams] = 1
+    return (grams >> np.uint64(1)) | (there << np.uint64(63))
+
+
+def _runs_of_chunk(part: pa.RecordBatch, texts: list, width: int, minimiser: int, buckets: int, common: np.ndarray):
     doc_key = part.column("doc_key").to_numpy()
     by_doc = np.argsort(doc_key, kind="stable")
     doc_key, text_key = doc_key[by_doc], part.column("text_key").to_numpy()[by_doc]
@@ -104,7 +146,7 @@ def _runs_of_chunk(part: pa.RecordBatch, texts: list, width: int, minimiser: int
     at = np.flatnonzero(w.text_of[:len(w) - width + 1] == w.text_of[width - 1:])
     if not len(at):
         return
-    least = W.sliding_min(W.window_hashes(hashes, minimiser), width - minimiser + 1)[at]
+    least = W.sliding_min(_order_of_grams(W.window_hashes(hashes, minimiser), common), width - minimiser + 1)[at]
     text_of = w.text_of[at]
     doc, start = doc_key[text_of], at - w.first[text_of]
     # repeated rows of one document interleave; order by place
@@ -142,9 +184,9 @@ def _runs_of_chunk(part: pa.RecordBatch, texts: list, width: int, minimiser: int
         yield int(bucket[a]), _RUNS, _pack([doc[a:b], text[a:b], start[a:b], sizes[a:b]], b"".join(strings[a:b]))
 
 
-def pack_super_kmers(batches: Iterator[pa.RecordBatch], width: int, minimiser: int, buckets: int):
+def pack_super_kmers(batches: Iterator[pa.RecordBatch], width: int, minimiser: int, buckets: int, common: np.ndarray):
     for part, texts in W.chunks(batches):
-        rows = list(_runs_of_chunk(part, texts, width, minimiser, buckets))
+        rows = list(_runs_of_chunk(part, texts, width, minimiser, buckets, common))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED)], schema=_PACKED)
 
@@ -238,8 +280,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame, width: int = WIDTH, minimiser: int = MINIMISER) -> DataFrame:
     """doc_key, text_key, start, end: word ranges under windows that start earlier elsewhere; ranges may overlap."""
     buckets = min(max(16, -(-input_bytes(docs) // BUCKET_INPUT_BYTES)), MOST_BUCKETS)
+    common = common_grams(docs, minimiser)
     packed = _keyed(docs).select("doc_key", "text_key", "text").mapInArrow(
-        lambda batches: pack_super_kmers(batches, width, minimiser, buckets), "bucket int, kind byte, packed binary"
+        lambda batches: pack_super_kmers(batches, width, minimiser, buckets, common), "bucket int, kind byte, packed binary"
     )
     return packed.groupBy("bucket").applyInArrow(
         lambda table: covers_of_bucket(table, width), "doc_key long, text_key long, start long, end long"
@@ -251,7 +294,7 @@ def drop_repeated_passages(docs: DataFrame, width: int = WIDTH, minimiser: int =
 
     A word goes if a window over it also starts earlier: at a smaller doc_id (null is smallest) or further ahead in the
     same document. Repeated rows of one document share their places, so none is earlier than the other and all keep
-    what the document keeps. Null or empty texts have no words; texts under ``width`` words have no window. Other
+    what the document keeps. A doc_id of text has to hold a whole number. Null or empty texts have no words; texts under ``width`` words have no window. Other
     columns are not read, so their names cannot clash.
     """
     covers = repeated_ranges(docs, width, minimiser).groupBy("doc_key", "text_key")

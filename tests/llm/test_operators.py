@@ -78,6 +78,32 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.drop_repeated_passages(empty).count() == 0
 
 
+def test_a_common_phrase_does_not_fill_one_bucket(spark):
+    """One phrase in every text, with ever different words beside it, whose grams have the smallest hashes."""
+    draw, grams = random.Random(1), substring_dedup.W.window_hashes
+    own = [f"x{i}" for i in range(4000)]
+    candidates = [[draw.choice(own) for _ in range(4)] for _ in range(20000)]
+    hashes = grams(substring_dedup.W.Words([" ".join(c).encode() for c in candidates]).hashes(), 4)[::4]
+    phrase = candidates[int(np.argmin(hashes))]
+    rows = [(i, i, " ".join(draw.choice(own) for _ in range(12)) + " " + " ".join(phrase) + " " + " ".join(draw.choice(own) for _ in range(12)))
+            for i in range(1500)]
+    docs = spark.createDataFrame([(i, text) for i, _, text in rows], "doc_id long, text string")
+    common = substring_dedup.common_grams(docs)
+    assert 1 <= len(common) <= 4096
+    batch = substring_dedup.pa.record_batch({"doc_key": [r[0] for r in rows], "text_key": [r[1] for r in rows], "text": [r[2] for r in rows]})
+
+    def largest(common):
+        (packed,) = substring_dedup.pack_super_kmers(iter([batch]), 20, 4, 64, common)
+        sizes = {}
+        for bucket, data in zip(packed["bucket"].to_pylist(), packed["packed"].to_pylist()):
+            sizes[bucket] = sizes.get(bucket, 0) + len(substring_dedup._unpack(data, 4)[1])
+        return max(sizes.values()) / sum(sizes.values())
+
+    assert largest(np.zeros(0, np.uint64)) > 0.8 and largest(common) < 0.1
+    result = substring_dedup.drop_repeated_passages(docs.union(docs.where("doc_id = 7").selectExpr("9999", "text")))
+    assert [r.doc_id for r in result.where("n_removed > 0").collect()] == [9999]
+
+
 def test_equal_hashes_of_different_windows_are_settled_by_words():
     w = substring_dedup.W.Words([b"a b c", b"a b d", b"a b c"])
     flags, unsettled = substring_dedup._with_earlier_copy(w, np.array([0, 3, 6]), np.arange(3), np.zeros(3, np.uint64), 3)
