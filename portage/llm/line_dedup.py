@@ -176,7 +176,8 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     Lines end at a line feed and are equal if their words are; blank lines are not counted, compared or removed. A line
     goes if a run of lines around it, with at least ``min_words`` words, also stands at a smaller doc_id (null is
     smallest) or further ahead in the same document. Runs are judged on the input. Rows that repeat a document share
-    their places, so neither is a copy of the other. A null text stays null. Other columns are not read.
+    their places, so neither is a copy of the other. A null text stays null. Other columns are not read. A doc_id of
+    text has to hold a whole number.
     """
     narrow = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -207,7 +207,8 @@ def near_duplicates(
     smallest doc_id that links reach, and only that document is kept. Texts that are null or have no words have empty
     sets and are linked with nothing. A null doc_id counts as the largest, and its component_id is null where nothing
     smaller is reached. Rows that repeat a doc_id are one document, linked by any of its texts; all of them are kept or
-    none. Other columns are not read.
+    none. Other columns are not read. A doc_id of
+    text has to hold a whole number.
     """
     scratch = Scratch(docs.sparkSession)
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_key"), "text")

@@ -76,7 +76,8 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
 
     Of equal payloads of at least 1000 bytes, the page with the largest page_id is a response, the others revisit it.
     Null html is an empty payload, a null page_id an empty id and smaller than any other. Equal rows of one page become
-    equal records. Payloads travel to the row that stores them in one shuffle by (page_id, sha256).
+    equal records, and records of one page_id share their WARC-Record-ID. In addresses, line ends become spaces and null
+    becomes empty; payloads come back as they were. Payloads travel to the row that stores them in one shuffle by (page_id, sha256).
     """
     spark = pages.sparkSession
     plan_path = f"{path}/plan"
