@@ -40,8 +40,8 @@ def write_delimited(
 ) -> Published:
     """Delimited text under an exact path, replacing what is there."""
 
-    def write(rows: DataFrame, path: str) -> None:
-        rows.write.options(header=header, delimiter=delimiter, **{**LOSSLESS, **options}).mode("overwrite").csv(path)
+    def write(rows: DataFrame, path: str, mode: str) -> None:
+        rows.write.options(header=header, delimiter=delimiter, **{**LOSSLESS, **options}).mode(mode).csv(path)
 
     def recount(path: str) -> int:
         return df.sparkSession.read.schema(df.schema).options(header=header, delimiter=delimiter, **options).csv(path).count()
@@ -60,14 +60,14 @@ def write_raw(
 def write_parquet(df: DataFrame, target: str, layout: str = PARTS) -> Published:
     """Parquet under an exact path, replacing what is there."""
 
-    def write(rows: DataFrame, path: str) -> None:
-        rows.write.mode("overwrite").parquet(path)
+    def write(rows: DataFrame, path: str, mode: str) -> None:
+        rows.write.mode(mode).parquet(path)
 
     return _publish(df, target, write, layout, lambda path: footer_rows(df, path), footers=True)
 
 
 def _publish(
-    df: DataFrame, target: str, write: Callable[[DataFrame, str], None], layout: str, recount: Callable[[str], int],
+    df: DataFrame, target: str, write: Callable[[DataFrame, str, str], None], layout: str, recount: Callable[[str], int],
     footers: bool = False,
 ) -> Published:
     """Write beside the target, then put the result in its place; a failed write leaves the old result.
@@ -75,7 +75,8 @@ def _publish(
     Rows are counted by ``recount`` in the result if its files have them in ``footers``, or if the count that was observed
     while writing does not come.
 
-    Where a rename copies all bytes, parts go straight to their final folder instead: there the old result goes first.
+    Where a rename copies all bytes, parts go straight to their final folder instead, whose old parts go when the new ones
+    are committed; for that moment both are there.
     """
     if layout not in (PARTS, FILE):
         raise ValueError(f"layout is {PARTS} or {FILE}, not {layout!r}")
@@ -83,11 +84,17 @@ def _publish(
     target = storage.qualify(spark, target)
     token = uuid.uuid4().hex
     in_place = layout == PARTS and storage.scheme(target) in storage.RENAME_COPIES
+    old_parts = []
+    if in_place and storage.is_directory(spark, target):
+        old_parts = storage.glob_names(spark, storage.join(storage.glob_escape(target), "*"))
     written = target if in_place else storage.join(storage.parent(target), f"_staging_{token}")
     placed = df.coalesce(1) if layout == FILE else df
     counted = None if footers else RowCount(placed)
     try:
-        write(placed if footers else counted.df, written)
+        write(placed if footers else counted.df, written, "append" if old_parts else "overwrite")
+        for name in old_parts:
+            if name != "_SUCCESS":
+                storage.delete(spark, storage.join(written, name))
         if layout == FILE:
             part = storage.glob_one(spark, storage.join(storage.glob_escape(written), "part-*"))
             _replace(spark, part, target, token)

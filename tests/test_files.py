@@ -70,6 +70,20 @@ def test_parts_written_in_place_where_a_rename_would_copy(spark, tmp_path, monke
     assert os.path.isfile(tmp_path / "n.csv")
 
 
+def test_failed_write_in_place_keeps_the_old_parts(spark, tmp_path, monkeypatch):
+    """Where a rename would copy, too: what a failed write leaves is not read, and the next one replaces the old parts."""
+    monkeypatch.setattr(file_sinks.storage, "RENAME_COPIES", frozenset({"file"}))
+    broken = spark.range(0, 500, 1, 4).select(F.when(F.col("id") == 499, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
+    for write, read in ((file_sinks.write_delimited, files.scan_delimited), (file_sinks.write_parquet, files.scan_parquet)):
+        path = f"{tmp_path}/n.{'csv' if write is file_sinks.write_delimited else 'parquet'}"
+        assert write(spark.range(40).repartition(4), path).rows == 40
+        with pytest.raises(Exception):
+            write(broken, path)
+        assert read(spark, path).count() == 40
+        assert write(spark.range(7).repartition(2), path).rows == 7
+        assert sorted(r[0] for r in read(spark, path).collect()) == list(range(7))
+
+
 def test_no_rows(spark, tmp_path):
     published = file_sinks.write_delimited(spark.range(10).where("id < 0"), f"{tmp_path}/none.csv", layout="file")
     assert published.rows == 0
