@@ -26,11 +26,14 @@ def test_landing_lines_with_more_values_are_refused(spark, tmp_path):
         files.scan_raw(spark, path, header=True).collect()
 
 
-def test_columns_in_another_order_are_refused_with_a_schema(spark, tmp_path):
+def test_columns_in_another_order_are_never_misplaced(spark, tmp_path):
+    """A directory is read by its header lines; one file with a schema in another order, or a stream, is refused."""
     put(tmp_path / "in" / "x.csv", "a,b\n1,2\n")
     put(tmp_path / "in" / "y.csv", "b,a\n2,1\n")
+    rows = files.scan_file(spark, str(tmp_path / "in"), schema="a int, b int").df.collect()
+    assert [(row.a, row.b) for row in rows] == [(1, 2), (1, 2)]
     with pytest.raises(Exception, match="(?i)header"):
-        files.scan_file(spark, str(tmp_path / "in"), schema="a int, b int").df.collect()
+        files.scan_file(spark, str(tmp_path / "in" / "y.csv"), schema="a int, b int").df.collect()
     stream = ingest.read_new_files(spark, f"{tmp_path}/in/*.csv", "a int, b int")
     with pytest.raises(Exception, match="(?i)header|FAILED_READ_FILE"):
         ingest.ingest_available(stream, "strict_order", f"{tmp_path}/checkpoint")
