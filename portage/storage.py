@@ -48,15 +48,6 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
-def total_bytes(spark: SparkSession, path: str) -> int:
-    hadoop_path, fs = _handles(spark, path)
-    return fs.getContentSummary(hadoop_path).getLength()
-
-
-def glob_count(spark: SparkSession, pattern: str) -> int:
-    return len(_glob(spark, pattern))
-
-
 def glob_one(spark: SparkSession, pattern: str) -> str:
     """The path that a pattern with a single match stands for."""
     found = _glob(spark, pattern)
