@@ -24,6 +24,8 @@ from portage.llm.scratch import stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 10
+#: Words that a proximity match may have between those of its window.
+SLOP = 2
 #: Bytes of test items that go to the tasks at once.
 BLOCK_BYTES = 2 << 20
 _INDEX = (
@@ -31,7 +33,8 @@ _INDEX = (
     "term_keys array<long>, terms array<string>, counts array<int>, gaps array<int>"
 )
 _SPANS = "array<struct<item_id: string, start: bigint, end: bigint>>"
-_FOUND = "segment string, ordinal int, doc_id {id}, n_words long, spans " + _SPANS
+_FOUND = "segment string, ordinal int, doc_id {id}, n_words long, spans " + _SPANS + ", phrases " + _SPANS
+_SPAN_LIST = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 # Index ---------------------------------------------------------------------------------------------------------------
@@ -161,6 +164,8 @@ def proximity_spans(segment: _Segment, window: list[int], reach: int) -> list[tu
         other = segment.positions(term)
         near = np.searchsorted(other, rarest - reach + 1) < np.searchsorted(other, rarest + reach - 1, side="right")
         rarest = rarest[near]
+        if not len(rarest):
+            return []
     spans = set()
     for position in rarest.tolist():
         lo, hi = position - reach + 1, position + reach - 1
@@ -182,36 +187,44 @@ def proximity_spans(segment: _Segment, window: list[int], reach: int) -> list[tu
 
 
 def search_segments(
-    batches: Iterator[pa.RecordBatch], tests: TestWindows, slop: int | None, all_documents: bool
+    batches: Iterator[pa.RecordBatch], tests: TestWindows, slop: int | None, phrases: bool, all_documents: bool
 ) -> Iterator[pa.RecordBatch]:
-    """For each document its number of words and the spans (in words) that test items' windows match."""
+    """For each document its number of words and the spans (in words) that test items' windows match.
+
+    With a ``slop`` these are proximity matches, which hold every exact one; ``phrases`` asks for the exact ones as well.
+    """
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
             segment = _Segment(row, tests)
             spans: list[list[dict]] = [[] for _ in range(len(segment.doc_ids))]
+            exact: list[list[dict]] = [[] for _ in range(len(segment.doc_ids))]
             for number in segment.complete(tests).tolist():
                 length = int(tests.lengths[number])
-                window = tests.windows[number, :length].tolist()
-                if slop is None:
+                window, items = tests.windows[number, :length].tolist(), tests.items[number]
+                if slop is None or phrases:
                     found = [(s, s + length) for s in phrase_starts(segment, window).tolist()]
-                else:
-                    found = proximity_spans(segment, window, length + slop)
-                for start, end in found:
-                    doc = int(segment.doc_of(np.array([start]))[0])
-                    base = int(segment.first[doc])
-                    spans[doc] += [{"item_id": item, "start": start - base, "end": end - base} for item in tests.items[number]]
+                    _add(spans if slop is None else exact, segment, found, items)
+                if slop is not None:
+                    _add(spans, segment, proximity_spans(segment, window, length + slop), items)
             keep = [d for d in range(len(spans)) if all_documents or spans[d]]
             sizes = np.diff(segment.first)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row.column("segment").to_pylist() * len(keep), pa.string()), pa.array(keep, pa.int32()),
                  segment.doc_ids.take(pa.array(keep, pa.int64())), pa.array(sizes[keep], pa.int64()),
-                 pa.array([_joined(spans[d]) for d in keep], pa.list_(pa.struct(
-                     [("item_id", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))],
-                names=["segment", "ordinal", "doc_id", "n_words", "spans"],
+                 pa.array([_joined(spans[d]) for d in keep], _SPAN_LIST),
+                 pa.array([_joined(exact[d]) for d in keep], _SPAN_LIST)],
+                names=["segment", "ordinal", "doc_id", "n_words", "spans", "phrases"],
             )
 
 
+def _add(spans: list[list[dict]], segment: _Segment, found: list[tuple[int, int]], items: list[str]) -> None:
+    for start, end in found:
+        doc = int(segment.doc_of(np.array([start]))[0])
+        base = int(segment.first[doc])
+        spans[doc] += [{"item_id": item, "start": start - base, "end": end - base} for item in items]
+
+
 def _joined(spans: list[dict]) -> list[dict]:
     """Overlapping or touching spans of one item as one."""
     out: list[dict] = []
@@ -223,11 +236,14 @@ def _joined(spans: list[dict]) -> list[dict]:
     return out
 
 
-def benchmark_matches(index: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int | None = None) -> DataFrame:
-    """segment, ordinal, doc_id, n_words and spans (item_id, start, end in words) for every document of the index.
+def benchmark_matches(
+    index: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int | None = None, phrases: bool = False
+) -> DataFrame:
+    """segment, ordinal, doc_id, n_words, spans and phrases (item_id, start, end in words) for every document of the index.
 
-    ``slop`` None gives exact phrases. A number gives proximity: all terms of a window, in any order, within its length
-    plus ``slop`` words. Items that are null or have no words match nothing; items of equal text all match. Item ids are
+    ``slop`` None gives exact phrases as ``spans``. A number gives proximity: all distinct terms of a window, in any order,
+    within its length plus ``slop`` words of one document; the exact ones among them are in ``phrases`` if that is asked,
+    which is empty otherwise. Items that are null or have no words match nothing; items of equal text all match. Item ids are
     text. The benchmark's items are dealt to blocks by a hash of their id. With more than one block, each block's matches
     are stored before the next is fetched, so the driver holds one block at a time.
     """
@@ -241,7 +257,7 @@ def benchmark_matches(index: DataFrame, benchmark: DataFrame, width: int = WIDTH
         texts = own.select("item_id", F.col("text").cast("binary")).collect()
         tests = test_windows([(r[0], bytes(r[1]) if r[1] is not None else None) for r in texts], width)
         some = index.mapInArrow(
-            lambda batches, tests=tests, every=block == 0: search_segments(batches, tests, slop, every),
+            lambda batches, tests=tests, every=block == 0: search_segments(batches, tests, slop, phrases, every),
             _FOUND.format(id=id_type),
         )
         if blocks == 1:
@@ -250,7 +266,7 @@ def benchmark_matches(index: DataFrame, benchmark: DataFrame, width: int = WIDTH
         found = some if found is None else found.union(some)
     return found.groupBy("segment", "ordinal").agg(
         F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("phrases")).alias("phrases"),
     )
 
 
@@ -267,17 +283,28 @@ def words_under(spans: Column) -> Column:
     ), lambda done: done["n"])
 
 
-def contaminated_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids), spans and contaminated for every document.
+def _items(spans: str) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(spans, lambda s: s["item_id"])))
+
+
+def contaminated_documents(
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int | None = None
+) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted ids), spans, contaminated, near_items and near for every document.
 
     Words are lower-cased letters, digits and characters beyond ASCII. A word is hit inside any exact occurrence of
-    ``width`` consecutive item words. Null and empty texts have no words; repeated rows are reported each.
+    ``width`` consecutive item words; ``contaminated`` goes by these alone. ``near_items`` and ``near`` are proximity
+    matches of ``slop`` (empty without one), which every exact match is too. Null and empty texts have no words;
+    repeated rows are reported each.
     """
-    found = benchmark_matches(build_index(docs), benchmark, width)
-    items = F.sort_array(F.array_distinct(F.transform("spans", lambda s: s["item_id"])))
-    return found.select("doc_id", "n_words", words_under(F.col("spans")).alias("n_hit"), items.alias("items"), "spans").select(
+    found = benchmark_matches(build_index(docs), benchmark, width, slop, phrases=slop is not None)
+    exact, near = ("spans", "phrases") if slop is None else ("phrases", "spans")
+    return found.select(
+        "doc_id", "n_words", words_under(F.col(exact)).alias("n_hit"), _items(exact).alias("items"),
+        F.col(exact).alias("spans"), _items(near).alias("near_items"), F.col(near).alias("near"),
+    ).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", "spans",
-        (F.col("n_hit") > 0).alias("contaminated"),
+        (F.col("n_hit") > 0).alias("contaminated"), "near_items", "near",
     )
 
 

@@ -22,9 +22,12 @@ def op1_quality_classifier(spark, sf_dir):
 
 
 def op2_decontamination(spark, sf_dir):
-    found = decontamination.contaminated_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+    found = decontamination.contaminated_documents(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=decontamination.SLOP)
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"), F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"),
+    )
 
 
 def op3_sharding(spark, sf_dir):
@@ -125,10 +128,21 @@ ORACLE_SQL = {
         hit AS (SELECT r, s, n, item_id FROM place JOIN item_window USING (phrase, n)),
         word AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) GROUP BY r),
         held AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
-            FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+            FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r),
+        spot AS (SELECT r, s, w[s] AS t FROM doc, unnest(range(1, len(w) + 1)) AS t(s)),
+        often AS (SELECT t, count(*) AS c FROM spot GROUP BY t),
+        bag AS (SELECT DISTINCT item_id, n + 2 AS reach, list_sort(list_distinct(string_split(phrase, ' '))) AS terms FROM item_window),
+        rare AS (SELECT item_id, reach, terms, t FROM (SELECT *, unnest(terms) AS t FROM bag) JOIN often USING (t)
+            QUALIFY row_number() OVER (PARTITION BY item_id, reach, terms ORDER BY c, t) = 1),
+        close AS (SELECT r, s, w, item_id, reach, terms FROM rare JOIN spot USING (t) JOIN doc USING (r)
+            WHERE list_has_all(w[greatest(1, s - reach + 1):s + reach - 1], terms)),
+        around AS (SELECT r, count(*) AS n_near, string_agg(item_id, ',' ORDER BY item_id) AS near FROM (
+            SELECT DISTINCT r, item_id FROM close, unnest(range(greatest(1, s - reach + 1), s + 1)) AS t(a)
+            WHERE list_has_all(w[a:a + reach - 1], terms)) GROUP BY r)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM doc LEFT JOIN word USING (r) LEFT JOIN held USING (r)""",
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+            coalesce(n_near, 0) AS n_near_items, sha256(coalesce(near, '')) AS near_sha256
+        FROM doc LEFT JOIN word USING (r) LEFT JOIN held USING (r) LEFT JOIN around USING (r)""",
     "op4_substring_dedup": rf"""
         WITH doc AS (SELECT doc_id, {_SQL_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
         place AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS phrase

@@ -198,6 +198,32 @@ def test_proximity_matches(spark):
     assert {row.doc_id: [(s.start, s.end) for s in row.spans] for row in found.collect()} == {1: [(1, 5)], 2: []}
 
 
+def test_items_near_a_document(spark, docs, empty):
+    items = [(1, "alpha beta"), (2, " ".join(PASSAGE.split()[5:30])), (3, None), (4, "..."), (5, "b a c a"), (5, "alpha beta"),
+             (6, " ".join(reversed(PASSAGE.split()[5:15])))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(901, "beta x y alpha"), (902, "beta x y z alpha"), (903, "c d b a"), (903, "c d b a"), (904, None), (905, "alpha beta")]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(texts, "doc_id long, text string"))
+    expected = []
+    for i, text in DOCS + texts:
+        w, held = _alnum(text), set()
+        for item, item_text in items:
+            v = _alnum(item_text)
+            for s in range(max(len(v) - 10, 0) + 1 if v else 0):
+                window = v[s:s + 10]
+                for p in range(len(w)):
+                    if set(window) <= set(w[p:p + len(window) + 2]):
+                        held.add(str(item))
+        expected.append((i, sorted(held)))
+    found = decontamination.contaminated_documents(table, benchmark, slop=2)
+    assert collected(found, "doc_id", "near_items") == sorted(expected, key=repr)
+    exact = decontamination.contaminated_documents(table, benchmark)
+    columns = ["doc_id", "n_words", "n_hit", "items", "contaminated"]
+    assert collected(found, *columns) == collected(exact, *columns)
+    assert exact.where("size(near) + size(near_items) > 0").count() == 0
+    assert decontamination.contaminated_documents(empty, benchmark, slop=2).count() == 0
+
+
 def test_sharding(docs, empty):
     sixteen, seventeen = dict.fromkeys(range(16), 1.0), dict.fromkeys(range(17), 1.0)
     rows = sharding.assign_shards(docs, sixteen, seventeen).collect()
