@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ SLOP = 2
 BLOCK_BYTES = 2 << 20
 _INDEX = (
     "segment string, doc_ids array<{id}>, doc_starts array<int>, "
-    "term_keys array<long>, terms array<string>, counts array<int>, gaps array<int>"
+    "terms array<string>, counts array<int>, gaps array<int>"
 )
 _SPANS = "array<struct<item_id: string, start: bigint, end: bigint>>"
 _FOUND = "segment string, ordinal int, doc_id {id}, n_words long, spans " + _SPANS + ", phrases " + _SPANS
@@ -45,18 +46,17 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     partition = TaskContext.get().partitionId()
     for number, (part, texts) in enumerate(W.chunks(batches)):
         w = W.Words(texts, W.LOWER_ALNUM)
-        hashes = w.hashes()
-        order = np.argsort(hashes, kind="stable")
-        keys, heads, counts = np.unique(hashes[order], return_index=True, return_counts=True)
+        coded = w.coded()
+        numbers = coded.indices.to_numpy()
+        order = np.argsort(numbers, kind="stable")
+        counts = np.bincount(numbers, minlength=len(coded.dictionary))
+        heads = np.cumsum(counts) - counts
         gaps = np.diff(order, prepend=0)
         gaps[heads] = order[heads]
-        first = order[heads]
-        terms = [w.raw[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
         yield pa.RecordBatch.from_arrays(
             [pa.array([f"{partition}-{number}"]), _one_list(part.column("doc_id")), _one_list(w.first, pa.int32()),
-             _one_list(keys.view(np.int64)), _one_list(pa.array(terms, pa.binary()).cast(pa.string())),
-             _one_list(counts, pa.int32()), _one_list(gaps, pa.int32())],
-            names=["segment", "doc_ids", "doc_starts", "term_keys", "terms", "counts", "gaps"],
+             _one_list(coded.dictionary.cast(pa.string())), _one_list(counts, pa.int32()), _one_list(gaps, pa.int32())],
+            names=["segment", "doc_ids", "doc_starts", "terms", "counts", "gaps"],
         )
 
 
@@ -80,7 +80,6 @@ class TestWindows:
     """Distinct windows of test items: terms by number (-1 fills up short ones) and the items that hold each."""
 
     terms: list[bytes]
-    keys: np.ndarray
     windows: np.ndarray
     lengths: np.ndarray
     items: list[list[str]]
@@ -89,9 +88,8 @@ class TestWindows:
 def test_windows(items: list[tuple[str, bytes | None]], width: int) -> TestWindows:
     """Each ``width`` consecutive words of an item; an item of fewer words, but not none, is one window."""
     w = W.Words([text for _, text in items], W.LOWER_ALNUM)
-    hashes = w.hashes()
-    keys, first, number = np.unique(hashes, return_index=True, return_inverse=True)
-    terms = [w.raw[w.starts[i]:w.ends[i]] for i in first.tolist()]
+    coded = w.coded()
+    terms, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     holders: dict[tuple, set] = {}
     for (item, _), a, b in zip(items, w.first[:-1].tolist(), w.first[1:].tolist()):
         for start in range(a, max(b - width, a) + 1 if b > a else a):
@@ -100,7 +98,7 @@ def test_windows(items: list[tuple[str, bytes | None]], width: int) -> TestWindo
     for i, window in enumerate(holders):
         windows[i, :len(window)] = window
     lengths = np.array([len(window) for window in holders], np.int32)
-    return TestWindows(terms, keys, windows, lengths, [sorted(held) for held in holders.values()])
+    return TestWindows(terms, windows, lengths, [sorted(held) for held in holders.values()])
 
 
 class _Segment:
@@ -111,21 +109,18 @@ class _Segment:
             return row.column(name).flatten()
 
         self.doc_ids, self.first = flat("doc_ids"), flat("doc_starts").to_numpy()
-        keys, terms = flat("term_keys").to_numpy().view(np.uint64), flat("terms")
         counts = flat("counts").to_numpy().astype(np.int64)
         self.heads = np.concatenate(([0], np.cumsum(counts)))
         self.gaps = flat("gaps").to_numpy()
-        self.at = np.full(len(tests.keys), -1, np.int64)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, tests.keys), len(keys) - 1)
-            for t in np.flatnonzero(keys[at] == tests.keys).tolist():
-                if terms[int(at[t])].as_py().encode() == tests.terms[t]:
-                    self.at[t] = at[t]
+        number = pc.index_in(flat("terms").cast(pa.binary()), value_set=pa.array(tests.terms, pa.binary()))
+        here = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
+        self.at = np.full(len(tests.terms), -1, np.int64)
+        self.at[number.drop_null().to_numpy()] = here
+        sizes = np.zeros(len(tests.terms), np.int64)
+        sizes[self.at >= 0] = counts[self.at[self.at >= 0]]
+        self.size = sizes.tolist()
         self.lists: dict[int, np.ndarray] = {}
 
-    def length(self, term: int) -> int:
-        return int(self.heads[self.at[term] + 1] - self.heads[self.at[term]])
-
     def positions(self, term: int) -> np.ndarray:
         if term not in self.lists:
             n = self.at[term]
@@ -144,12 +139,12 @@ class _Segment:
 def phrase_starts(segment: _Segment, window: list[int]) -> np.ndarray:
     """Positions where the words of ``window`` stand one after the other in one document."""
     starts = None
-    for offset in sorted(range(len(window)), key=lambda i: segment.length(window[i])):
+    for offset in sorted(range(len(window)), key=lambda i: segment.size[window[i]]):
         moved = segment.positions(window[offset]) - offset
         if starts is None:
             starts = moved
         else:
-            at = np.minimum(np.searchsorted(moved, starts), len(moved) - 1)
+            at = np.minimum(moved.searchsorted(starts), len(moved) - 1)
             starts = starts[moved[at] == starts]
         if not len(starts):
             return starts
@@ -158,12 +153,11 @@ def phrase_starts(segment: _Segment, window: list[int]) -> np.ndarray:
 
 def proximity_spans(segment: _Segment, window: list[int], reach: int) -> list[tuple[int, int]]:
     """Shortest ranges of at most ``reach`` words of one document that hold every term of ``window``, in any order."""
-    terms = sorted(set(window), key=segment.length)
+    terms = sorted(set(window), key=segment.size.__getitem__)
     rarest = segment.positions(terms[0])
     for term in terms[1:]:
         other = segment.positions(term)
-        near = np.searchsorted(other, rarest - reach + 1) < np.searchsorted(other, rarest + reach - 1, side="right")
-        rarest = rarest[near]
+        rarest = rarest[other.searchsorted(rarest - reach + 1) < other.searchsorted(rarest + reach - 1, side="right")]
         if not len(rarest):
             return []
     spans = set()
@@ -202,11 +196,14 @@ def search_segments(
             for number in segment.complete(tests).tolist():
                 length = int(tests.lengths[number])
                 window, items = tests.windows[number, :length].tolist(), tests.items[number]
+                if slop is not None:
+                    found = proximity_spans(segment, window, length + slop)
+                    if not found:
+                        continue
+                    _add(spans, segment, found, items)
                 if slop is None or phrases:
                     found = [(s, s + length) for s in phrase_starts(segment, window).tolist()]
                     _add(spans if slop is None else exact, segment, found, items)
-                if slop is not None:
-                    _add(spans, segment, proximity_spans(segment, window, length + slop), items)
             keep = [d for d in range(len(spans)) if all_documents or spans[d]]
             sizes = np.diff(segment.first)
             yield pa.RecordBatch.from_arrays(

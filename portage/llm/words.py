@@ -54,11 +54,15 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def digests(self) -> np.ndarray:
-        """Two rows of 64 bits, halves of a 128-bit BLAKE2 digest of each word's bytes; each distinct word is hashed once."""
+    def coded(self) -> pa.DictionaryArray:
+        """The words, each as a number into the distinct ones."""
         offsets = np.concatenate(([0], np.cumsum(self.ends - self.starts))).astype(np.int32)
         letters = pa.py_buffer(self._data[self._solid])
-        coded = pa.Array.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(offsets), letters]).dictionary_encode()
+        return pa.Array.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(offsets), letters]).dictionary_encode()
+
+    def digests(self) -> np.ndarray:
+        """Two rows of 64 bits, halves of a 128-bit BLAKE2 digest of each word's bytes; each distinct word is hashed once."""
+        coded = self.coded()
         distinct = b"".join(hashlib.blake2b(word, digest_size=16).digest() for word in coded.dictionary.to_pylist())
         halves = np.frombuffer(distinct, np.uint64).reshape(-1, 2)
         return np.ascontiguousarray(halves.T[:, coded.indices.to_numpy()])
