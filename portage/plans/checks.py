@@ -31,6 +31,7 @@ RUN_TS = datetime(2024, 2, 1, 12, 30, 30)
 RUN_ID = "run-3"
 WAREHOUSE = TableAccess()
 RFC_QUOTES = {"escape": '"', "multiLine": "true"}
+_OPEN_FILES = 32
 
 
 @dataclass(frozen=True)
@@ -98,6 +99,21 @@ def land_by_stamp(
     storage.delete(spark, staged)
 
 
+def write_folders(df: DataFrame, path: str, *keys: str) -> None:
+    """Split rows over Parquet folders by a few keys, with one file for each key of a task.
+
+    A task keeps the files of its keys open side by side. Spark would else sort all rows of the task by the keys first, and
+    the memory of that sort grows with the rows. Keys beyond ``_OPEN_FILES`` in one task are sorted still.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, _OPEN_FILES)
+    try:
+        df.write.partitionBy(*keys).parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 # Files ---------------------------------------------------------------------------------------------------------------
 
 
@@ -453,7 +469,7 @@ def table_load_once(spark, sf_dir):
 @check("SELECT * FROM lineitem")
 def copy_tree(spark, sf_dir):
     work = shared_dir(spark, "copy")
-    table(spark, sf_dir, "lineitem").repartition(8).write.partitionBy("l_returnflag").parquet(f"{work}/from")
+    write_folders(table(spark, sf_dir, "lineitem").repartition(8), f"{work}/from", "l_returnflag")
     copying.copy_tree(spark, f"{work}/from", f"{work}/to")
     copied = spark.read.parquet(f"{work}/to")
     return copied.select(*table(spark, sf_dir, "lineitem").columns)
@@ -718,7 +734,7 @@ def copy_counts(spark, sf_dir):
     """Number of objects that the log has for a copied tree with one file a folder, without the writer's hidden files."""
     lineitem, work = table(spark, sf_dir, "lineitem"), shared_dir(spark, "transfer")
     keys = ["l_returnflag", "l_linestatus"]
-    lineitem.repartition(*keys).write.partitionBy(*keys).parquet(f"{work}/from/lines")
+    write_folders(lineitem.repartition(*keys), f"{work}/from/lines", *keys)
     context = new_context(spark, work)
     transfer(context, spec.FILE_TO_FILE, source_s3_file_path=f"{work}/from/", target_s3_file_path=f"{work}/to/")
     hidden = copying.list_tree(spark, f"{work}/to").where(F.col("relative").rlike(r"(^|/)[._][^/]*$")).count()

@@ -1,13 +1,16 @@
 import hashlib
+import json
 import os
 import random
 import subprocess
 import sys
 
 import pytest
+from helpers import same_rows
 from pyspark.sql import functions as F
 
 from portage.operators import arrow_tasks, copying
+from portage.plans import checks
 
 
 def digests(root):
@@ -139,3 +142,53 @@ assert copying.copy_tree(spark, {str(tree)!r}, {str(tmp_path / 'to')!r}).objects
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-2000:]
     assert digests(tree) == digests(tmp_path / "to")
+
+
+_MEMORY = """
+import glob, json, sys
+from pyspark.sql import SparkSession
+repo, work = sys.argv[1:]
+sys.path.insert(0, repo)
+from portage.plans.checks import CHECKS
+settings = {"spark.ui.enabled": "false", "spark.checkpoint.dir": f"file:{work}/shared", "spark.sql.warehouse.dir": f"{work}/warehouse",
+            "spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file:{work}", "spark.eventLog.rolling.enabled": "false",
+            "spark.eventLog.compress": "false", "spark.sql.shuffle.partitions": "4"}
+spark = SparkSession.builder.master("local[4]").config(map=settings).getOrCreate()
+flags = ["CASE id % 4 WHEN 3 THEN NULL ELSE chr(65 + id % 4) END AS l_returnflag", "chr(79 + id % 2) AS l_linestatus"]
+spark.range(40000).selectExpr("id AS l_orderkey", *flags).write.parquet(f"{work}/lineitem.parquet")
+objects = CHECKS["copy_counts"].query(spark, work).first()["objects"]
+copied = CHECKS["copy_tree"].query(spark, work).count()
+spark.stop()
+memory = []
+for line in open(glob.glob(f"{work}/local-*")[0]):
+    event = json.loads(line)
+    if event["Event"] == "SparkListenerTaskEnd":
+        metrics = event["Task Metrics"]
+        if metrics["Output Metrics"]["Records Written"] >= 5000 and metrics["Shuffle Read Metrics"]["Total Records Read"]:
+            memory.append(metrics["Peak Execution Memory"])
+print(json.dumps([objects, copied, len(memory), max(memory)]))
+"""
+
+
+def test_rows_of_a_folder_are_not_sorted_first(tmp_path):
+    """The tasks that write the trees of both queries hold no rows, so their memory does not grow with the rows."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "events").mkdir()
+    command = [sys.executable, "-c", _MEMORY, repo, str(tmp_path / "events")]
+    done = subprocess.run(command, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    objects, copied, writers, memory = json.loads(done.stdout.splitlines()[-1])
+    assert objects == 4 and copied == 40000 and writers >= 9
+    assert memory == 0
+
+
+def test_folders_have_one_file_a_key_of_a_task(spark, tmp_path):
+    """Also for more keys than files that are open at once, and for a null; the setting is put back."""
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 100 > 0 THEN id % 100 END AS k").coalesce(1)
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    checks.write_folders(rows, f"{tmp_path}/out", "k")
+    assert spark.conf.get(setting) == before
+    folders = [d for d in (tmp_path / "out").iterdir() if d.is_dir()]
+    assert len(folders) == 100 and all(len(list(d.glob("part-*"))) == 1 for d in folders)
+    same_rows(spark.read.parquet(f"{tmp_path}/out").select("id", F.col("k").cast("long")), rows)
