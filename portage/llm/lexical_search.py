@@ -20,8 +20,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from portage.llm import packed as P
 from portage.llm import words as W
-from portage.llm.scratch import Scratch, stored
+from portage.llm.scratch import LARGE_ROWS, Scratch, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -31,8 +32,11 @@ SEGMENT_BYTES = 12 << 20
 BLOCK_BYTES = 2 << 20
 #: Postings of a list that the first round reads; later rounds read four times as many as the one before.
 FIRST_READ = 256
-_SEGMENT = "text_bytes long, n_docs long, n_terms long, doc_ids array<{}>, lengths binary, terms array<string>," \
-    " counts array<int>, docs binary, {} binary"
+#: A segment as it is stored: terms and numbers are packed.
+_SEGMENT = "text_bytes long, n_docs long, n_terms long, doc_ids array<{}>, lengths binary, terms binary," \
+    " counts binary, docs binary, {} binary"
+#: Terms of a segment that go to Spark at once.
+TERMS_AT_ONCE = 1 << 16
 
 
 def blocks(text: bytes, limit: int = W.CHUNK_BYTES) -> Iterator[bytes]:
@@ -85,16 +89,19 @@ class Postings:
         self.size += size
 
     def merged(self) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-        """Document ids and lengths in the order of the ids, terms, and postings by term and document."""
+        """Document ids and lengths in the order of the ids, terms, and postings by term and document. Once only."""
         ids = pa.concat_arrays(self.ids)
         order = pc.array_sort_indices(ids, null_placement="at_start").to_numpy()
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         coded = pa.concat_arrays(self.terms).dictionary_encode()
         doc, term, times = (np.concatenate(column) for column in zip(*self.parts))
+        self.terms, self.parts = [], []
         key = coded.indices.to_numpy()[term].astype(np.int64) * len(ids) + place[doc]
+        del doc, term
         by_key = np.argsort(key, kind="stable")
         key, times = key[by_key], times[by_key].astype(np.int64)
+        del by_key
         first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
         if not first.all():  # a text that was counted in parts has a term several times
             times = np.add.reduceat(times, np.flatnonzero(first))
@@ -120,6 +127,40 @@ class Postings:
         return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def packed_segments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments as they are stored, a row each."""
+    for row in rows:
+        name = row.schema.names[-1]
+        docs, values = (np.frombuffer(row.column(n)[0].as_buffer(), "<i4") for n in ("docs", name))
+        small = {
+            "terms": P.pack_words(row.column("terms").flatten()), "counts": P.pack(row.column("counts").flatten().to_numpy()),
+            "docs": P.pack(docs), name: P.pack(values),
+        }
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([small[n]], pa.binary()) if n in small else row.column(n) for n in row.schema.names], names=row.schema.names
+        )
+
+
+def terms_of(row: pa.RecordBatch, i: int) -> tuple[pa.Array, np.ndarray]:
+    """Terms of a stored segment, and the number of postings of each."""
+    return P.unpack_words(row.column("terms")[i].as_buffer()), P.unpack(row.column("counts")[i].as_buffer())
+
+
+def postings_of(row: pa.RecordBatch, i: int, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and values of a stored segment's postings."""
+    return tuple(P.unpack(row.column(n)[i].as_buffer()) for n in ("docs", name))
+
+
+def list_held_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term and holders, the number of its postings, of each term of each stored segment."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            terms, counts = terms_of(batch, i)
+            held = pa.RecordBatch.from_arrays([terms.cast(pa.string()), pa.array(counts)], names=["term", "holders"])
+            for start in range(0, held.num_rows, TERMS_AT_ONCE):
+                yield held.slice(start, TERMS_AT_ONCE)
+
+
 def _occurrences(doc, term, times, lengths):
     return times
 
@@ -164,22 +205,22 @@ def impacts(times: np.ndarray, lengths: np.ndarray, n_docs: int, n_terms: int) -
 
 
 def sort_segments(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int, segment_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Segments with sorted impacts, from segments with occurrences; small ones are joined."""
+    """Segments with sorted impacts, from stored segments with occurrences; small ones are joined."""
     def values(doc, term, times, lengths):
         return impacts(times, lengths[doc], n_docs, n_terms)
 
     postings = Postings()
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {name: batch.column(name)[i] for name in batch.schema.names}
-            size = row["text_bytes"].as_py()
+            size = batch.column("text_bytes")[i].as_py()
             if postings.n_docs and postings.size + size > segment_bytes:
                 yield postings.row("impacts", values)
                 postings = Postings()
-            doc, times = (np.frombuffer(row[name].as_buffer(), "<i4") for name in ("docs", "times"))
-            term = np.repeat(np.arange(len(row["counts"])), row["counts"].values.to_numpy())
-            lengths = np.frombuffer(row["lengths"].as_buffer(), "<i8")
-            postings.add(row["doc_ids"].values, lengths, [(row["terms"].values.cast(pa.binary()), doc, term, times)], size)
+            terms, counts = terms_of(batch, i)
+            doc, times = postings_of(batch, i, "times")
+            term = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+            lengths = np.frombuffer(batch.column("lengths")[i].as_buffer(), "<i8")
+            postings.add(batch.column("doc_ids")[i].values, lengths, [(terms, doc, term, times)], size)
     if postings.n_docs:
         yield postings.row("impacts", values)
 
@@ -221,15 +262,16 @@ def best_documents(lists: list[tuple[np.ndarray, np.ndarray, int]], n_docs: int,
 
 
 def search_segments(batches: Iterator[pa.RecordBatch], items: list[tuple], top: int) -> Iterator[pa.RecordBatch]:
-    """item_key, doc_id and score of each item's best documents of each segment."""
+    """item_key, doc_id and score of each item's best documents of each stored segment."""
     vocabulary = sorted({term for _, terms, _ in items for term in terms})
     number = {term: i for i, term in enumerate(vocabulary)}
     for batch in batches:
         for i in range(batch.num_rows):
             doc_ids = batch.column("doc_ids")[i].values
-            docs, values = (np.frombuffer(batch.column(name)[i].as_buffer(), "<i4") for name in ("docs", "impacts"))
-            ends = np.cumsum(batch.column("counts")[i].values.to_numpy(), dtype=np.int64)
-            there = pc.index_in(pa.array(vocabulary, pa.string()), batch.column("terms")[i].values)
+            docs, values = postings_of(batch, i, "impacts")
+            held, counts = terms_of(batch, i)
+            ends = np.cumsum(counts, dtype=np.int64)
+            there = pc.index_in(pa.array(vocabulary, pa.string()).cast(pa.binary()), held)
             place = pc.fill_null(there, -1).to_numpy(zero_copy_only=False)
             keys, found, scores = [], [], []
             for key, terms, factors in items:
@@ -267,14 +309,14 @@ def build_index(docs: DataFrame, scratch: Scratch, segment_bytes: int = SEGMENT_
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = scratch.stored(docs.select("doc_id", "text").mapInArrow(
-        lambda batches: count_segments(batches, segment_bytes), _SEGMENT.format(kind, "times")
-    ), "counted")
+        lambda batches: packed_segments(count_segments(batches, segment_bytes)), _SEGMENT.format(kind, "times")
+    ), "counted", **LARGE_ROWS)
     n_docs, n_terms, size = (n or 0 for n in counted.agg(F.sum("n_docs"), F.sum("n_terms"), F.sum("text_bytes")).first())
     # As many tasks as there will be segments, so that small ones meet; no row is shuffled.
     segments = counted.coalesce(max(1, -(-size // segment_bytes))).mapInArrow(
-        lambda batches: sort_segments(batches, n_docs, n_terms, segment_bytes), _SEGMENT.format(kind, "impacts")
+        lambda batches: packed_segments(sort_segments(batches, n_docs, n_terms, segment_bytes)), _SEGMENT.format(kind, "impacts")
     )
-    return scratch.stored(segments, "index"), n_docs, n_terms
+    return scratch.stored(segments, "index", **LARGE_ROWS), n_docs, n_terms
 
 
 def weighted_items(items: DataFrame, index: DataFrame, n_docs: int) -> DataFrame:
@@ -282,9 +324,8 @@ def weighted_items(items: DataFrame, index: DataFrame, n_docs: int) -> DataFrame
     terms = items.select("item_key", "text").mapInArrow(list_terms, "item_key long, term string, times long")
     terms = terms.groupBy("item_key", "term").agg(F.sum("times").alias("times"))
     wanted = terms.select("term").distinct()
-    held = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("held")).select("held.*")
-    counts = held.join(wanted, held["terms"] == wanted["term"], "left_semi").groupBy(F.col("terms").alias("term"))
-    counts = counts.agg(F.sum("counts").alias("holders"))
+    held = index.select("terms", "counts").mapInArrow(list_held_terms, "term string, holders int")
+    counts = held.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("holders").alias("holders"))
     weight = F.floor(1000 * F.log((2.0 * n_docs + 2) / (2 * F.col("holders") + 1)))
     factors = terms.join(counts, "term").withColumn("factor", F.col("times") * weight).where("factor > 0")
     return factors.groupBy("item_key").agg(F.sort_array(F.collect_list(F.struct("term", "factor"))).alias("factors"))

@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from portage import storage
 from portage.session import shared_dir
 
+#: Options for tables whose rows are some MB of bytes: each is a row group of its own, so readers hold one at a time.
+LARGE_ROWS = {
+    "parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false",
+}
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """The rows of ``df``, written as Parquet under a new shared folder and read from there."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -22,10 +27,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def stored(self, df: DataFrame, label: str) -> DataFrame:
+    def stored(self, df: DataFrame, label: str, **options: str) -> DataFrame:
         path = shared_dir(self.spark, label)
         self.paths.append(path)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
