@@ -19,8 +19,9 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from portage.llm import packed as P
 from portage.llm import words as W
-from portage.llm.scratch import stored
+from portage.llm.scratch import LARGE_ROWS, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -31,7 +32,7 @@ SLOP = 2
 BLOCK_BYTES = 2 << 20
 _INDEX = (
     "segment string, doc_ids array<{id}>, doc_starts array<int>, "
-    "terms array<string>, counts array<int>, gaps array<int>"
+    "terms binary, counts binary, gaps binary"
 )
 _SPANS = "array<struct<item_id: string, start: bigint, end: bigint>>"
 _FOUND = "segment string, ordinal int, doc_id {id}, n_words long, spans " + _SPANS + ", phrases " + _SPANS
@@ -42,7 +43,7 @@ _SPAN_LIST = pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64())
 
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per few MB of texts: documents, where each begins, terms, list lengths, and positions as gaps."""
+    """One row per few MB of texts: documents, where each begins, and packed the terms, list lengths, and positions as gaps."""
     partition = TaskContext.get().partitionId()
     for number, (part, texts) in enumerate(W.chunks(batches)):
         w = W.Words(texts, W.LOWER_ALNUM)
@@ -55,7 +56,7 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gaps[heads] = order[heads]
         yield pa.RecordBatch.from_arrays(
             [pa.array([f"{partition}-{number}"]), _one_list(part.column("doc_id")), _one_list(w.first, pa.int32()),
-             _one_list(coded.dictionary.cast(pa.string())), _one_list(counts, pa.int32()), _one_list(gaps, pa.int32())],
+             *(pa.array([packed], pa.binary()) for packed in (P.pack_words(coded.dictionary), P.pack(counts), P.pack(gaps)))],
             names=["segment", "doc_ids", "doc_starts", "terms", "counts", "gaps"],
         )
 
@@ -69,7 +70,7 @@ def _one_list(values, kind: pa.DataType | None = None) -> pa.ListArray:
 def build_index(docs: DataFrame) -> DataFrame:
     """The positional index of ``doc_id`` and ``text``, as a stored table. Null texts are documents of no tokens."""
     schema = _INDEX.format(id=docs.schema["doc_id"].dataType.simpleString())
-    return stored(docs.select("doc_id", "text").mapInArrow(segments, schema), "positions")
+    return stored(docs.select("doc_id", "text").mapInArrow(segments, schema), "positions", **LARGE_ROWS)
 
 
 # Search --------------------------------------------------------------------------------------------------------------
@@ -105,14 +106,14 @@ class _Segment:
     """Posting lists of the test terms in one segment; ``at[t]`` is the number of test term t here, or -1."""
 
     def __init__(self, row: pa.RecordBatch, tests: TestWindows):
-        def flat(name):
-            return row.column(name).flatten()
-
-        self.doc_ids, self.first = flat("doc_ids"), flat("doc_starts").to_numpy()
-        counts = flat("counts").to_numpy().astype(np.int64)
+        terms, counts, self.gaps = (
+            unpack(row.column(name)[0].as_buffer())
+            for name, unpack in (("terms", P.unpack_words), ("counts", P.unpack), ("gaps", P.unpack))
+        )
+        self.doc_ids, self.first = row.column("doc_ids").flatten(), row.column("doc_starts").flatten().to_numpy()
+        counts = counts.astype(np.int64)
         self.heads = np.concatenate(([0], np.cumsum(counts)))
-        self.gaps = flat("gaps").to_numpy()
-        number = pc.index_in(flat("terms").cast(pa.binary()), value_set=pa.array(tests.terms, pa.binary()))
+        number = pc.index_in(terms, value_set=pa.array(tests.terms, pa.binary()))
         here = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
         self.at = np.full(len(tests.terms), -1, np.int64)
         self.at[number.drop_null().to_numpy()] = here

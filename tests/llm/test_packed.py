@@ -1,4 +1,4 @@
-"""Packed numbers and words, and how the index lies in its files."""
+"""Packed numbers and words, and how the two indexes lie in their files."""
 
 from urllib.parse import unquote, urlparse
 
@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from portage.llm import lexical_search
+from portage.llm import decontamination, lexical_search
 from portage.llm import packed as P
 from portage.llm.scratch import Scratch
 
@@ -40,6 +40,14 @@ def long_texts(spark, n):
     return spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
 
 
+def test_a_reader_holds_one_positional_segment_at_a_time(spark):
+    [file] = files(decontamination.build_index(long_texts(spark, 3)))
+    groups = [file.metadata.row_group(i) for i in range(file.metadata.num_row_groups)]
+    assert len(groups) > 1 and all(group.num_rows == 1 for group in groups)
+    row = file.read_row_group(0).to_batches()[0]
+    assert row.nbytes < 600_000 * 4 / 2  # a position takes four bytes as a plain number
+
+
 def test_a_reader_holds_one_segment_of_postings_at_a_time(spark):
     scratch = Scratch(spark)
     index, n_docs, n_terms = lexical_search.build_index(long_texts(spark, 3), scratch, 3 << 20)
